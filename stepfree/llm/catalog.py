@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from stepfree.llm import mixing
+from stepfree.llm import lines, mixing, packing, quality
 
 _QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_line_dedup": lines.op2_line_dedup,
+    "op3_quality_rules": quality.op3_quality_rules,
+    "op7_pack_documents": packing.op7_pack_documents,
 }
 
 _SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op2_line_dedup": lines.OP2_SQL,
 }
 
 
