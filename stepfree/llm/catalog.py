@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stepfree.llm import lines, mixing, packing, quality
+from stepfree.llm import jaccard, lines, mixing, packing, quality
 
 _QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op7_pack_documents": packing.op7_pack_documents,
 }
 
