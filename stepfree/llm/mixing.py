@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,15 +26,15 @@ HASH_BITS = 60
 LEVEL_BITS = 12
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), h (60 bits of md5 of id and text)."""
+def row_hash() -> Column:
+    """60 bits of the md5 of id and text."""
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("text"), F.lit(""))).cast("binary"))
-    return docs.select(
-        F.col("doc_id"),
-        F.col("source"),
-        size_words(F.col("text")).alias("size"),
-        F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
-    )
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def document_sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size (words), h."""
+    return docs.select("doc_id", "source", size_words(F.col("text")).alias("size"), row_hash().alias("h"))
 
 
 def ranked_sources(sized: DataFrame, weights: Sequence[float]) -> tuple[DataFrame, int]:
@@ -103,12 +103,8 @@ def thresholds(sized: DataFrame, sources: DataFrame, n_sources: int) -> DataFram
     )
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken.
-
-    ``share`` times all words is split over the sources by ``weights`` (repeating in rank
-    order); no source goes beyond ``epochs`` times its own words. ``copies`` is 0..epochs.
-    """
+def mixing_plan(docs: DataFrame, weights: Sequence[float], share: float, epochs: int) -> tuple[DataFrame, DataFrame, int]:
+    """Sizes and hashes of the rows; by source its size, target, whole copies and threshold; the number of sources."""
     sized = stored(document_sizes(docs), "sizes")
     sources, n = ranked_sources(sized, weights)
     sources = stored(sources, "weights")
@@ -120,12 +116,33 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     )
     sources = stored(sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
     plan = stored(thresholds(sized, sources, n).select("source", "source_size", "target", "whole", "threshold"), "thresholds")
-    copies = (F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)).cast("int")
-    return (
-        attach(sized, plan, ["source"], n, F.col("h"))
-        .withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "h")
-    )
+    return sized, plan, n
+
+
+def copies_of(size: Column, h: Column) -> Column:
+    """How often the mix takes a row; a row without words is not taken."""
+    return F.when(size > 0, F.col("whole") + F.when(h < F.col("threshold"), 1).otherwise(0)).otherwise(F.lit(0)).cast("int")
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken.
+
+    ``share`` times all words is split over the sources by ``weights`` (repeating in rank
+    order); no source goes beyond ``epochs`` times its own words. ``copies`` is 0..epochs.
+    """
+    sized, plan, n = mixing_plan(docs, weights, share, epochs)
+    mixed = attach(sized, plan, ["source"], n, F.col("h")).withColumn("copies", copies_of(F.col("size"), F.col("h")))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
+    """The mix itself: every input row with all its columns, as often as it is taken."""
+    _, plan, n = mixing_plan(docs, weights, share, epochs)
+    plan = plan.select(F.struct("source").alias("__key"), F.struct("whole", "threshold").alias("__plan"))
+    rows = docs.withColumn("__key", F.struct(F.col("source"))).withColumn("__h", row_hash())
+    joined = attach(rows, plan, ["__key"], n, F.col("__h"))
+    copies = F.when(size_words(F.col("text")) > 0, F.col("__plan.whole") + F.when(F.col("__h") < F.col("__plan.threshold"), 1).otherwise(0)).otherwise(F.lit(0))
+    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(docs.columns)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
