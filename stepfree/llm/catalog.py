@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stepfree.llm import jaccard, lines, mixing, packing, quality
+from stepfree.llm import compression, jaccard, lines, mixing, packing, quality, toxicity
 
 _QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,6 +10,8 @@ _QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op7_pack_documents": packing.op7_pack_documents,
+    "op9_score_quality": compression.op9_score_quality,
+    "op10_score_toxicity": toxicity.op10_score_toxicity,
 }
 
 _SQL = {
