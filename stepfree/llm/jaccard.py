@@ -6,16 +6,24 @@ order is cut into fragments, which gives every document a segment in each fragme
 Candidates. Two sets that link differ in at most H n-grams, where H follows from their
 sizes. Cut into k > H fragments, they agree in at least k - H segments. Documents are
 therefore keyed by (size class, fragment, segment); a document also keys itself in the
-class below if a partner may lie there. Empty segments make no key: a document with fewer
-than H + 1 filled segments keys itself again under another order (both sides of a pair
-that only empty segments would join do so), and after SEEDS orders by its empty segments
-too. So no link is lost, at any size.
+class below if a partner may lie there. The first keys leave out n-grams that are frequent
+in a sample of SAMPLE documents: whatever is left out, the rest still differs in at most
+H, so the sample decides only how full the buckets get, never which links are found.
+Empty segments make no key: a document with fewer than H + 1 filled segments keys itself
+again with all its n-grams, under other orders (both sides of a pair that only empty
+segments would join do so), and after SEEDS orders by its empty segments too. So no link
+is lost, at any size.
 
 Links. Candidate pairs are counted fragment by fragment: the overlap of the two segments
 of each of FRAGMENTS fragments, summed per pair. Documents with equal sets are one class
 from the start. In a key's bucket every class first meets only the smallest class; the
 links found join classes into components, and then only classes that share a key but not
-yet a component meet. A bucket whose members are all joined makes no further pairs.
+yet a component meet. A bucket whose members are all joined makes no further pairs; one
+of up to SMALL_BUCKET members makes them one by one. In a larger one each set is written
+as its difference from the bucket's smallest set (a few n-grams, where copies are near),
+members are dealt into blocks of about BLOCK_SETS, and each pair of blocks is compared at
+once: |x ^ y| is the size of the difference of the two differences. Such a task returns
+only links that join something, so neither its input nor its output grows with the bucket.
 
 Defined cases: with fewer than n words the whole sequence is one n-gram; null, empty and
 blank texts have no n-gram and link with nothing, themselves apart; rows that repeat are
@@ -42,8 +50,12 @@ from stepfree.llm.common import BROADCAST_ROWS, documents, lower_words, stored
 SEEDS = 8
 FRAGMENTS = 4
 GROWTH = 1.3
+#: Documents (about) whose n-grams are counted, and how many of them make an n-gram frequent.
+SAMPLE, FREQUENT, MOST = 4000, 8, 100_000
 #: Texts that are hashed at once.
 BLOCK = 1000
+#: Buckets beyond this many members are compared block by block; members of a block (about).
+SMALL_BUCKET, BLOCK_SETS = 32, 256
 U = np.uint64
 
 
@@ -122,15 +134,43 @@ def set_hash(sets: list[np.ndarray]) -> np.ndarray:
     return np.where(size > 0, mixed(total + size), U(0))
 
 
-def segment_keys(sets: list[np.ndarray], rule: Rule) -> list[np.ndarray]:
+def frequent_grams(docs: DataFrame, rule: Rule) -> np.ndarray:
+    """Ascending hashes of n-grams that at least FREQUENT of about SAMPLE documents hold, the MOST commonest at most."""
+    total = docs.count()
+    picked = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(min(1_000_000, SAMPLE * 1_000_000 // max(1, total))))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column("text").to_pylist(), rule.n)
+            if sets:
+                value, count = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(value), pa.array(count)], ["gram", "n"])
+
+    counts = picked.select("text").mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    rows = counts.orderBy(F.desc("n"), "gram").limit(MOST).collect()
+    return np.sort(np.array([r["gram"] for r in rows], np.int64).view(U))
+
+
+def without(sets: list[np.ndarray], frequent: np.ndarray) -> list[np.ndarray]:
+    """The sets less the frequent n-grams."""
+    if not len(frequent) or not sets:
+        return sets
+    h = np.concatenate(sets)
+    stay = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] != h
+    ends = np.cumsum(np.fromiter(map(len, sets), np.int64, len(sets)))
+    return [s[f] for s, f in zip(sets, np.split(stay, ends[:-1]), strict=True)]
+
+
+def segment_keys(sets: list[np.ndarray], rule: Rule, frequent: np.ndarray) -> list[np.ndarray]:
     """The keys of each set, as described at the top of this module."""
     keys: list[list[np.ndarray]] = [[] for _ in sets]
+    rare = without(sets, frequent)
     todo = [(i, c) for i, s in enumerate(sets) if len(s) for c in rule.classes(len(s)) if rule.cut(c)[0]]
     for seed in range(SEEDS):
         if not todo:
             break
         last = seed == SEEDS - 1
-        ordered = [sets[i] if not seed else np.sort(mixed(sets[i] + U(seed))) for i, _ in todo]
+        ordered = [rare[i] if not seed else np.sort(mixed(sets[i] + U(seed))) for i, _ in todo]
         size = np.fromiter(map(len, ordered), np.int64, len(ordered))
         most = np.array([rule.cut(c)[0] for _, c in todo])
         k = np.array([rule.cut(c)[1] for _, c in todo])
@@ -138,10 +178,10 @@ def segment_keys(sets: list[np.ndarray], rule: Rule) -> list[np.ndarray]:
         h = np.concatenate(ordered)
         own = np.repeat(np.arange(len(todo)), size)
         frag = ((h >> U(32)) * k[own].astype(U) >> U(32)).astype(np.int64)
-        start = np.flatnonzero(np.r_[True, (frag[1:] != frag[:-1]) | (own[1:] != own[:-1])])
+        start = np.flatnonzero(np.r_[len(h) > 0, (frag[1:] != frag[:-1]) | (own[1:] != own[:-1])])
         who, where = own[start], frag[start]
         tag = mixed((cls[who].astype(U) << U(40)) | (U(seed) << U(36)) | where.astype(U))
-        value = mixed(np.add.reduceat(mixed(h ^ U(0x5DEECE66D)), start) ^ tag)
+        value = mixed((np.add.reduceat(mixed(h ^ U(0x5DEECE66D)), start) if len(h) else h) ^ tag)
         filled = np.bincount(who, minlength=len(todo))
         again = []
         for t, part in enumerate(np.split(value, np.cumsum(filled)[:-1])):
@@ -160,8 +200,9 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def keyed(docs: DataFrame, rule: Rule) -> DataFrame:
+def keyed(docs: DataFrame, rule: Rule, frequent: np.ndarray) -> DataFrame:
     """doc_id, n_shingles, cls (hash of the set, null if empty) and keys (null for a set this task has keyed before)."""
+    held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -175,7 +216,7 @@ def keyed(docs: DataFrame, rule: Rule) -> DataFrame:
                     new.append(s if x not in seen else s[:0])
                     seen.add(x)
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
-                keys = segment_keys(new, rule)
+                keys = segment_keys(new, rule, held.value)
                 offsets = np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), _signed(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays(
@@ -221,6 +262,59 @@ def links(pairs: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
     return both.where(rule.den * F.col("common") >= rule.num * (F.col("size_a") + F.col("size_b") - F.col("common"))).select("a", "b")
 
 
+def joining_links(table: pa.Table, rule: Rule) -> list[tuple[int, int]]:
+    """Links between (or, where there is one block, within) two blocks, less those that join nothing new.
+
+    Rows: cls, size, comp, side (0 or 1), diff (n-grams in which the set differs from the hub's).
+    """
+    cls, size, comp, side = (table.column(c).to_numpy() for c in ("cls", "size", "comp", "side"))
+    lists = table.column("diff").combine_chunks()
+    width = np.diff(lists.offsets.to_numpy())
+    flat, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    member = np.zeros((len(cls), max(1, len(flat))), np.float32)
+    member[np.repeat(np.arange(len(cls)), width), place] = 1
+    member = member[:, member.sum(0) > 1]  # what one set alone has is in no overlap
+    a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(cls)),) * 2
+    apart = width[a][:, None] + width[b][None, :] - 2 * (member[a] @ member[b].T).round().astype(np.int64)
+    total = size[a][:, None] + size[b][None, :]
+    common = (total - apart) // 2
+    ok = (rule.den * common >= rule.num * (total - common)) & (comp[a][:, None] != comp[b][None, :])
+    head: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while head.get(x, x) != x:
+            x = head[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(ok), strict=True):
+        x, y = top(int(comp[a[i]])), top(int(comp[b[j]]))
+        if x != y:
+            head[max(x, y)] = min(x, y)
+            out.append((int(cls[a[i]]), int(cls[b[j]])))
+    return out
+
+
+def block_links(members: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) among the members (hub, cls, comp) of large buckets, block against block."""
+    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    own = segments.select("cls", "size", "frag", "seg")
+    hub = segments.select(F.col("cls").alias("hub"), "frag", F.col("seg").alias("hub_seg"))
+    parts = members.join(own, "cls").join(hub, ["hub", "frag"])
+    diff = F.concat(F.array_except("seg", "hub_seg"), F.array_except("hub_seg", "seg"))
+    rows = parts.select("hub", "cls", "comp", "size", diff.alias("d")).groupBy("hub", "cls").agg(F.first("comp").alias("comp"), F.first("size").alias("size"), F.flatten(F.collect_list("d")).alias("diff"))
+    rows = rows.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "hub", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cls", "comp", "size", "diff"
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = np.array(joining_links(table, rule), np.int64).reshape(-1, 2)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return dealt.groupBy("hub", "b0", "b1").applyInArrow(compare, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (smallest node of its component) for the nodes of ``edges`` (a, b).
 
@@ -242,11 +336,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reached by links)."""
     rule = Rule(n, num, den)
-    rows = stored(keyed(docs, rule), "keyed")
+    rows = stored(keyed(docs, rule, frequent_grams(docs, rule)), "keyed")
     classes = stored(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes")
     in_key = W.partitionBy("key")
     live = rows.select(F.explode("keys").alias("key"), "cls").select("key", "cls", F.min("cls").over(in_key).alias("low"), F.max("cls").over(in_key).alias("high"))
-    live = stored(live.where("low < high").select("key", "cls", "low"), "live")
+    live = stored(live.where("low < high").select("key", "cls", "low").dropDuplicates(["key", "cls"]), "live")
     wanted = live.select("cls").distinct().join(classes, "cls")
     segments = stored(segments_of(docs, stored(wanted, "wanted"), rule), "segments")
 
@@ -256,12 +350,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) ->
     # classes that share a key but no component
     comp = F.coalesce("comp", "cls")
     labelled = live.join(comps, live["cls"] == comps["node"], "left").select("key", "cls", "low", comp.alias("comp"))
-    split = labelled.select("*", F.min("comp").over(in_key).alias("c0"), F.max("comp").over(in_key).alias("c1")).where("c0 < c1")
-    split = stored(split.select("key", "cls", "low", "comp"), "split")
-    other = split.select("key", F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
+    split = labelled.select("*", F.min("comp").over(in_key).alias("c0"), F.max("comp").over(in_key).alias("c1"), F.count("*").over(in_key).alias("members"))
+    split = stored(split.where("c0 < c1").select("key", "cls", "low", "comp", "members"), "split")
+    small = split.where(F.col("members") <= SMALL_BUCKET)
+    other = small.select("key", F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
     # a pair with the bucket's smallest class has been counted above
-    rest = split.where("cls != low").join(other, "key").where("cls < b and comp != comp_b and b != low").select(F.col("cls").alias("a"), "b").distinct()
-    more = stored(links(rest, segments, rule), "links2")
+    rest = small.where("cls != low").join(other, "key").where("cls < b and comp != comp_b and b != low").select(F.col("cls").alias("a"), "b").distinct()
+    large = split.where(F.col("members") > SMALL_BUCKET).select(F.col("low").alias("hub"), "cls", "comp").distinct()
+    more = stored(links(rest, segments, rule).unionByName(block_links(stored(large, "large"), segments, rule)), "links2")
     if not more.isEmpty():
         comps = components(found.unionByName(more))
     named = comps.join(classes, comps["node"] == classes["cls"]).select("node", "comp", "doc_id")
