@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from stepfree.llm import compression, jaccard, lines, mixing, packing, quality, toxicity
+from stepfree.llm import compression, jaccard, lines, mixing, packing, quality, search, toxicity
 
 _QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op6_top_k": search.op6_top_k,
     "op7_pack_documents": packing.op7_pack_documents,
     "op9_score_quality": compression.op9_score_quality,
     "op10_score_toxicity": toxicity.op10_score_toxicity,
@@ -17,6 +18,7 @@ _QUERIES = {
 _SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_line_dedup": lines.OP2_SQL,
+    "op6_top_k": search.OP6_SQL,
 }
 
 
