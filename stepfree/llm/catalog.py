@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stepfree.llm import compression, jaccard, lines, mixing, packing, quality, search, toxicity
+from stepfree.llm import compression, jaccard, lines, markov, mixing, packing, quality, search, toxicity
 
 _QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ _QUERIES = {
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_top_k": search.op6_top_k,
     "op7_pack_documents": packing.op7_pack_documents,
+    "op8_score_language": markov.op8_score_language,
     "op9_score_quality": compression.op9_score_quality,
     "op10_score_toxicity": toxicity.op10_score_toxicity,
 }
