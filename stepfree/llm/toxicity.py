@@ -71,26 +71,29 @@ class LinearModel:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def choose_features(positive: list[set[bytes]], unlabelled: list[set[bytes]], most: int) -> list[bytes]:
-    """Features that are commoner in P than in U, by how many standard errors; of those in the same texts of P the longest."""
+def choose_features(positive: list[str], unlabelled: list[str], most: int) -> list[bytes]:
+    """Features that are commoner in P than in U, by how many standard errors; of those in the same texts of P the longest.
+
+    Texts are gone through twice, so that only counts and a shortlist are held at a time.
+    """
     p, u = Counter(), Counter()
-    for x in positive:
-        p.update(x)
-    for x in unlabelled:
-        u.update(x)
+    for t in positive:
+        p.update(text_features(t))
+    p = Counter({x: c for x, c in p.items() if c >= max(3, 0.004 * len(positive))})
+    for t in unlabelled:
+        u.update(text_features(t) & p.keys())
     n, m = max(1, len(positive)), max(1, len(unlabelled))
     lift = {}
     for x, c in p.items():
-        if c >= max(3, 0.004 * n):
-            q = (u[x] + 1) / (m + 2)
-            lift[x] = (c / n - q) / np.sqrt(q * (1 - q) / n)
-    ranked = [x for x in sorted(lift, key=lambda x: (-lift[x], -len(x), x)) if lift[x] > 4]
-    wide, held = set(ranked[: 20 * most]), {x: [] for x in ranked[: 20 * most]}
-    for i, s in enumerate(positive):
-        for x in s & wide:
+        q = (u[x] + 1) / (m + 2)
+        lift[x] = (c / n - q) / np.sqrt(q * (1 - q) / n)
+    wide = [x for x in sorted(lift, key=lambda x: (-lift[x], -len(x), x)) if lift[x] > 4][: 20 * most]
+    held: dict[bytes, list[int]] = {x: [] for x in wide}
+    for i, t in enumerate(positive):
+        for x in text_features(t) & held.keys():
             held[x].append(i)
     first: dict[tuple, bytes] = {}
-    for x in ranked[: 20 * most]:
+    for x in wide:
         first.setdefault(tuple(held[x]), x)
     return list(first.values())[:most]
 
@@ -117,21 +120,20 @@ def train_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1000, ra
 def fit(positive: list[str], unlabelled: list[str], prior: float, most: int = 400) -> LinearModel:
     if not positive or not unlabelled or prior <= 0:
         return LinearModel()
-    fp, fu = [text_features(t) for t in positive], [text_features(t) for t in unlabelled]
-    chosen = choose_features(fp, fu, most)
+    chosen = choose_features(positive, unlabelled, most)
     place = {x: i for i, x in enumerate(chosen)}
 
-    def matrix(sets: list[set[bytes]]) -> np.ndarray:
-        out = np.zeros((len(sets), len(chosen)), np.float32)
-        for i, s in enumerate(sets):
-            out[i, [place[x] for x in s if x in place]] = 1
+    def matrix(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), len(chosen)), np.float32)
+        for i, t in enumerate(texts):
+            out[i, [place[x] for x in text_features(t) & place.keys()]] = 1
         return out
 
-    w, bias = train_nnpu(matrix(fp), matrix(fu), prior)
+    w, bias = train_nnpu(matrix(positive), matrix(unlabelled), prior)
     return LinearModel(dict(zip(chosen, w.tolist(), strict=True)), bias)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 4000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unlabelled: int = 3000) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted (score >= 0.5).
 
     Rows whose crc32(doc_id) mod 5 is 0 are held out: neither their labels nor their texts are learned from.
