@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stepfree.llm import compression, jaccard, lines, markov, mixing, packing, quality, search, toxicity
+from stepfree.llm import compression, html, jaccard, lines, markov, mixing, packing, quality, search, toxicity
 
 _QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_extract_text": html.op4_extract_text,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_top_k": search.op6_top_k,
     "op7_pack_documents": packing.op7_pack_documents,
