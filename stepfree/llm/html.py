@@ -203,7 +203,7 @@ LABELLED_PAGES = (
     f'<header data-keep="0"><h1>The Daily Path</h1><p>{_MID}</p></header><article data-keep="1"><p>Yes.</p><p>{_LONG} {_LONG}</p><div class="ad" data-keep="0">{_MID} {_LONG}</div><p>Later.</p></article><aside data-keep="0"><p>{_LONG}</p><p>More</p></aside>',
     f'<main data-keep="1"><h2>Ways</h2><p>{_MID}</p><p><a href="/x">All ways</a></p><p>{_LONG}</p><section class="comments" data-keep="0"><p>{_LONG}</p><p>First!</p><p>{_MID}</p></section></main>',
     f'<div class="cookie-notice" data-keep="0"><p>{_LONG}</p><button>Accept</button></div><div class="entry-content" data-keep="1"><p>{_LONG}</p><p>End</p></div><form data-keep="0"><label>Name</label><p>{_MID}</p></form>',
-    f'<ul data-keep="0"><li><a href="/1">Start</a></li><li><a href="/2">About us</a></li><li><a href="/3">Contact</a></li></ul><p data-keep="1">{_LONG}</p><p data-keep="1">{_LONG} {_MID}</p><p data-keep="1">Quiet.</p><p data-keep="1">{_LONG}</p><p data-keep="0"><a href="/4">Imprint</a></p><p data-keep="0"><a href="/5">Privacy and terms of use</a></p>',
+    f'<ul data-keep="0"><li><a href="/1">Start</a></li><li><a href="/2">About us</a></li><li><a href="/3">Contact</a></li></ul><p data-keep="1">{_LONG}</p><p data-keep="1">{_LONG} {_MID}</p><p data-keep="1">Quiet.</p><p data-keep="1">All well.</p><p data-keep="1">So it was.</p><p data-keep="1">{_LONG}</p><p data-keep="0"><a href="/4">Imprint</a></p><p data-keep="0"><a href="/5">Privacy and terms of use</a></p>',
     f'<h1 data-keep="1">A walk in May</h1><p data-keep="1">{_LONG}</p><p data-keep="1">{_MID}</p><p data-keep="1">{_LONG} {_LONG}</p><div data-keep="0"><a href="/p">Previous page</a> | <a href="/n">Next page</a></div>',
     f'<div data-keep="0"><a href="/i">Index of all the stations on this line and their lifts</a></div><div data-keep="0"><a href="/j">Another long list entry about lifts and ramps in town</a></div><p data-keep="1">{_MID}</p><p data-keep="1">{_LONG}</p>',
     f'<article data-keep="1"><p>{_MID}</p><form data-keep="0"><p>{_LONG}</p></form><p><a href="/s">The station the line and the ramp are described elsewhere on these pages</a></p></article><div id="sidebar" data-keep="0"><p>{_LONG}</p><p>Now</p></div>',
