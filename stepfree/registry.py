@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = (
+    "stepfree.operators.filters",
+    "stepfree.operators.risk",
+)
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
