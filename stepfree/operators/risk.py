@@ -280,7 +280,7 @@ def cost_base_safety(spark, sf_dir):
 
 _EDGE_COST = f"""with b as (select e.*, {sql.base_safety('e')} as safety, {sql.penalty('stroller', 'e')} as pen, e.dist / 1.1e0 as base, (e.id % 10) / 10e0 as live from edge e)
 select id, round(greatest((base + base * least(1e0, greatest(0e0, (safety + live) / 2)) * 4 * 0.5e0 + greatest(0e0, pen) * 0.5e0)
- * greatest(0.8e0, (1 + (1 - lighting) * 0.5e0) * case when has_crossing then 0.85e0 else 1.15e0 end * case when is_steep then 2e0 else 1e0 end), dist / 2e0), 6) as cost from b"""
+ * greatest(0.8e0, (1 + (1 - lighting) * 0.5e0) * case when has_crossing then 0.85e0 else 1.15e0 end * case when is_steep then 2e0 else 1e0 end), dist / 2e0) + 1e-7, 4) as cost from b"""
 
 #: Preference -> factor on the cost of an edge.
 MODIFIERS = {
@@ -308,7 +308,7 @@ def edge_cost(profile: str, weight: float, preferences: list[str]) -> Column:
 @query("cost_edge", with_views(_EDGE_COST))
 def cost_edge(spark, sf_dir):
     df = edges(spark, sf_dir).withColumn("safety", edge_safety()).withColumn("live_risk", (F.col("id") % 10) / 10.0)
-    return df.select("id", F.round(edge_cost("stroller", 0.5, ["low-light-penalty", "prefer-crossings", "avoid-steep-hills"]), 6).alias("cost"))
+    return df.select("id", F.round(edge_cost("stroller", 0.5, ["low-light-penalty", "prefer-crossings", "avoid-steep-hills"]) + 1e-7, 4).alias("cost"))
 
 
 @query("cost_route_score", with_views("select request_id, alt, round(distance_m / 1000 * (1 - 0.4e0) + risk / 30 * 0.4e0 * 5 + obstacle * 0.4e0 * 3, 6) as score from route_alternative"))

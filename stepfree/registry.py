@@ -12,6 +12,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 MODULES: tuple[str, ...] = (
     "stepfree.operators.filters",
     "stepfree.operators.risk",
+    "stepfree.operators.reports",
+    "stepfree.operators.evaluation",
+    "stepfree.operators.scalars",
+    "stepfree.operators.graph",
 )
 
 _QUERIES: dict[str, Query] = {}
