@@ -56,6 +56,8 @@ SAMPLE, FREQUENT, MOST = 4000, 8, 100_000
 BLOCK = 1000
 #: Buckets beyond this many members are compared block by block; members of a block (about).
 SMALL_BUCKET, BLOCK_SETS = 32, 256
+#: N-grams that two blocks are compared on at a time.
+COLUMNS = 4096
 U = np.uint64
 
 
@@ -270,12 +272,18 @@ def joining_links(table: pa.Table, rule: Rule) -> list[tuple[int, int]]:
     cls, size, comp, side = (table.column(c).to_numpy() for c in ("cls", "size", "comp", "side"))
     lists = table.column("diff").combine_chunks()
     width = np.diff(lists.offsets.to_numpy())
-    flat, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    member = np.zeros((len(cls), max(1, len(flat))), np.float32)
-    member[np.repeat(np.arange(len(cls)), width), place] = 1
-    member = member[:, member.sum(0) > 1]  # what one set alone has is in no overlap
+    flat, place, often = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(cls)), width)
+    row, place = row[often[place] > 1], place[often[place] > 1]  # what one set alone has is in no overlap
+    column = np.unique(place, return_inverse=True)[1]
     a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(cls)),) * 2
-    apart = width[a][:, None] + width[b][None, :] - 2 * (member[a] @ member[b].T).round().astype(np.int64)
+    overlap = np.zeros((len(a), len(b)), np.int64)
+    for start in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        here = (column >= start) & (column < start + COLUMNS)
+        member = np.zeros((len(cls), COLUMNS), np.float32)
+        member[row[here], column[here] - start] = 1
+        overlap += (member[a] @ member[b].T).round().astype(np.int64)
+    apart = width[a][:, None] + width[b][None, :] - 2 * overlap
     total = size[a][:, None] + size[b][None, :]
     common = (total - apart) // 2
     ok = (rule.den * common >= rule.num * (total - common)) & (comp[a][:, None] != comp[b][None, :])
