@@ -16,6 +16,8 @@ MODULES: tuple[str, ...] = (
     "stepfree.operators.evaluation",
     "stepfree.operators.scalars",
     "stepfree.operators.graph",
+    "stepfree.streaming.jobs",
+    "stepfree.sources.osm",
 )
 
 _QUERIES: dict[str, Query] = {}
