@@ -53,16 +53,19 @@ def drop_boilerplate(
     """
     host = F.col(host) if isinstance(host, str) else host
     frequent = stored(boilerplate(docs, host, max_ratio, min_pages, min_count), "boilerplate")
-    rows = docs.withColumn("__host", host).drop("n_dropped_lines")
-    joined = attach(rows, frequent.select(F.col("host").alias("__host"), F.col("lines").alias("__lines")), ["__host"], frequent.count(), F.xxhash64("text"), "left")
-    lines = _lines(F.col("text"))
-    stay = F.filter(lines, lambda x: ~_worded(x) | ~F.array_contains(F.col("__lines"), F.xxhash64(x)))
-    left = F.when(F.exists(stay, _worded), stay).otherwise(lines)
-    clean = F.when(F.col("__lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    gone = F.when(F.col("__lines").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left))
-    return joined.select(
-        *[clean.alias("text") if c == "text" else F.col(c) for c in rows.columns if c != "__host"], gone.cast("int").alias("n_dropped_lines")
-    )
+    # the row travels as one struct, so its columns may have any names
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "n_dropped_lines"]).alias("__row"), host.alias("host"))
+    joined = attach(rows, frequent, ["host"], frequent.count(), F.xxhash64("__row.text"), "left")
+    text = F.col("__row.text")
+    all_lines = _lines(text)
+    stay = F.filter(all_lines, lambda x: ~_worded(x) | ~F.array_contains(F.col("lines"), F.xxhash64(x)))
+    left = F.when(F.exists(stay, _worded), stay).otherwise(all_lines)
+    untouched = F.col("lines").isNull() | text.isNull()
+    clean = F.when(untouched, text).otherwise(F.array_join(left, "\n"))
+    gone = F.when(untouched, F.lit(0)).otherwise(F.size(all_lines) - F.size(left))
+    names = [c for c in docs.columns if c != "n_dropped_lines"]
+    done = joined.select("__row", clean.alias("__clean"), gone.cast("int").alias("__gone"))
+    return done.select(*[F.col("__clean").alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in names], F.col("__gone").alias("n_dropped_lines"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,11 +138,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 def mixed_rows(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
     """The mix itself: every input row with all its columns, as often as it is taken."""
     _, plan, n = mixing_plan(docs, weights, share, epochs)
-    plan = plan.select(F.struct("source").alias("__key"), F.struct("whole", "threshold").alias("__plan"))
-    rows = docs.withColumn("__key", F.struct(F.col("source"))).withColumn("__h", row_hash())
-    joined = attach(rows, plan, ["__key"], n, F.col("__h"))
-    copies = F.when(size_words(F.col("text")) > 0, F.col("__plan.whole") + F.when(F.col("__h") < F.col("__plan.threshold"), 1).otherwise(0)).otherwise(F.lit(0))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(docs.columns)
+    # the row travels as one struct, so its columns may have any names
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("source"), size_words(F.col("text")).alias("__size"), row_hash().alias("__h"))
+    joined = attach(rows, plan.select("source", "whole", "threshold"), ["source"], n, F.col("__h"))
+    copies = copies_of(F.col("__size"), F.col("__h"))
+    return joined.select("__row", F.explode(F.array_repeat(F.lit(0), copies)).alias("__copy")).select("__row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
