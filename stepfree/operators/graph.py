@@ -245,7 +245,7 @@ def win_turns(spark, sf_dir):
 
 @query("graph_mesh")
 def graph_mesh(spark, sf_dir):
-    """A 40 x 40 grid joined to its eight neighbours, with attributes from a hash (the reference draws them at random)."""
+    """A 40 x 40 grid joined to its eight neighbours, with attributes from a hash (drawn, not stored: the same at every run)."""
     grid = spark.range(40).select(F.col("id").alias("y")).crossJoin(spark.range(40).select(F.col("id").alias("x")))
     step = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
     arcs = grid.withColumn("d", F.explode(step)).withColumn("y2", F.col("y") + F.col("d.dy")).withColumn("x2", F.col("x") + F.col("d.dx"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
-from conftest import DATA
 
 from stepfree import registry
 
+DATA = os.environ.get("STEPFREE_TEST_DATA", "/root/testdata/sf0.001")
 ORACLES = registry.all_oracles()
 
 
