@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepfree.llm.common import documents, id_crc, lower_words, stored
+from stepfree.llm.labelled import hashed_first
 
 TOP, ENDINGS, HEAD = 4096, 512, 200_000
 END = TOP + ENDINGS
@@ -79,8 +80,16 @@ class Lexicon:
 
 def lexicon(counts: DataFrame, texts: int) -> Lexicon:
     words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()
+    # a histogram of counts tells from which count on words fit the head: no sort, and no top list of every partition
+    level = F.floor(F.log2("n") * 64)
+    levels = sorted(((r["level"], r["v"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("v")).collect()), reverse=True)
+    reach = np.cumsum([v for _, v in levels])
+    inside = int(np.searchsorted(reach, HEAD, side="right"))
+    lowest = levels[inside - 1][0] if inside else 1 << 20
+    top = counts.where(level >= lowest).toArrow()
     h, n, e = (top.column(c).to_numpy() for c in ("h", "n", "ending"))
+    order = np.lexsort((h, -n))
+    h, n, e = h[order], n[order], e[order]
     by_ending = {r["ending"]: (r["n"], r["v"]) for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     mass, kinds = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for k, (a, b) in by_ending.items():
@@ -238,11 +247,12 @@ def sequences_of(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def train(rows: DataFrame, states: int, rounds: int, sample: int, sample_rounds: int, seed: int) -> Hmm:
-    """Baum-Welch: ``sample_rounds`` on ``sample`` texts in hash order to part the states, then ``rounds`` over all."""
+    """Baum-Welch: ``sample_rounds`` on about ``sample`` texts picked by hash to part the states, then ``rounds`` over all."""
     rng = np.random.default_rng(seed)
     size = states + states**2 + SYMBOLS * states
-    few = rows.where(F.length("symbols") <= 2 * SEGMENT).orderBy(F.xxhash64("symbols"), "row").select("symbols").limit(sample)
-    first = [np.frombuffer(r["symbols"], "<i2") for r in few.collect()]
+    short = rows.where(F.length("symbols") <= 2 * SEGMENT)
+    few = hashed_first(short, sample, seed, "doc_id", "row").select("symbols")
+    first = [np.frombuffer(x, "<i2") for x in sorted(r["symbols"] for r in few.collect())]
     unigram = np.full(SYMBOLS, 0.1) + (np.bincount(np.concatenate(first), minlength=SYMBOLS) if first else 0)
     unigram /= unigram.sum()
     emit = unigram[:, None] * rng.uniform(0.5, 1.5, (SYMBOLS, states))

@@ -6,7 +6,7 @@ the risk over U less the class prior times the risk over P; where that differenc
 negative it is not followed further but stepped back from, so the classifier can't gain
 by overfitting P. The prior is the share of toxic rows among the training labels.
 
-Fitting uses at most ``max_positive`` and ``max_unlabelled`` documents in hash order;
+Fitting uses at most ``max_positive`` and ``max_unlabelled`` documents picked by hash;
 scoring takes every whole text. Defined cases: null and empty texts score the classifier's
 bias; without any toxic training label every text scores 0; equal texts score alike.
 """
