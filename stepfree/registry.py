@@ -16,6 +16,7 @@ MODULES: tuple[str, ...] = (
     "stepfree.operators.evaluation",
     "stepfree.operators.scalars",
     "stepfree.operators.graph",
+    "stepfree.operators.profiles",
     "stepfree.streaming.jobs",
     "stepfree.sources.osm",
 )
