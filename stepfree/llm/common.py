@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -50,6 +51,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` wrote and nothing reads any more."""
+    jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if "/stepfree/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what is out of use, so that Spark removes the shuffle files of finished steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], rows: int, salt: Column, how: str = "inner", salts: int = 16) -> DataFrame:
     """Join ``small`` (``rows`` rows, unique by ``keys``) to ``big``; null keys match null keys.
 

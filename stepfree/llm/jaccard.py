@@ -16,9 +16,9 @@ is lost, at any size.
 
 Links. Candidate pairs are counted fragment by fragment: the overlap of the two segments
 of each of FRAGMENTS fragments, summed per pair. Documents with equal sets are one class
-from the start. In a key's bucket every class first meets only the smallest class; the
-links found join classes into components, and then only classes that share a key but not
-yet a component meet. A bucket whose members are all joined makes no further pairs; one
+from the start. Every class first meets one other only, the smallest of most of its
+buckets; the links found join classes into components, and then only classes that share a
+key but not yet a component meet. A bucket whose members are all joined makes no further pairs; one
 of up to SMALL_BUCKET members makes them one by one. In a larger one each set is written
 as its difference from the bucket's smallest set (a few n-grams, where copies are near),
 members are dealt into blocks of about BLOCK_SETS, and each pair of blocks is compared at
@@ -45,11 +45,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stepfree.llm.common import BROADCAST_ROWS, documents, lower_words, stored
+from stepfree.llm.common import BROADCAST_ROWS, discard, documents, lower_words, release, stored
 
 SEEDS = 8
 FRAGMENTS = 4
-GROWTH = 1.3
+GROWTH = 1.6
 #: Documents (about) whose n-grams are counted, and how many of them make an n-gram frequent.
 SAMPLE, FREQUENT, MOST = 4000, 8, 100_000
 #: Texts that are hashed at once.
@@ -344,16 +344,24 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reached by links)."""
     rule = Rule(n, num, den)
-    rows = stored(keyed(docs, rule, frequent_grams(docs, rule)), "keyed")
+    spark = docs.sparkSession
+    full = stored(keyed(docs, rule, frequent_grams(docs, rule)), "keyed")
+    rows = stored(full.select("doc_id", "n_shingles", "cls"), "rows")
     classes = stored(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes")
     in_key = W.partitionBy("key")
-    live = rows.select(F.explode("keys").alias("key"), "cls").select("key", "cls", F.min("cls").over(in_key).alias("low"), F.max("cls").over(in_key).alias("high"))
+    live = full.select(F.explode("keys").alias("key"), "cls").select("key", "cls", F.min("cls").over(in_key).alias("low"), F.max("cls").over(in_key).alias("high"))
     live = stored(live.where("low < high").select("key", "cls", "low").dropDuplicates(["key", "cls"]), "live")
+    discard(full)
+    release(spark)
     wanted = live.select("cls").distinct().join(classes, "cls")
     segments = stored(segments_of(docs, stored(wanted, "wanted"), rule), "segments")
+    release(spark)
 
-    stars = live.where("cls != low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct()
+    # one star for each class: the smallest class of most of its buckets
+    often = live.where("cls != low").groupBy("cls", "low").agg(F.count("*").alias("n"))
+    stars = often.groupBy("cls").agg(F.max_by("low", F.struct("n", "low")).alias("a")).select("a", F.col("cls").alias("b"))
     found = stored(links(stars, segments, rule), "links")
+    release(spark)
     comps = components(found)
     # classes that share a key but no component
     comp = F.coalesce("comp", "cls")
@@ -362,10 +370,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) ->
     split = stored(split.where("c0 < c1").select("key", "cls", "low", "comp", "members"), "split")
     small = split.where(F.col("members") <= SMALL_BUCKET)
     other = small.select("key", F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
-    # a pair with the bucket's smallest class has been counted above
-    rest = small.where("cls != low").join(other, "key").where("cls < b and comp != comp_b and b != low").select(F.col("cls").alias("a"), "b").distinct()
+    rest = small.join(other, "key").where("cls < b and comp != comp_b").select(F.col("cls").alias("a"), "b").distinct()
     large = split.where(F.col("members") > SMALL_BUCKET).select(F.col("low").alias("hub"), "cls", "comp").distinct()
     more = stored(links(rest, segments, rule).unionByName(block_links(stored(large, "large"), segments, rule)), "links2")
+    release(spark)
     if not more.isEmpty():
         comps = components(found.unionByName(more))
     named = comps.join(classes, comps["node"] == classes["cls"]).select("node", "comp", "doc_id")
