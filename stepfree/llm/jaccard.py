@@ -14,16 +14,18 @@ again with all its n-grams, under other orders (both sides of a pair that only e
 segments would join do so), and after SEEDS orders by its empty segments too. So no link
 is lost, at any size.
 
-Links. Candidate pairs are counted fragment by fragment: the overlap of the two segments
-of each of FRAGMENTS fragments, summed per pair. Documents with equal sets are one class
+Links. Candidate pairs are counted one fragment after the other: the overlap of the two
+segments is stored as a number, the segments that were shuffled for it go before the next
+fragment's, and the FRAGMENTS overlaps are summed per pair. Documents with equal sets are one class
 from the start. Every class first meets one other only, the smallest of most of its
 buckets; the links found join classes into components, and then only classes that share a
 key but not yet a component meet. A bucket whose members are all joined makes no further pairs; one
 of up to SMALL_BUCKET members makes them one by one. In a larger one each set is written
 as its difference from the bucket's smallest set (a few n-grams, where copies are near),
 members are dealt into blocks of about BLOCK_SETS, and each pair of blocks is compared at
-once: |x ^ y| is the size of the difference of the two differences. Such a task returns
-only links that join something, so neither its input nor its output grows with the bucket.
+once: |x ^ y| is the size of the difference of the two differences. Members of a bucket's
+largest component have blocks of their own, which meet only the other members' blocks. A task
+returns only links that join something, so neither its input nor its output grows with the bucket.
 
 Defined cases: with fewer than n words the whole sequence is one n-gram; null, empty and
 blank texts have no n-gram and link with nothing, themselves apart; rows that repeat are
@@ -254,12 +256,17 @@ def segments_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
 
 
 def links(pairs: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that link: overlaps are counted fragment by fragment and summed."""
-    left = segments.select(F.col("cls").alias("a"), F.col("size").alias("size_a"), "frag", F.col("seg").alias("seg_a"))
-    right = segments.select(F.col("cls").alias("b"), F.col("size").alias("size_b"), "frag", F.col("seg").alias("seg_b"))
-    parts = pairs.select("a", "b").join(right, "b").join(left, ["a", "frag"])
-    parts = parts.where((F.col("size_a") * rule.den >= F.col("size_b") * rule.num) & (F.col("size_b") * rule.den >= F.col("size_a") * rule.num))
-    counted = parts.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("seg_a", "seg_b")).alias("common"))
+    """The pairs (a, b) that link: overlaps are counted and stored fragment by fragment, then summed."""
+    pairs, counted = pairs.select("a", "b"), None
+    for frag in range(FRAGMENTS):
+        own = segments.where(F.col("frag") == frag)
+        left = own.select(F.col("cls").alias("a"), F.col("size").alias("size_a"), F.col("seg").alias("seg_a"))
+        right = own.select(F.col("cls").alias("b"), F.col("size").alias("size_b"), F.col("seg").alias("seg_b"))
+        parts = pairs.join(right, "b").join(left, "a")
+        parts = parts.where((F.col("size_a") * rule.den >= F.col("size_b") * rule.num) & (F.col("size_b") * rule.den >= F.col("size_a") * rule.num))
+        overlap = stored(parts.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("seg_a", "seg_b")).alias("common")), f"overlap{frag}")
+        release(pairs.sparkSession)
+        counted = overlap if counted is None else counted.unionByName(overlap)
     both = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
     return both.where(rule.den * F.col("common") >= rule.num * (F.col("size_a") + F.col("size_b") - F.col("common"))).select("a", "b")
 
@@ -267,13 +274,16 @@ def links(pairs: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
 def joining_links(table: pa.Table, rule: Rule) -> list[tuple[int, int]]:
     """Links between (or, where there is one block, within) two blocks, less those that join nothing new.
 
-    Rows: cls, size, comp, side (0 or 1), diff (n-grams in which the set differs from the hub's).
+    Rows: cls, size, comp, side (0 or 1), diff (n-grams of a fragment in which the set differs from
+    the hub's); a set has a row for every fragment in which it differs, and one at least.
     """
     cls, size, comp, side = (table.column(c).to_numpy() for c in ("cls", "size", "comp", "side"))
     lists = table.column("diff").combine_chunks()
-    width = np.diff(lists.offsets.to_numpy())
+    cls, first, member_of = np.unique(cls, return_index=True, return_inverse=True)  # a set is on one side only
+    row = np.repeat(member_of, np.diff(lists.offsets.to_numpy()))
+    size, comp, side = size[first], comp[first], side[first]
+    width = np.bincount(row, minlength=len(cls))
     flat, place, often = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(cls)), width)
     row, place = row[often[place] > 1], place[often[place] > 1]  # what one set alone has is in no overlap
     column = np.unique(place, return_inverse=True)[1]
     a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(cls)),) * 2
@@ -303,16 +313,34 @@ def joining_links(table: pa.Table, rule: Rule) -> list[tuple[int, int]]:
     return out
 
 
-def block_links(members: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) among the members (hub, cls, comp) of large buckets, block against block."""
-    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
-    own = segments.select("cls", "size", "frag", "seg")
-    hub = segments.select(F.col("cls").alias("hub"), "frag", F.col("seg").alias("hub_seg"))
-    parts = members.join(own, "cls").join(hub, ["hub", "frag"])
-    diff = F.concat(F.array_except("seg", "hub_seg"), F.array_except("hub_seg", "seg"))
-    rows = parts.select("hub", "cls", "comp", "size", diff.alias("d")).groupBy("hub", "cls").agg(F.first("comp").alias("comp"), F.first("size").alias("size"), F.flatten(F.collect_list("d")).alias("diff"))
-    rows = rows.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+def differences(members: DataFrame, segments: DataFrame) -> DataFrame:
+    """hub, cls, comp, size, diff: where the members (hub, cls, comp) of large buckets differ from the hub, by fragment."""
+    out = None
+    for frag in range(FRAGMENTS):
+        own = segments.where(F.col("frag") == frag)
+        hub = own.select(F.col("cls").alias("hub"), F.col("seg").alias("hub_seg"))
+        parts = members.join(own.select("cls", "size", "seg"), "cls").join(hub, "hub")
+        diff = F.concat(F.array_except("seg", "hub_seg"), F.array_except("hub_seg", "seg"))
+        part = parts.select("hub", "cls", "comp", "size", diff.alias("diff"))
+        part = stored(part if not frag else part.where(F.size("diff") > 0), f"differences{frag}")
+        release(members.sparkSession)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def block_links(members: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) among the members of large buckets, block against block; ``rows``: their ``differences``."""
+    comps = members.groupBy("hub", "comp").agg(F.count("*").alias("n"))
+    sizes = comps.groupBy("hub").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK_SETS).cast("int")
+    sizes = sizes.select("hub", "main", blocks(F.col("most")).alias("mains"), blocks(F.col("n") - F.col("most")).alias("others"))
+    # the largest component's members come last and meet only the others
+    inside = F.col("comp") == F.col("main")
+    place = F.xxhash64("cls")
+    block = F.when(inside, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int")
+    reach = F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    rows = rows.join(sizes.where("others > 0"), "hub").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), reach)))
+    dealt = rows.select(
         "hub", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cls", "comp", "size", "diff"
     )
 
@@ -354,13 +382,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) ->
     discard(full)
     release(spark)
     wanted = live.select("cls").distinct().join(classes, "cls")
-    segments = stored(segments_of(docs, stored(wanted, "wanted"), rule), "segments")
+    segments = stored(segments_of(docs, stored(wanted, "wanted"), rule), "segments", by="frag")
     release(spark)
 
     # one star for each class: the smallest class of most of its buckets
     often = live.where("cls != low").groupBy("cls", "low").agg(F.count("*").alias("n"))
     stars = often.groupBy("cls").agg(F.max_by("low", F.struct("n", "low")).alias("a")).select("a", F.col("cls").alias("b"))
-    found = stored(links(stars, segments, rule), "links")
+    found = stored(links(stored(stars, "stars"), segments, rule), "links")
     release(spark)
     comps = components(found)
     # classes that share a key but no component
@@ -372,7 +400,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) ->
     other = small.select("key", F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
     rest = small.join(other, "key").where("cls < b and comp != comp_b").select(F.col("cls").alias("a"), "b").distinct()
     large = split.where(F.col("members") > SMALL_BUCKET).select(F.col("low").alias("hub"), "cls", "comp").distinct()
-    more = stored(links(rest, segments, rule).unionByName(block_links(stored(large, "large"), segments, rule)), "links2")
+    near = stored(links(stored(rest, "rest"), segments, rule), "links2")
+    large = stored(large, "large")
+    apart = differences(large, segments)
+    discard(segments)
+    release(spark)
+    more = near.unionByName(stored(block_links(large, apart, rule), "links3"))
+    discard(apart)
     release(spark)
     if not more.isEmpty():
         comps = components(found.unionByName(more))
