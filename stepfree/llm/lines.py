@@ -11,6 +11,10 @@ left alone and never counted; null texts stay null; null hosts form one host; ho
 fewer than ``min_pages`` pages and lines on fewer than ``min_count`` pages are left alone;
 a page of which every worded line would go is a copy of a page, not boilerplate around
 one, and stays unchanged (near-duplicate detection is what thins copies out).
+
+The query is bound to OP2_SQL, so these limits hold there. The pipeline goes further, by
+``drop_repeats``: small hosts are not left out, the ratio is also taken over all hosts as
+one, and a long line needs few pages to count as repeated, wherever they lie.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfree.llm.common import attach, documents, stored
+from stepfree.llm.common import attach, documents, size_words, stored
 
 WORDED = r"[^\x20\x09-\x0D]"
 
@@ -68,6 +72,44 @@ def drop_boilerplate(
     return done.select(*[F.col("__clean").alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in names], F.col("__gone").alias("n_dropped_lines"))
 
 
+def pages_needed(words: Column) -> Column:
+    """Pages that must hold a line of so many words before it counts as a repeated passage: 50 at ten words, 2 from fifty on."""
+    return F.greatest(F.lit(2), F.ceil(5000 / (words * words)))
+
+
+def repeated_passages(docs: DataFrame, min_words: int, copy_share: float) -> DataFrame:
+    """key, lines: for each page (hash of doc_id and text) the passages of which another page holds the first copy.
+
+    The first page is the one with the smallest doc_id (nulls last), the page that near-duplicate
+    detection keeps too. A page that has ``copy_share`` of its words in common with one first page is
+    a copy of it as a whole and gets no row: near-duplicate detection thins it out.
+    """
+    key = F.xxhash64("doc_id", "text")
+    passages = F.filter(F.transform(_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), size_words(x).alias("words"))), lambda x: x["words"] >= min_words)
+    pages = docs.select(key.alias("key"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key.alias("key")).alias("page"), size_words(F.col("text")).alias("size"), F.array_distinct(passages).alias("passages"))
+    held = pages.select("key", "page", "size", F.inline("passages"))
+    often = held.groupBy("line", "words").agg(F.count("*").alias("n"), F.min("page").alias("first"))
+    often = stored(often.where(F.col("n") >= pages_needed(F.col("words"))).select("line", F.col("first.key").alias("first")), "passages")
+    found = attach(held, often, ["line"], often.count(), F.col("key")).where("key != first").select("key", "size", "line", "words", "first").distinct()
+    by_first = found.groupBy("key", "size", "first").agg(F.sum("words").alias("words"), F.collect_set("line").alias("lines"))
+    by_page = by_first.groupBy("key", "size").agg(F.max("words").alias("words"), F.flatten(F.collect_list("lines")).alias("lines"))
+    return by_page.where(F.col("words") < copy_share * F.col("size")).select("key", "lines")
+
+
+def drop_repeats(docs: DataFrame, host: str | Column = "source", min_words: int = 10, copy_share: float = 0.5) -> DataFrame:
+    """As ``drop_boilerplate``, for hosts of any size and for all hosts as one; then of every long passage one copy stays."""
+    names = [c for c in docs.columns if c != "n_dropped_lines"]
+    clean = drop_boilerplate(docs, host, min_pages=1).withColumnRenamed("n_dropped_lines", "__own")
+    clean = drop_boilerplate(clean, F.lit(""), min_pages=1).withColumnRenamed("n_dropped_lines", "__all")
+    gone = stored(repeated_passages(clean, min_words, copy_share), "repeats")
+    rows = clean.select(F.struct(*names).alias("__row"), (F.col("__own") + F.col("__all")).alias("__gone"), F.xxhash64("doc_id", "text").alias("key"))
+    joined = attach(rows, gone, ["key"], gone.count(), F.monotonically_increasing_id(), "left")
+    text, untouched = F.col("__row.text"), F.col("lines").isNull()
+    stay = F.filter(_lines(text), lambda x: ~F.array_contains(F.col("lines"), F.xxhash64(x)))
+    done = joined.select("__row", F.when(untouched, text).otherwise(F.array_join(stay, "\n")).alias("__clean"), (F.col("__gone") + F.when(untouched, 0).otherwise(F.size(_lines(text)) - F.size(stay))).cast("int").alias("__gone"))
+    return done.select(*[F.col("__clean").alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in names], F.col("__gone").alias("n_dropped_lines"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_dropped_lines, n_chars_left and md5_left of every document, by source."""
     left = drop_boilerplate(documents(spark, sf_dir).select("doc_id", "text", "source"))
