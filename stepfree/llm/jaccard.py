@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stepfree.llm.common import BROADCAST_ROWS, discard, documents, lower_words, release, stored
+from stepfree.llm.common import BROADCAST_ROWS, attach, discard, documents, lower_words, release, stored
 
 SEEDS = 8
 FRAGMENTS = 4
@@ -205,7 +205,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def keyed(docs: DataFrame, rule: Rule, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, cls (hash of the set, null if empty) and keys (null for a set this task has keyed before)."""
+    """doc_id, txt (hash of the text), n_shingles, cls (hash of the set, null if empty) and keys (none for a set this task has keyed before)."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,11 +224,11 @@ def keyed(docs: DataFrame, rule: Rule, frequent: np.ndarray) -> DataFrame:
                 offsets = np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), _signed(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(size), pa.array(cls.view(np.int64), mask=size == 0), lists], ["doc_id", "n_shingles", "cls", "keys"]
+                    [batch.column("doc_id"), batch.column("txt"), pa.array(size), pa.array(cls.view(np.int64), mask=size == 0), lists], ["doc_id", "txt", "n_shingles", "cls", "keys"]
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_shingles long, cls long, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("txt")).mapInArrow(rows, f"doc_id {kind}, txt long, n_shingles long, cls long, keys array<long>")
 
 
 def segments_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
@@ -369,12 +369,11 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "comp")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reached by links)."""
-    rule = Rule(n, num, den)
+def linked_classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, txt, n_shingles, cls), the classes (cls, smallest doc_id) and the linked ones' components (node, comp)."""
     spark = docs.sparkSession
     full = stored(keyed(docs, rule, frequent_grams(docs, rule)), "keyed")
-    rows = stored(full.select("doc_id", "n_shingles", "cls"), "rows")
+    rows = stored(full.select("doc_id", "txt", "n_shingles", "cls"), "rows")
     classes = stored(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes")
     in_key = W.partitionBy("key")
     live = full.select(F.explode("keys").alias("key"), "cls").select("key", "cls", F.min("cls").over(in_key).alias("low"), F.max("cls").over(in_key).alias("high"))
@@ -410,6 +409,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) ->
     release(spark)
     if not more.isEmpty():
         comps = components(found.unionByName(more))
+    return rows, classes, comps
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reached by links)."""
+    rows, classes, comps = linked_classes(docs, Rule(n, num, den))
     named = comps.join(classes, comps["node"] == classes["cls"]).select("node", "comp", "doc_id")
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_class = classes.join(
@@ -419,11 +424,34 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) ->
     return rows.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **rule: int) -> DataFrame:
-    """The rows whose doc_id names their component: one of each group of near duplicates (rows without an id stay)."""
-    near = stored(near_duplicates(docs, **rule), "near")
-    gone = near.where("doc_id is not null and component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """One row of each group of near duplicates; rows without an n-gram are in no group and stay.
+
+    Rows are told apart by doc_id and text: the smallest doc_id of a group stays (nulls last), of
+    several texts under it that with the smallest hash, and of rows equal in both the smallest row.
+    """
+    rows, _, comps = linked_classes(docs, Rule(n, num, den))
+    comps = stored(comps, "comps")
+    rows = attach(rows.where("cls is not null"), comps.withColumnRenamed("node", "cls"), ["cls"], comps.count(), F.xxhash64("doc_id", "txt"), "left")
+    keys = stored(rows.groupBy(F.coalesce("comp", "cls").alias("comp"), "doc_id", "txt").agg(F.count("*").alias("n")), "keys")
+    first = keys.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "txt")).alias("first"), F.sum("n").alias("size"))
+    first = stored(first.where("size > 1").select("comp", F.col("first.doc_id").alias("first_id"), F.col("first.txt").alias("first_txt")), "first")
+    grouped = attach(keys, first, ["comp"], first.count(), F.xxhash64("doc_id", "txt"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("txt") == F.col("first_txt"))
+    named = ["doc_id", F.col("txt").alias("__txt")]
+    gone = stored(grouped.where(~stays).select(*named).distinct(), "gone")
+    equal = stored(grouped.where(stays & (F.col("n") > 1)).select(*named), "equal")
+    marked = docs.withColumn("__txt", F.xxhash64("text"))
+    salt = F.xxhash64("doc_id", "__txt")
+    left = attach(marked, gone, ["doc_id", "__txt"], gone.count(), salt, "left_anti")
+    many = equal.count()
+    if not many:
+        return left.select(docs.columns)
+    alone = attach(left, equal, ["doc_id", "__txt"], many, salt, "left_anti").select(docs.columns)
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
+    one = attach(marked, equal, ["doc_id", "__txt"], many, salt, "left_semi").select("doc_id", "__txt", row)
+    one = one.groupBy(F.col("doc_id").alias("__id"), "__txt").agg(F.min("__row").alias("__row"))
+    return alone.unionByName(one.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,6 +211,23 @@ def test_jaccard_odd(odd, odd_rows, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(9)
+    own = lambda: " ".join(f"k{rng.randrange(10**6)}" for _ in range(40))
+    a, b, c, d, e = (own() for _ in range(5))
+    rows = [(1, a, "x"), (7, a + " z", "x"), (7, b, "x")]  # two texts under one id, one of them a near copy
+    rows += [(None, c, "x"), (None, c, "y"), (None, c + " z", "x"), (None, a, "x")]  # no ids
+    rows += [(9, d, "x"), (9, d, "x"), (9, d, "w"), (3, e, "x"), (3, e + " z", "x")]  # equal ids
+    rows += [(20, None, "x"), (20, None, "x"), (None, " ", "x")]  # in no group
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    out = jaccard.keep_one(df)
+    assert out.columns == df.columns
+    got = Counter((r["doc_id"], (r["text"] or "").split(" z")[0], r["lang"]) for r in out.collect())
+    assert got[None, c, "x"] + got[None, c, "y"] == 1
+    got = Counter({(d_, t, "" if t == c else v): n for (d_, t, v), n in got.items()})
+    assert got == {(1, a, "x"): 1, (7, b, "x"): 1, (None, c, ""): 1, (9, d, "w"): 1, (3, e, "x"): 1, (20, "", "x"): 2, (None, " ", "x"): 1}
+
+
 # search
 
 
