@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from stepfree.functions import cost, geo, risk
-from stepfree.operators import filters, graph
+from stepfree.functions import sqltext as sql
+from stepfree.operators import filters, graph, profiles
 from stepfree.sources import osm
 from stepfree.spatial import within_distance
 from stepfree.streaming import jobs
+from stepfree.views import with_views
+
+DATA = os.environ.get("STEPFREE_TEST_DATA", "/root/testdata/sf0.001")
 
 
 def one(spark, column):
@@ -80,3 +85,14 @@ def test_routes(spark):
     rows = [("view", 0, "{}"), ("error", 0, "{}"), ("error", 3, "{}"), ("view", 0, "no json"), ("view", 0, None)]
     df = spark.createDataFrame(rows, "event_type string, attempt int, payload string")
     assert [r.route for r in jobs.routed(df).collect()] == ["ok", "retry", "dead", "dead", "dead"]
+
+
+def test_alerts_and_headings_of_all_rows(spark, same):
+    """Against all pairs: every request, every active hazard, every hazard."""
+    d = sql.haversine("n.lat", "n.lon", "h.lat", "h.lon")
+    active = "h.status in ('reported', 'under_review')"
+    alerts = f"select r.id as route_id, h.id as hazard_id, round({d}, 3) as distance_m from request r join node n on n.id = r.start_node join hazard h on {active} where {d} <= 200"
+    assert same(profiles.stream_alerts(spark, DATA), with_views(alerts)) > 0
+    nearest = f"""with near as (select h.id, n.id as node_id from hazard h cross join node n where {d} <= 150 qualify row_number() over (partition by h.id order by {d}, n.id) = 1)
+select near.id, near.node_id from near join node m on m.id = near.node_id + 1"""
+    assert same(profiles.geo_heading(spark, DATA).select("id", "node_id"), with_views(nearest)) > 0
