@@ -118,73 +118,160 @@ def join_graph_traverse(spark, sf_dir):
     return relaxed(forward, start, hops=5).select("node", F.col("cost").cast("long").alias("hops"))
 
 
+#: No edge is passed faster (metres a second); degrees added around both ends in each round, then the whole graph.
+FASTEST = 2.0
+PADS = (0.004, 0.016, 0.064)
+FOUND = "start_node long, end_node long, cost double, hops int, path array<long>"
+
+
 def astar(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One request over its slice: best-first search with straight-line time as the lower bound."""
-    out = {"id": pdf["id"].iat[0], "cost": np.inf, "hops": -1, "path": []}
-    start, goal = int(pdf["start_node"].iat[0]), int(pdf["end_node"].iat[0])
-    place = dict(zip(pdf["src"], zip(pdf["lat"], pdf["lon"], strict=True), strict=True))
-    place.update(zip(pdf["dst"], zip(pdf["blat"], pdf["blon"], strict=True), strict=True))
-    arcs: dict[int, list[tuple[int, float]]] = {}
-    for s, d, c in zip(pdf["src"], pdf["dst"], pdf["seconds"], strict=True):
-        arcs.setdefault(int(s), []).append((int(d), float(c)))
-    if start in place and goal in place:
-        glat, glon = place[goal]
-
-        def bound(n: int) -> float:
-            lat, lon = place[n]
-            x = np.radians(glon - lon) * np.cos(np.radians((lat + glat) / 2))
-            return float(geo.EARTH_M * np.hypot(x, np.radians(glat - lat)) / 2.0)
-
-        best, back, queue = {start: 0.0}, {}, [(bound(start), start)]
-        done: set[int] = set()
-        while queue:
+    """Least-cost paths of a group over its slice: best-first search from each start, with the straight-line time to the rectangle of the ends as lower bound.
+
+    Rows are edges (src, dst, seconds, lat, lon, blat, blon) and, with a null src, the pairs (start_node, end_node).
+    """
+    pairs, edges = pdf[pdf["src"].isna()], pdf[pdf["src"].notna()]
+    ids = np.r_[edges["src"].to_numpy(np.int64), edges["dst"].to_numpy(np.int64)]
+    names, first, at = np.unique(ids, return_index=True, return_inverse=True)
+    lat = np.r_[edges["lat"].to_numpy(), edges["blat"].to_numpy()][first]
+    lon = np.r_[edges["lon"].to_numpy(), edges["blon"].to_numpy()][first]
+    place = {n: i for i, n in enumerate(names.tolist())}
+    arcs: list[list[tuple[int, float]]] = [[] for _ in place]
+    for s, d, c in zip(at[: len(edges)].tolist(), at[len(edges) :].tolist(), edges["seconds"].tolist(), strict=True):
+        arcs[s].append((d, c))
+    wanted: dict[int, set[int]] = {}
+    for s, d in zip(pairs["start_node"].astype("int64").tolist(), pairs["end_node"].astype("int64").tolist(), strict=True):
+        wanted.setdefault(s, set()).add(d)
+    ends = [place[d] for goals in wanted.values() for d in goals if d in place]
+    bound = np.zeros(len(names))
+    if ends:
+        north = np.maximum(0, np.maximum(lat[ends].min() - lat, lat - lat[ends].max()))
+        east = np.maximum(0, np.maximum(lon[ends].min() - lon, lon - lon[ends].max()))
+        shrink = np.cos(np.radians(np.abs(lat).max()))
+        bound = geo.EARTH_M * np.hypot(np.radians(north), np.radians(east) * shrink) / FASTEST
+    lower = bound.tolist()
+    out = []
+    for start, goals in wanted.items():
+        left = {place[g] for g in goals if g in place} if start in place else set()
+        best, back, done = {}, {}, set()
+        queue = []
+        if left:
+            best[place[start]] = 0.0
+            queue.append((lower[place[start]], place[start]))
+        while queue and left:
             _, n = heapq.heappop(queue)
             if n in done:
                 continue
             done.add(n)
-            if n == goal:
+            left.discard(n)
+            here = best[n]
+            for d, c in arcs[n]:
+                if here + c < best.get(d, np.inf):
+                    best[d], back[d] = here + c, n
+                    heapq.heappush(queue, (here + c + lower[d], d))
+        for g in goals:
+            n = place.get(g)
+            if n in done:
                 path = [n]
-                while path[-1] != start:
+                while path[-1] in back:
                     path.append(back[path[-1]])
-                out |= {"cost": best[n], "hops": len(path) - 1, "path": path[::-1]}
-                break
-            for d, c in arcs.get(n, ()):
-                if best[n] + c < best.get(d, np.inf):
-                    best[d], back[d] = best[n] + c, n
-                    heapq.heappush(queue, (best[d] + bound(d), d))
-    return pd.DataFrame([out])
+                out.append((start, g, best[n], len(path) - 1, names[path[::-1]].tolist()))
+            else:
+                out.append((start, g, 0.0 if start == g else np.inf, 0 if start == g else -1, [g] if start == g else []))
+    return pd.DataFrame(out, columns=["start_node", "end_node", "cost", "hops", "path"])
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder (held in the executors where none is set)."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return df.persist()
+    path = f"{base}/stepfree/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def with_all(pairs: DataFrame, paths: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` with their paths; those without one get infinite cost, -1 and an empty path."""
+    found = pairs.join(paths, ["start_node", "end_node"], "left")
+    return found.withColumns({"cost": F.coalesce("cost", F.lit(float("inf"))), "hops": F.coalesce("hops", F.lit(-1)), "path": F.coalesce("path", F.array().cast("array<long>"))})
 
-def searched(spark: SparkSession, sf_dir: str, profile: str, modulus: int) -> DataFrame:
-    """A* for requests of the nodes' first rows: weights by Catalyst, each request a group over its slice of nearby edges."""
+
+def least_paths(nodes: DataFrame, arcs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """start_node, end_node, cost, hops, path of each pair; no path: infinite cost, -1 and an empty path.
+
+    ``arcs``: src, dst, seconds, lat, lon, blat, blon; ``pairs``: start_node, end_node. Pairs are grouped by the cells
+    of both ends and searched in the slice of the graph around these cells. A result is final when no path that
+    leaves the slice can cost less; the other pairs are searched again in wider slices, at last in the whole graph.
+    """
+    arcs = kept(arcs, "arcs")
+    ends = nodes.select("id", "lat", "lon")
+    asked = pairs.distinct().join(ends.toDF("start_node", "slat", "slon"), "start_node").join(ends.toDF("end_node", "elat", "elon"), "end_node")
+    span = nodes.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    if span[0] is None:
+        return with_all(pairs.distinct(), pairs.sparkSession.createDataFrame([], FOUND))
+    cells = [geo.cell(F.col(c), SHARD).alias(k) for c, k in (("slat", "sy"), ("slon", "sx"), ("elat", "ey"), ("elon", "ex"))]
+    open_ = kept(asked.select("*", *cells), "asked")
+    group = ["sy", "sx", "ey", "ex"]
+    edge_columns = ["src", "dst", "seconds", "lat", "lon", "blat", "blon"]
+    out = None
+    for pad in (*PADS, None):
+        boxes = open_.select(*group).distinct()
+        if pad is None:
+            slices = boxes.crossJoin(F.broadcast(arcs) if arcs.count() <= 100_000 else arcs)
+        else:
+            lo = lambda a, b: F.floor((F.least(a, b) * SHARD - pad) / SHARD).cast("long")
+            hi = lambda a, b: F.floor(((F.greatest(a, b) + 1) * SHARD + pad) / SHARD).cast("long")
+            spread = boxes.withColumn("cy", F.explode(F.sequence(lo("sy", "ey"), hi("sy", "ey")))).withColumn("cx", F.explode(F.sequence(lo("sx", "ex"), hi("sx", "ex"))))
+            placed = arcs.withColumn("cy", geo.cell(F.col("lat"), SHARD)).withColumn("cx", geo.cell(F.col("lon"), SHARD))
+            slices = spread.join(placed, ["cy", "cx"])
+        rows = slices.select(*group, F.lit(None).cast("long").alias("start_node"), F.lit(None).cast("long").alias("end_node"), *edge_columns)
+        none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in edge_columns]
+        rows = rows.unionByName(open_.select(*group, "start_node", "end_node", *none))
+        found = open_.join(rows.groupBy(*group).applyInPandas(astar, FOUND), ["start_node", "end_node"])
+        if pad is not None:
+            # seconds from both ends to the sides of the slice beyond which the graph goes on
+            far, side = F.lit(float("inf")), []
+            low, high = lo("sy", "ey") * SHARD, (hi("sy", "ey") + 1) * SHARD
+            west, east = lo("sx", "ex") * SHARD, (hi("sx", "ex") + 1) * SHARD
+            metre = np.radians(1) * geo.EARTH_M
+            shrink = F.cos(F.radians(F.lit(max(abs(span[0]), abs(span[1])))))
+            for y, x in (("slat", "slon"), ("elat", "elon")):
+                south_north = F.least(F.when(low > span[0], F.col(y) - low).otherwise(far), F.when(high <= span[1], high - F.col(y)).otherwise(far))
+                west_east = F.least(F.when(west > span[2], F.col(x) - west).otherwise(far), F.when(east <= span[3], east - F.col(x)).otherwise(far))
+                side.append(F.least(south_north * metre, west_east * metre * shrink) / FASTEST)
+            found = found.withColumn("__final", (F.col("cost") <= side[0] + side[1]) | (side[0] == far))
+        else:
+            found = found.withColumn("__final", F.lit(True))
+        found = kept(found, "paths")
+        part = found.where("__final").select("start_node", "end_node", "cost", "hops", "path")
+        out = part if out is None else out.unionByName(part)
+        open_ = found.where("not __final").select("start_node", "end_node", "slat", "slon", "elat", "elon", *group)
+        if open_.isEmpty():
+            break
+    return with_all(pairs.distinct(), out)
+
+
+def searched(spark: SparkSession, sf_dir: str, profile: str) -> DataFrame:
+    """Least-cost paths of all requests between their nodes: weights by Catalyst, requests for the same nodes searched once."""
     nodes, edges = graph(spark, sf_dir)
     register(spark, sf_dir, "request")
     seconds = cost.traversal(profile, F.col("dist"), edge_penalty(profile))
     arcs = with_midpoints(nodes, edges.withColumn("seconds", seconds)).select("src", "dst", "seconds", F.col("alat").alias("lat"), F.col("alon").alias("lon"), "blat", "blon")
-    asked = spark.table("request").where(f"id % {modulus} = 0").select("id", (F.col("start_node") % 200).alias("start_node"), (F.col("end_node") % 200).alias("end_node"))
-    ends = nodes.select("id", "lat", "lon")
-    box = asked.join(ends.toDF("start_node", "slat", "slon"), "start_node").join(ends.toDF("end_node", "elat", "elon"), "end_node")
-    pad = 0.004
-    cells = box.select(
-        "id", "start_node", "end_node",
-        F.explode(F.sequence(geo.cell(F.least("slat", "elat") - pad, SHARD), geo.cell(F.greatest("slat", "elat") + pad, SHARD))).alias("cy"),
-        (F.least("slon", "elon") - pad).alias("west"), (F.greatest("slon", "elon") + pad).alias("east"),
-    ).select("id", "start_node", "end_node", "cy", F.explode(F.sequence(geo.cell(F.col("west"), SHARD), geo.cell(F.col("east"), SHARD))).alias("cx"))
-    keyed = arcs.withColumn("cy", geo.cell(F.col("lat"), SHARD)).withColumn("cx", geo.cell(F.col("lon"), SHARD))
-    slices = cells.join(keyed, ["cy", "cx"]).drop("cy", "cx")
-    return slices.groupBy("id").applyInPandas(astar, "id long, cost double, hops int, path array<long>")
+    asked = spark.table("request").select("id", "start_node", "end_node")
+    paths = least_paths(nodes, arcs, asked.select("start_node", "end_node"))
+    return with_all(asked, paths).select("id", "cost", "hops", "path")
 
 
 @query("graph_astar")
 def graph_astar(spark, sf_dir):
-    return searched(spark, sf_dir, "standard", 500).select("id", F.round("cost", 3).alias("cost"), "hops", "path")
+    return searched(spark, sf_dir, "standard").select("id", F.round("cost", 3).alias("cost"), "hops", "path")
 
 
 @query("graph_path_check")
 def graph_path_check(spark, sf_dir):
     """Hops of found paths that no edge carries: none may be left."""
     _, edges = graph(spark, sf_dir)
-    paths = searched(spark, sf_dir, "standard", 500).where("hops > 0").select("id", F.posexplode("path").alias("pos", "src"))
+    paths = searched(spark, sf_dir, "standard").where("hops > 0").select("id", F.posexplode("path").alias("pos", "src"))
     hops = paths.withColumn("dst", F.lead("src").over(W.partitionBy("id").orderBy("pos"))).where("dst is not null")
     broken = hops.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
     return broken.groupBy().agg(F.count("*").alias("broken_hops"))
@@ -194,7 +281,7 @@ def graph_path_check(spark, sf_dir):
 def agg_route_summary(spark, sf_dir):
     """Length, distance-weighted safety and steps of the paths found."""
     _, edges = graph(spark, sf_dir)
-    paths = searched(spark, sf_dir, "standard", 500).where("hops > 0").select("id", F.posexplode("path").alias("pos", "src"))
+    paths = searched(spark, sf_dir, "standard").where("hops > 0").select("id", F.posexplode("path").alias("pos", "src"))
     hops = paths.withColumn("dst", F.lead("src").over(W.partitionBy("id").orderBy("pos"))).where("dst is not null")
     steps = hops.join(edges.groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.max("lighting").alias("lighting")), ["src", "dst"])
     return steps.groupBy("id").agg(

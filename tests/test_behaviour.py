@@ -96,3 +96,42 @@ def test_alerts_and_headings_of_all_rows(spark, same):
     nearest = f"""with near as (select h.id, n.id as node_id from hazard h cross join node n where {d} <= 150 qualify row_number() over (partition by h.id order by {d}, n.id) = 1)
 select near.id, near.node_id from near join node m on m.id = near.node_id + 1"""
     assert same(profiles.geo_heading(spark, DATA).select("id", "node_id"), with_views(nearest)) > 0
+
+
+def test_every_request_gets_its_path(spark, duck):
+    """All requests, between their own nodes, at the cost that repeated relaxation of all edges finds."""
+    nodes, edges = graph.graph(spark, DATA)
+    seconds = cost.traversal("standard", F.col("dist"), graph.edge_penalty("standard"))
+    arcs = [tuple(r) for r in edges.select("src", "dst", seconds).collect()]
+    known = {r.id for r in nodes.select("id").collect()}
+    asked = {r[0]: r[1:] for r in duck.execute(with_views("select id, start_node, end_node from request")).fetchall()}
+    least = {}
+    for start in {s for s, _ in asked.values()} & known:
+        best = {start: 0.0}
+        while True:
+            new = dict(best)
+            for s, d, c in arcs:
+                if s in new and new[s] + c < new.get(d, float("inf")):
+                    new[d] = new[s] + c
+            if new == best:
+                break
+            best = new
+        least[start] = best
+    out = {r.id: r for r in graph.graph_astar(spark, DATA).collect()}
+    assert set(out) == set(asked)
+    for i, (s, d) in asked.items():
+        want = least.get(s, {}).get(d, float("inf")) if d in known else float("inf")
+        assert out[i].cost == pytest.approx(want, abs=1e-3), (i, s, d)
+        assert (out[i].path[0], out[i].path[-1]) == (s, d) if out[i].hops >= 0 else out[i].path == []
+
+
+def test_path_outside_the_box(spark):
+    """A cheap path far around, and one that exists only there; no edges at all for the third pair."""
+    place = {1: (52.0, -1.0), 2: (52.0, -0.998), 3: (52.2, -1.0), 4: (52.2, -0.998), 5: (52.0, -0.99), 6: (52.4, -1.0)}
+    nodes = spark.createDataFrame([(k, *v) for k, v in place.items()], "id long, lat double, lon double")
+    hops = [(1, 2, 90_000.0), (1, 3, 20_000.0), (3, 4, 100.0), (4, 2, 20_000.0), (4, 5, 20_000.0)]
+    arcs = spark.createDataFrame([(s, d, c, *place[s], *place[d]) for s, d, c in hops], "src long, dst long, seconds double, lat double, lon double, blat double, blon double")
+    pairs = spark.createDataFrame([(1, 2), (1, 5), (6, 1), (6, 6), (1, 99)], "start_node long, end_node long")
+    out = {(r.start_node, r.end_node): (r.cost, r.path) for r in graph.least_paths(nodes, arcs, pairs).collect()}
+    inf = float("inf")
+    assert out == {(1, 2): (40_100.0, [1, 3, 4, 2]), (1, 5): (40_100.0, [1, 3, 4, 5]), (6, 1): (inf, []), (6, 6): (0.0, [6]), (1, 99): (inf, [])}
