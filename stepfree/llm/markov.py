@@ -247,11 +247,12 @@ def sequences_of(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def train(rows: DataFrame, states: int, rounds: int, sample: int, sample_rounds: int, seed: int) -> Hmm:
-    """Baum-Welch: ``sample_rounds`` on about ``sample`` texts picked by hash to part the states, then ``rounds`` over all."""
+    """Baum-Welch: ``sample_rounds`` on a segment of about ``sample`` texts picked by hash to part the states, then ``rounds`` over all."""
     rng = np.random.default_rng(seed)
     size = states + states**2 + SYMBOLS * states
-    short = rows.where(F.length("symbols") <= 2 * SEGMENT)
-    few = hashed_first(short, sample, seed, "doc_id", "row").select("symbols")
+    segments = F.greatest(F.lit(1), F.ceil(F.length("symbols") / (2 * SEGMENT)).cast("int"))
+    at = 2 * SEGMENT * F.pmod(F.xxhash64("symbols", F.lit(seed)), segments).cast("int") + 1  # two bytes a symbol
+    few = hashed_first(rows, sample, seed, "doc_id", "row").select(F.substring("symbols", at, F.lit(2 * SEGMENT)).alias("symbols"))
     first = [np.frombuffer(x, "<i2") for x in sorted(r["symbols"] for r in few.collect())]
     unigram = np.full(SYMBOLS, 0.1) + (np.bincount(np.concatenate(first), minlength=SYMBOLS) if first else 0)
     unigram /= unigram.sum()
@@ -261,7 +262,7 @@ def train(rows: DataFrame, states: int, rounds: int, sample: int, sample_rounds:
     for _ in range(sample_rounds if first else 0):
         model = reestimated(expected_counts(model, first), states, unigram)
     context = rows.sparkSession.sparkContext
-    for _ in range(rounds if first else 0):
+    for _ in range(0 if rows.isEmpty() else rounds):
         held = context.broadcast(model)
 
         def expected(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

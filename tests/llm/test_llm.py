@@ -341,6 +341,20 @@ def test_language_scores(odd, odd_rows, empty):
     assert markov.score_language(empty).count() == 0
 
 
+def test_language_of_long_texts(spark):
+    """Where every training text is longer than a segment, the model still learns."""
+    rng = random.Random(6)
+    rows = [(i, prose_of(rng, markov.SEGMENT + 900)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [r for r in markov.score_language(docs, states=3, rounds=2, sample_rounds=4).collect() if r["held_out"]]
+    assert out and all(r["score"] > r["base_score"] - 0.05 * r["n_tokens"] for r in out)
+
+
+def prose_of(rng: random.Random, n: int) -> str:
+    """Nouns and verbs in turn, few of each often."""
+    return " ".join(f"{'nv'[i % 2]}{min(rng.randrange(40), rng.randrange(40))}" for i in range(n))
+
+
 # classifiers
 
 
