@@ -7,8 +7,9 @@ an article. A decision tree, trained on the small labelled table of LABELLED_PAG
 or drops it; kept blocks are joined in page order.
 
 Defined cases: null html counts as empty; a page without kept blocks has empty text;
-scripts, styles, comments and the head are never text; ``<br>`` is white space; unclosed
-elements end where an enclosing element ends; white space is what Python's ``str.split``
+scripts, styles, comments and the head are never text (the head ends where a tag stands that may
+not be in one); elements of HIDDEN_ELEMENTS are no text up to their end tag, and hide nothing
+where they have none; ``<br>`` is white space; unclosed elements end where an enclosing element ends; white space is what Python's ``str.split``
 takes for it; pages of any length are taken whole; equal rows get equal results.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select|head)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
@@ -35,6 +36,10 @@ NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 LETTERS = re.compile(r"[a-z]+")
 
+#: Elements whose content is no text.
+HIDDEN_ELEMENTS = frozenset("noscript template svg iframe object select title".split())
+#: Tags that may stand in a head; any other one ends it.
+HEAD_TAGS = frozenset("head title meta link base basefont bgsound noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that cut the text into blocks.
 BLOCK = frozenset(
@@ -86,6 +91,37 @@ def element_kind(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
     return furniture, article and not furniture
 
 
+def hidden_ends(tokens: list[re.Match]) -> dict[int, int]:
+    """Start tag of a hidden element or head -> the last token that belongs to it; start tags without an end are left out."""
+    ends: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for k, m in enumerate(tokens):
+        tag = (m["tag"] or "").lower()
+        if tag in HIDDEN_ELEMENTS:
+            if m["end"]:
+                if open_.get(tag):
+                    ends[open_[tag].pop()] = k
+            elif not m["attrs"].rstrip().endswith("/"):
+                open_.setdefault(tag, []).append(k)
+    k = 0
+    while k < len(tokens):
+        if (tokens[k]["tag"] or "").lower() == "head" and not tokens[k]["end"]:
+            last = at = k
+            while at + 1 < len(tokens):
+                m = tokens[at + 1]
+                tag = (m["tag"] or "").lower()
+                if tag and tag not in HEAD_TAGS:
+                    break
+                at = ends.get(at + 1, at + 1)
+                last = at
+                if tag == "head" and m["end"]:
+                    break
+            ends[k] = last
+            k = last
+        k += 1
+    return ends
+
+
 def blocks_of(html: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
@@ -103,14 +139,22 @@ def blocks_of(html: str) -> list[Block]:
         parts.clear()
         linked = 0
 
-    at = 0
-    for m in MARKUP.finditer(html):
+    tokens = list(MARKUP.finditer(html))
+    ends = hidden_ends(tokens)
+    at, last = 0, -1
+    for k_token, m in enumerate(tokens):
+        if k_token <= last:
+            continue
         if m.start() > at:
             raw = html[at : m.start()]
             parts.append(raw)
             if in_link:
                 linked += len(" ".join(raw.split()))
         at = m.end()
+        if k_token in ends:
+            last = ends[k_token]
+            at = tokens[last].end()
+            continue
         tag = m["tag"]
         if tag is None:
             continue

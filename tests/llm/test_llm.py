@@ -146,6 +146,25 @@ def test_html():
     assert html.main_text("<p>just a line of text that is not in any article", tree) == "just a line of text that is not in any article"
 
 
+def test_html_unclosed():
+    """A head, noscript, svg, ... without an end tag hides no more than what belongs to it."""
+    tree = html.DecisionTree(*html.labelled_table())
+    line = "The lift at the north gate is out of order until the end of next week."
+    article = f"<article><p>{line}</p></article>"
+    for start in (
+        "<html><head><title>x</title><body>", "<head><meta charset=utf-8><title>x</title><script>1</script><div></div>", "<html><head><noscript><p>no</p></noscript></head>",
+        "<head><title>x</title><style>p{}", "<head><title>x</title><template><p>no</p></template><!-- no -->",
+    ):
+        want = "" if start.endswith("{}") else line
+        assert html.main_text(start + article, tree) == want, start
+    for tag in ("noscript", "svg", "object", "select", "iframe", "template"):
+        assert html.main_text(f"<{tag}>{article}", tree) == line, tag
+        assert html.main_text(f"<article><{tag} class='z'><p>{line}</p></article>", tree) == line, tag
+        assert html.main_text(f"<article><p>{line}</p><{tag}><p>no</p></div></{tag}></article>", tree) == line, tag
+        assert html.main_text(f"<article><p>{line}<{tag}>no</{tag.upper()} ></p></article>", tree) == line, tag
+    assert html.main_text(f"<article><svg><g><svg>no</svg>no</g></svg><p>{line}</p></article>", tree) == line
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<article><p>a b</p></article>"), (None, None, None), (2, "u", ""), (3, "u", "<p>" + "w " * 100_000)]
     out = html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
