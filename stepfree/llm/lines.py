@@ -96,7 +96,7 @@ def repeated_passages(docs: DataFrame, min_words: int, copy_share: float) -> Dat
     return by_page.where(F.col("words") < copy_share * F.col("size")).select("key", "lines")
 
 
-def drop_repeats(docs: DataFrame, host: str | Column = "source", min_words: int = 10, copy_share: float = 0.5) -> DataFrame:
+def drop_repeats(docs: DataFrame, host: str | Column = "source", min_words: int = 10, copy_share: float = 0.2) -> DataFrame:
     """As ``drop_boilerplate``, for hosts of any size and for all hosts as one; then of every long passage one copy stays."""
     names = [c for c in docs.columns if c != "n_dropped_lines"]
     clean = drop_boilerplate(docs, host, min_pages=1).withColumnRenamed("n_dropped_lines", "__own")

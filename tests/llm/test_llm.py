@@ -81,13 +81,13 @@ def test_line_stage_repeats(spark):
     rng = random.Random(8)
     own = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
     passage, short = own(50), own(9)
-    rows = [(i, f"{own(70)}\n{passage}\nmenu", f"h{i}", 0) for i in range(2)]  # one on each host
+    rows = [(i, f"{own(300)}\n{passage}\nmenu", f"h{i}", 0) for i in range(2)]  # one on each host
     rows += [(10 + i, f"{own(70)}\n{short}", "small", 0) for i in range(6)]  # a host of six pages
     rows += [(20 + i, f"{own(70)}\ncommon line", f"one{i}", 0) for i in range(8)]  # on one page of many hosts
     whole = f"{own(60)}\n{own(60)}\nthe end"
     rows += [(40, whole, "a", 0), (41, whole + " now", "b", 0), (None, None, None, 0)]  # copies are left to the next stage
     rows += [(50, own(55), "c", 0), (51, own(55), "c", 0)]
-    rows += [(60, f"{own(150)}\n{rows[-1][1]}\n{rows[-2][1]}", None, 0)]  # passages of two other pages
+    rows += [(60, f"{own(300)}\n{rows[-1][1]}\n{rows[-2][1]}", None, 0)]  # passages of two other pages
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
     text = {r[0]: r[1] for r in rows}
     out = {r["doc_id"]: r for r in corpus_pipeline.line_stage(spark, df, DATA).collect()}
