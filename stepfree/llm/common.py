@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of a table that may be broadcast; above it, ``attach`` shuffles with salt.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (as the planner sees them) of a table that may be broadcast; above either, ``attach`` shuffles with salt.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -66,15 +66,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's size of a table: that of its files, for one that ``stored`` wrote."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], rows: int, salt: Column, how: str = "inner", salts: int = 16) -> DataFrame:
     """Join ``small`` (``rows`` rows, unique by ``keys``) to ``big``; null keys match null keys.
 
-    Up to BROADCAST_ROWS rows it is broadcast. Above, it is copied ``salts`` times and
+    Up to BROADCAST_ROWS rows of BROADCAST_BYTES in all it is broadcast. Above, it is copied ``salts`` times and
     both sides shuffle on keys and salt, so that a hot key spreads over that many tasks.
     """
     right = small.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in small.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
-    if rows <= BROADCAST_ROWS:
+    if rows <= BROADCAST_ROWS and planned_bytes(small) <= BROADCAST_BYTES:
         joined = big.join(F.broadcast(right), on, how)
     else:
         right = right.withColumn("__r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

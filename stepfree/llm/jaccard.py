@@ -16,16 +16,27 @@ is lost, at any size.
 
 Links. Candidate pairs are counted one fragment after the other: the overlap of the two
 segments is stored as a number, the segments that were shuffled for it go before the next
-fragment's, and the FRAGMENTS overlaps are summed per pair. Documents with equal sets are one class
-from the start. Every class first meets one other only, the smallest of most of its
-buckets; the links found join classes into components, and then only classes that share a
-key but not yet a component meet. A bucket whose members are all joined makes no further pairs; one
-of up to SMALL_BUCKET members makes them one by one. In a larger one each set is written
-as its difference from the bucket's smallest set (a few n-grams, where copies are near),
-members are dealt into blocks of about BLOCK_SETS, and each pair of blocks is compared at
-once: |x ^ y| is the size of the difference of the two differences. Members of a bucket's
-largest component have blocks of their own, which meet only the other members' blocks. A task
-returns only links that join something, so neither its input nor its output grows with the bucket.
+fragment's, and the FRAGMENTS overlaps are summed per pair. Documents with equal sets are one
+class from the start. Every class first meets one other only, the smallest of most of its
+buckets; the links found join classes into components. Buckets in which several components
+are left form groups (all buckets with one smallest class are one group), and each member of
+a group is written once as its difference from that class, again fragment by fragment. From
+there on only differences travel, and a group is never compared pair by pair (``refined``):
+
+* the n-grams that more than half the members differ in are flipped for all of them, which
+  puts the differences to a set in the middle of the group and keeps |x ^ y| = |dx ^ dy|;
+* with slack(x) = (den - num) |x| - (den + num) |dx|, x and y link exactly if
+  slack(x) + slack(y) + 2 (den + num) |dx & dy| >= 0, so the member of most slack links
+  directly with both sides of every pair that links without a common n-gram of dx and dy:
+  all members are compared with that one;
+* any other link has a side that isn't linked with it, and its two differences share n-grams (how
+  many at least follows from the slacks): what one member has alone can't be among them, a member
+  with too few others is done, and of the others the first few, rare ones first, hold a shared
+  one. Members that share such an n-gram are the groups of the next round. An n-gram of a difference is held by half
+  of a group at most, so groups shrink at least by half and the rounds end.
+
+Only groups of up to PAIRWISE members are compared pair by pair. Nothing is left out, and the
+rows made grow with the members, not with their square.
 
 Defined cases: with fewer than n words the whole sequence is one n-gram; null, empty and
 blank texts have no n-gram and link with nothing, themselves apart; rows that repeat are
@@ -43,11 +54,10 @@ from math import sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfree.llm.common import BROADCAST_ROWS, attach, discard, documents, lower_words, release, stored
+from stepfree.llm.common import attach, discard, documents, lower_words, release, stored
 
 SEEDS = 8
 FRAGMENTS = 4
@@ -56,10 +66,10 @@ GROWTH = 1.6
 SAMPLE, FREQUENT, MOST = 4000, 8, 100_000
 #: Texts that are hashed at once.
 BLOCK = 1000
-#: Buckets beyond this many members are compared block by block; members of a block (about).
-SMALL_BUCKET, BLOCK_SETS = 32, 256
-#: N-grams that two blocks are compared on at a time.
-COLUMNS = 4096
+#: Groups of up to this many members are compared pair by pair.
+PAIRWISE = 6
+#: Members of a hub that one task takes, about.
+SPREAD = 2000
 U = np.uint64
 
 
@@ -165,9 +175,9 @@ def without(sets: list[np.ndarray], frequent: np.ndarray) -> list[np.ndarray]:
     return [s[f] for s, f in zip(sets, np.split(stay, ends[:-1]), strict=True)]
 
 
-def segment_keys(sets: list[np.ndarray], rule: Rule, frequent: np.ndarray) -> list[np.ndarray]:
-    """The keys of each set, as described at the top of this module."""
-    keys: list[list[np.ndarray]] = [[] for _ in sets]
+def segment_keys(sets: list[np.ndarray], rule: Rule, frequent: np.ndarray) -> list[list[tuple[int, int, np.ndarray]]]:
+    """The keys of each set, as described at the top of this module: (number of class and order, keys a partner shares at least, keys)."""
+    keys: list[list[tuple[int, int, np.ndarray]]] = [[] for _ in sets]
     rare = without(sets, frequent)
     todo = [(i, c) for i, s in enumerate(sets) if len(s) for c in rule.classes(len(s)) if rule.cut(c)[0]]
     for seed in range(SEEDS):
@@ -190,14 +200,14 @@ def segment_keys(sets: list[np.ndarray], rule: Rule, frequent: np.ndarray) -> li
         again = []
         for t, part in enumerate(np.split(value, np.cumsum(filled)[:-1])):
             i, c = todo[t]
-            keys[i].append(part)
             if filled[t] <= most[t]:
                 again.append((i, c))
                 if last:
                     empty = np.setdiff1d(np.arange(k[t]), where[who == t]).astype(U)
-                    keys[i].append(mixed(mixed((U(c) << U(40)) | (U(15) << U(36)) | empty)))
+                    part = np.concatenate([part, mixed(mixed((U(c) << U(40)) | (U(15) << U(36)) | empty))])
+            keys[i].append((c * SEEDS + seed, max(1, int(filled[t] - most[t])), part))
         todo = again
-    return [np.concatenate(x) if x else np.zeros(0, U) for x in keys]
+    return keys
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -221,18 +231,21 @@ def keyed(docs: DataFrame, rule: Rule, frequent: np.ndarray) -> DataFrame:
                     seen.add(x)
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
                 keys = segment_keys(new, rule, held.value)
-                offsets = np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), _signed(np.concatenate(keys)))
+                flat = [x for each in keys for x in each]
+                offsets = np.r_[0, np.cumsum([len(x) for _, _, x in flat])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), _signed(np.concatenate([np.zeros(0, U), *[x for _, _, x in flat]])))
+                parts = pa.StructArray.from_arrays([pa.array([x for x, _, _ in flat], pa.int32()), pa.array([x for _, x, _ in flat], pa.int32()), lists], ["ring", "need", "keys"])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)), parts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("txt"), pa.array(size), pa.array(cls.view(np.int64), mask=size == 0), lists], ["doc_id", "txt", "n_shingles", "cls", "keys"]
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("txt")).mapInArrow(rows, f"doc_id {kind}, txt long, n_shingles long, cls long, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("txt")).mapInArrow(rows, f"doc_id {kind}, txt long, n_shingles long, cls long, keys array<struct<ring:int,need:int,keys:array<long>>>")
 
 
 def segments_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """cls, size, frag, seg of the sets in ``wanted`` (cls, doc_id): the text of one row for each."""
+    """cls, size, frag, seg of the sets in ``wanted`` (cls, rid): the text of one row for each."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -247,108 +260,132 @@ def segments_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                     [_signed(cls), pa.array(np.repeat(size, FRAGMENTS)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(sets))), lists], ["cls", "size", "frag", "seg"]
                 )
 
-    ids = wanted.select(F.col("doc_id").alias("__id")).distinct()
-    few = ids.count() <= 10 * BROADCAST_ROWS  # 16 MB of ids
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    made = texts.mapInArrow(rows, "cls long, size long, frag int, seg array<long>")
-    # an id that several rows share brings rows of other sets along
-    return made.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls", "frag"])
+    ids = wanted.select("rid").distinct()
+    salt = F.monotonically_increasing_id()
+    texts = attach(docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("rid"), "text"), ids, ["rid"], wanted.count(), salt, "left_semi")
+    # rows that repeat bring their set along more than once
+    return texts.select("text").mapInArrow(rows, "cls long, size long, frag int, seg array<long>").dropDuplicates(["cls", "frag"])
 
 
-def links(pairs: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that link: overlaps are counted and stored fragment by fragment, then summed."""
-    pairs, counted = pairs.select("a", "b"), None
+def beside_hub(pairs: DataFrame, segments: DataFrame, frag: int) -> DataFrame:
+    """The pairs (hub, cls, ...) with size and seg of the class and hub_size and hub_seg of the hub, in one fragment; the members of a large hub spread over tasks."""
+    own = segments.where(F.col("frag") == frag)
+    parts = pairs.join(own.select("cls", "size", "seg"), "cls")
+    hubs = pairs.select("hub", "salt").distinct().join(own.select(F.col("cls").alias("hub"), F.col("size").alias("hub_size"), F.col("seg").alias("hub_seg")), "hub")
+    return parts.join(hubs, ["hub", "salt"])
+
+
+def salted(pairs: DataFrame) -> DataFrame:
+    """The pairs with a ``salt`` that deals a hub's members into lots of about SPREAD."""
+    counts = stored(pairs.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > SPREAD), "counts")
+    lots = attach(pairs, counts, ["hub"], counts.count(), F.col("cls"), "left")
+    return stored(lots.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / SPREAD)), F.lit(0))).drop("n"), "pairs")
+
+
+def star_links(pairs: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (hub, cls) that link, as (a, b): overlaps are counted and stored fragment by fragment, then summed."""
+    counted = None
     for frag in range(FRAGMENTS):
-        own = segments.where(F.col("frag") == frag)
-        left = own.select(F.col("cls").alias("a"), F.col("size").alias("size_a"), F.col("seg").alias("seg_a"))
-        right = own.select(F.col("cls").alias("b"), F.col("size").alias("size_b"), F.col("seg").alias("seg_b"))
-        parts = pairs.join(right, "b").join(left, "a")
-        parts = parts.where((F.col("size_a") * rule.den >= F.col("size_b") * rule.num) & (F.col("size_b") * rule.den >= F.col("size_a") * rule.num))
-        overlap = stored(parts.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("seg_a", "seg_b")).alias("common")), f"overlap{frag}")
+        parts = beside_hub(pairs, segments, frag)
+        near = (F.col("size") * rule.den >= F.col("hub_size") * rule.num) & (F.col("hub_size") * rule.den >= F.col("size") * rule.num)
+        overlap = stored(parts.where(near).select("hub", "cls", (F.col("size") + F.col("hub_size")).alias("total"), F.size(F.array_intersect("seg", "hub_seg")).alias("common")), f"overlap{frag}")
         release(pairs.sparkSession)
         counted = overlap if counted is None else counted.unionByName(overlap)
-    both = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
-    return both.where(rule.den * F.col("common") >= rule.num * (F.col("size_a") + F.col("size_b") - F.col("common"))).select("a", "b")
+    both = counted.groupBy("hub", "cls").agg(F.sum("common").alias("common"), F.first("total").alias("total"))
+    return both.where(rule.den * F.col("common") >= rule.num * (F.col("total") - F.col("common"))).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
 
 
-def joining_links(table: pa.Table, rule: Rule) -> list[tuple[int, int]]:
-    """Links between (or, where there is one block, within) two blocks, less those that join nothing new.
-
-    Rows: cls, size, comp, side (0 or 1), diff (n-grams of a fragment in which the set differs from
-    the hub's); a set has a row for every fragment in which it differs, and one at least.
-    """
-    cls, size, comp, side = (table.column(c).to_numpy() for c in ("cls", "size", "comp", "side"))
-    lists = table.column("diff").combine_chunks()
-    cls, first, member_of = np.unique(cls, return_index=True, return_inverse=True)  # a set is on one side only
-    row = np.repeat(member_of, np.diff(lists.offsets.to_numpy()))
-    size, comp, side = size[first], comp[first], side[first]
-    width = np.bincount(row, minlength=len(cls))
-    flat, place, often = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    row, place = row[often[place] > 1], place[often[place] > 1]  # what one set alone has is in no overlap
-    column = np.unique(place, return_inverse=True)[1]
-    a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(cls)),) * 2
-    overlap = np.zeros((len(a), len(b)), np.int64)
-    for start in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
-        here = (column >= start) & (column < start + COLUMNS)
-        member = np.zeros((len(cls), COLUMNS), np.float32)
-        member[row[here], column[here] - start] = 1
-        overlap += (member[a] @ member[b].T).round().astype(np.int64)
-    apart = width[a][:, None] + width[b][None, :] - 2 * overlap
-    total = size[a][:, None] + size[b][None, :]
-    common = (total - apart) // 2
-    ok = (rule.den * common >= rule.num * (total - common)) & (comp[a][:, None] != comp[b][None, :])
-    head: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while head.get(x, x) != x:
-            x = head[x]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(ok), strict=True):
-        x, y = top(int(comp[a[i]])), top(int(comp[b[j]]))
-        if x != y:
-            head[max(x, y)] = min(x, y)
-            out.append((int(cls[a[i]]), int(cls[b[j]])))
-    return out
+def apart(x: Column | str, y: Column | str) -> Column:
+    """The symmetric difference of two arrays."""
+    return F.concat(F.array_except(x, y), F.array_except(y, x))
 
 
 def differences(members: DataFrame, segments: DataFrame) -> DataFrame:
-    """hub, cls, comp, size, diff: where the members (hub, cls, comp) of large buckets differ from the hub, by fragment."""
+    """g, cls, comp, size, alone (0), diff: where the members (hub, cls, comp, salt) differ from their hub, counted by fragment and put together."""
     out = None
     for frag in range(FRAGMENTS):
-        own = segments.where(F.col("frag") == frag)
-        hub = own.select(F.col("cls").alias("hub"), F.col("seg").alias("hub_seg"))
-        parts = members.join(own.select("cls", "size", "seg"), "cls").join(hub, "hub")
-        diff = F.concat(F.array_except("seg", "hub_seg"), F.array_except("hub_seg", "seg"))
-        part = parts.select("hub", "cls", "comp", "size", diff.alias("diff"))
-        part = stored(part if not frag else part.where(F.size("diff") > 0), f"differences{frag}")
+        part = stored(beside_hub(members, segments, frag).select("hub", "cls", "comp", "size", apart("seg", "hub_seg").alias("diff")), f"differences{frag}")
         release(members.sparkSession)
         out = part if out is None else out.unionByName(part)
-    return out
-
+    whole = out.groupBy("hub", "cls").agg(F.first("comp").alias("comp"), F.first("size").alias("size"), F.flatten(F.collect_list("diff")).alias("diff"))
+    return whole.select(F.col("hub").alias("g"), "cls", "comp", "size", F.lit(0).cast("long").alias("alone"), "diff")
 
-def block_links(members: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) among the members of large buckets, block against block; ``rows``: their ``differences``."""
-    comps = members.groupBy("hub", "comp").agg(F.count("*").alias("n"))
-    sizes = comps.groupBy("hub").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    blocks = lambda n: F.ceil(n / BLOCK_SETS).cast("int")
-    sizes = sizes.select("hub", "main", blocks(F.col("most")).alias("mains"), blocks(F.col("n") - F.col("most")).alias("others"))
-    # the largest component's members come last and meet only the others
-    inside = F.col("comp") == F.col("main")
-    place = F.xxhash64("cls")
-    block = F.when(inside, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int")
-    reach = F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
-    rows = rows.join(sizes.where("others > 0"), "hub").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), reach)))
-    dealt = rows.select(
-        "hub", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cls", "comp", "size", "diff"
-    )
 
-    def compare(table: pa.Table) -> pa.Table:
-        found = np.array(joining_links(table, rule), np.int64).reshape(-1, 2)
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+def refined(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of the groups ``members`` (g, cls, comp, size, alone, diff), and the groups of the next round; see the top of this module.
 
-    return dealt.groupBy("hub", "b0", "b1").applyInArrow(compare, "a long, b long")
+    ``alone``: n-grams of the difference that no other member shares; they count, but are carried no further.
+    """
+    lift, step = rule.den - rule.num, rule.den + rule.num
+    salt = F.xxhash64("cls")
+    groups = stored(members.groupBy("g").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("g", "n"), "groups")
+    open_ = attach(members, groups, ["g"], groups.count(), salt)
+    slack = lift * F.col("size") - step * (F.size("d") + F.col("alone"))
+
+    few = open_.where(F.col("n") <= PAIRWISE).select("g", "cls", "comp", F.col("diff").alias("d"), (lift * F.col("size") - step * (F.size("diff") + F.col("alone"))).alias("s"))
+    other = few.select("g", *[F.col(c).alias(f"{c}2") for c in ("cls", "comp", "d", "s")])
+    pairs = few.join(other, "g").where("cls < cls2 and comp != comp2")
+    near = pairs.where(F.col("s") + F.col("s2") + 2 * step * F.size(F.array_intersect("d", "d2")) >= 0)
+    found = stored(near.select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct(), "near")
+
+    # the middle of each group: n-grams that over half of it differs in change sides; those of over a
+    # sixteenth count as frequent; those of one member only are counted for it and go
+    many = stored(open_.where(F.col("n") > PAIRWISE), "many")
+    if many.isEmpty():
+        return found, members.where("false")
+    held = many.select("g", "n", "cls", F.explode("diff").alias("e")).groupBy("g", "n", "e").agg(F.count("*").alias("m"), F.min("cls").alias("one"))
+    flip, fewer = F.col("m") * 2 > F.col("n"), F.least("m", F.col("n") - F.col("m"))
+    often = F.when((fewer >= 3) & (fewer * 16 >= F.col("n")), F.col("e"))
+    held = held.groupBy("g", F.when(F.col("m") == 1, F.col("one")).alias("one"))
+    held = stored(held.agg(F.collect_list(F.when(flip, F.col("e"))).alias("flips"), F.collect_list(often).alias("often"), F.collect_list(F.when(F.col("m") == 1, F.col("e"))).alias("own")), "held")
+    none = F.array().cast("array<long>")
+    middle = held.where("one is null").select("g", "flips", "often")
+    moved = many.join(held.where("one is not null").select("g", F.col("one").alias("cls"), "own"), ["g", "cls"], "left")
+    moved = attach(moved, middle, ["g"], groups.count(), salt, "left").select(
+        "g", "cls", "comp", "size", (F.col("alone") + F.greatest(F.size("own"), F.lit(0))).alias("alone"),
+        F.array_except(apart("diff", F.coalesce("flips", none)), F.coalesce("own", none)).alias("d"), F.coalesce("often", none).alias("often"),
+    )
+    ordered = F.concat(F.sort_array(F.array_except("d", "often")), F.sort_array(F.array_intersect("d", "often")))
+    moved = stored(moved.select("g", "cls", "comp", "size", "alone", ordered.alias("d")).withColumn("s", slack), "moved")
+
+    # the member of most slack meets all others
+    first = moved.groupBy("g").agg(F.max(F.struct("s", "cls")).alias("c")).select("g", F.col("c.cls").alias("cls"))
+    first = stored(moved.join(first, ["g", "cls"]).select("g", *[F.col(c).alias(f"{c}0") for c in ("cls", "comp", "d", "s")]), "first")
+    linked = F.col("s") + F.col("s0") + 2 * step * F.size(F.array_intersect("d", "d0")) >= 0
+    met = attach(moved, first, ["g"], first.count(), salt).withColumn("linked", linked)
+    most = F.floor(lift * (F.col("size") + F.col("size") * rule.den / rule.num) / step + 1e-6)  # n-grams in which a partner may differ
+    shared = lambda s: F.greatest(F.lit(1), F.ceil(-(F.col("s") + F.col(s)) / (2 * step)), F.size("d") + F.col("alone") - most)
+    met = met.select(
+        "g", "cls", F.col("comp").alias("comp_before"), F.when(F.col("linked"), F.col("comp0")).otherwise(F.col("comp")).alias("comp"), "size", "alone", "d", "s", "linked", "cls0",
+        (~F.col("linked") & (F.size("d") >= shared("s0"))).alias("hopeful"),
+    )
+    met = stored(met, "met")
+    found = found.unionByName(met.where("linked and comp_before != comp").select(F.col("cls0").alias("a"), F.col("cls").alias("b")))
+
+    # what may still link: one side is not linked with that member, and so many n-grams are shared
+    left = met.where("linked or hopeful").groupBy("g").agg(
+        F.max(F.when(F.col("linked"), F.col("s"))).alias("s_in"), F.max(F.when(F.col("hopeful"), F.col("s"))).alias("s_out"), F.min("comp").alias("c0"), F.max("comp").alias("c1")
+    )
+    left = stored(left.where("s_out is not null and c0 < c1").select("g", "s_in", "s_out"), "left")
+    rest = attach(met.where("linked or hopeful").select("g", "cls", "comp", "size", "alone", "d", "s", "linked"), left, ["g"], left.count(), salt)
+    upto = lambda s: F.greatest(F.lit(0), F.size("d") + 1 - shared(s)).cast("int")
+    rest = rest.withColumn("inner", upto("s_out")).withColumn("reach", F.when(F.col("linked"), F.col("inner")).otherwise(F.greatest("inner", upto("s_in"))))
+    rows = rest.where("reach > 0").select("g", "cls", "comp", "linked", "inner", F.posexplode(F.slice("d", F.lit(1), F.col("reach"))).alias("at", "e"))
+    # kind 0: linked; 1: meets linked ones only; 2: meets all
+    rows = rows.select("g", "e", "cls", "comp", F.when(F.col("linked"), 0).when(F.col("at") < F.col("inner"), 2).otherwise(1).alias("kind"))
+    both = F.col("kind") == 2
+    shares = rows.groupBy("g", "e").agg(
+        F.count("*").alias("n"), F.count_if(F.col("kind") == 0).alias("inside"), F.count_if(both).alias("outside"), F.min("comp").alias("c0"), F.max("comp").alias("c1"),
+        F.min(F.when(both, F.col("comp"))).alias("b0"), F.max(F.when(both, F.col("comp"))).alias("b1"), F.bit_xor(F.xxhash64("cls", "kind")).alias("who"),
+    )
+    mixed_ = (F.col("inside") > 0) & (F.col("inside") < F.col("n")) & (F.col("c0") < F.col("c1"))
+    shares = shares.where(mixed_ | (F.col("b0") < F.col("b1"))).withColumn("mixed", mixed_)
+    # n-grams that the same members share make one group
+    alive = shares.groupBy("g", "n", "who", "mixed").agg(F.min("e").alias("e")).select("g", "e", "mixed")
+    alive = stored(alive, "alive")
+    new = attach(rows, alive, ["g", "e"], alive.count(), salt).where("mixed or kind = 2").select("g", F.xxhash64("g", "e").alias("next"), "cls")
+    following = new.join(met.select("g", "cls", "comp", "size", "alone", F.col("d").alias("diff")), ["g", "cls"]).select(F.col("next").alias("g"), "cls", "comp", "size", "alone", "diff")
+    return found, following
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -369,46 +406,70 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "comp")
 
 
+def with_partners(keys: DataFrame, among: str, rounds: int = 3) -> DataFrame:
+    """The rows (key, cls, ring, need, ...) that can belong to a link between two values of ``among``, with ``low``, the key's smallest class.
+
+    Partners share a key, and of the keys of one ring (class of sizes and order) as many as either
+    side needs. What lacks that goes, which may leave others alone; ``rounds`` bounds the effort only.
+    """
+    columns = [c for c in keys.columns if c != "low"]
+    for k in range(rounds):
+        low = F.min("cls").alias("low")
+        shared = keys.groupBy("key").agg(F.min(among).alias("v0"), F.max(among).alias("v1"), low).where("v0 < v1").select("key", "low")
+        shared = stored(shared, "shared")
+        keys = attach(keys.select(columns), shared, ["key"], shared.count(), F.col("cls"))
+        keys = stored(keys.distinct() if not k else keys, "live")
+        enough = keys.groupBy("cls", "ring").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+        poor = stored(enough.where(F.col("n") < F.col("need")).select("cls", "ring"), "poor")
+        n_poor = poor.count()
+        release(keys.sparkSession)
+        if not n_poor:
+            break
+        keys = attach(keys, poor, ["cls", "ring"], n_poor, F.col("key"), "left_anti")
+    return keys
+
+
 def linked_classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows (doc_id, txt, n_shingles, cls), the classes (cls, smallest doc_id) and the linked ones' components (node, comp)."""
     spark = docs.sparkSession
     full = stored(keyed(docs, rule, frequent_grams(docs, rule)), "keyed")
     rows = stored(full.select("doc_id", "txt", "n_shingles", "cls"), "rows")
-    classes = stored(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes")
-    in_key = W.partitionBy("key")
-    live = full.select(F.explode("keys").alias("key"), "cls").select("key", "cls", F.min("cls").over(in_key).alias("low"), F.max("cls").over(in_key).alias("high"))
-    live = stored(live.where("low < high").select("key", "cls", "low").dropDuplicates(["key", "cls"]), "live")
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min(F.xxhash64("doc_id", "txt")).alias("rid"))
+    classes = stored(classes, "classes")
+    live = full.select("cls", F.inline("keys")).select("cls", "ring", "need", F.explode("keys").alias("key"))
+    live = with_partners(live, "cls")
     discard(full)
     release(spark)
-    wanted = live.select("cls").distinct().join(classes, "cls")
-    segments = stored(segments_of(docs, stored(wanted, "wanted"), rule), "segments", by="frag")
+    wanted = stored(live.select("cls").distinct().join(classes, "cls").select("cls", "rid"), "wanted")
+    segments = stored(segments_of(docs, wanted, rule), "segments", by="frag")
     release(spark)
 
     # one star for each class: the smallest class of most of its buckets
     often = live.where("cls != low").groupBy("cls", "low").agg(F.count("*").alias("n"))
-    stars = often.groupBy("cls").agg(F.max_by("low", F.struct("n", "low")).alias("a")).select("a", F.col("cls").alias("b"))
-    found = stored(links(stored(stars, "stars"), segments, rule), "links")
+    stars = stored(often.groupBy("cls").agg(F.max(F.struct("n", "low")).alias("m")).select(F.col("m.low").alias("hub"), "cls"), "stars")
+    found = stored(star_links(salted(stars), segments, rule), "links")
     release(spark)
     comps = components(found)
-    # classes that share a key but no component
-    comp = F.coalesce("comp", "cls")
-    labelled = live.join(comps, live["cls"] == comps["node"], "left").select("key", "cls", "low", comp.alias("comp"))
-    split = labelled.select("*", F.min("comp").over(in_key).alias("c0"), F.max("comp").over(in_key).alias("c1"), F.count("*").over(in_key).alias("members"))
-    split = stored(split.where("c0 < c1").select("key", "cls", "low", "comp", "members"), "split")
-    small = split.where(F.col("members") <= SMALL_BUCKET)
-    other = small.select("key", F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
-    rest = small.join(other, "key").where("cls < b and comp != comp_b").select(F.col("cls").alias("a"), "b").distinct()
-    large = split.where(F.col("members") > SMALL_BUCKET).select(F.col("low").alias("hub"), "cls", "comp").distinct()
-    near = stored(links(stored(rest, "rest"), segments, rule), "links2")
-    large = stored(large, "large")
-    apart = differences(large, segments)
+
+    # buckets with several components, those of one smallest class together
+    labelled = attach(live.drop("low"), comps.withColumnRenamed("node", "cls"), ["cls"], comps.count(), F.col("key"), "left").withColumn("comp", F.coalesce("comp", "cls"))
+    labelled = with_partners(labelled, "comp")
+    members = stored(labelled.select(F.col("low").alias("hub"), "cls", "comp").distinct(), "members")
+    # a hub and one class that have met as a star are done
+    pairs = members.groupBy("hub").agg(F.count("*").alias("n"), F.max(F.when(F.col("cls") != F.col("hub"), F.col("cls"))).alias("cls")).where("n = 2")
+    done = stored(pairs.join(stars, ["hub", "cls"]).select("hub"), "done")
+    members = attach(members, done, ["hub"], done.count(), F.col("cls"), "left_anti")
+    groups = stored(differences(salted(members), segments), "groups")
     discard(segments)
     release(spark)
-    more = near.unionByName(stored(block_links(large, apart, rule), "links3"))
-    discard(apart)
-    release(spark)
-    if not more.isEmpty():
-        comps = components(found.unionByName(more))
+    while not groups.isEmpty():
+        links, groups = refined(groups, rule)
+        links, groups = stored(links, "links"), stored(groups, "groups")
+        release(spark)
+        if groups.isEmpty() and links.isEmpty():
+            break
+        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(links).distinct())
+        groups = attach(groups.drop("comp"), comps.withColumnRenamed("node", "cls"), ["cls"], comps.count(), F.col("g"), "left").withColumn("comp", F.coalesce("comp", "cls"))
     return rows, classes, comps
 
 
