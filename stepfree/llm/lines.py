@@ -7,10 +7,13 @@ a page, so counting is one partial aggregation on (host, line hash). At most
 that is kept by host; lists join to the pages by a guarded broadcast or with salt.
 
 Defined cases: lines are split at newlines and compared whole; lines without a word are
-left alone and never counted; null texts stay null; null hosts form one host; hosts with
-fewer than ``min_pages`` pages and lines on fewer than ``min_count`` pages are left alone;
-a page of which every worded line would go is a copy of a page, not boilerplate around
-one, and stays unchanged (near-duplicate detection is what thins copies out).
+left alone and never counted; null texts stay null; null hosts form one host; exact copies of
+a page in one host count as one page, so a group of copies makes no line boilerplate; hosts
+with fewer than ``min_pages`` different pages and lines on fewer than ``min_count`` are left
+alone; a line is dropped when its pages exceed the ratio and stays when they equal it. A page
+of which every worded line goes keeps the lines without a word only; ``spare_copies`` leaves
+such a page as it is (near-duplicate detection, which follows in the pipeline, thins near
+copies out, and would find nothing left of them otherwise).
 
 The query is bound to OP2_SQL, so these limits hold there. The pipeline goes further, by
 ``drop_repeats``: small hosts are not left out, the ratio is also taken over all hosts as
@@ -37,10 +40,10 @@ def _worded(line: Column) -> Column:
 
 def boilerplate(docs: DataFrame, host: Column, max_ratio: float, min_pages: int, min_count: int) -> DataFrame:
     """host, lines: 64-bit hashes of the lines above the ratio; a row for each host that has any."""
-    pages = docs.select(host.alias("host"), F.col("text"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    pages = docs.select(host.alias("host"), F.col("text"), F.xxhash64("text").alias("page"))
+    totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     distinct = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _worded), lambda x: F.xxhash64(x)))
-    counts = pages.select("host", F.explode(distinct).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    counts = pages.select("host", "page", F.explode(distinct).alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
     # a host has at least min_pages pages, so a line needs this many at least: most lines end here
     counts = counts.where((F.col("n") >= min_count) & (F.col("n") > max_ratio * min_pages))
     totals = stored(totals, "hosts")
@@ -49,7 +52,7 @@ def boilerplate(docs: DataFrame, host: Column, max_ratio: float, min_pages: int,
 
 
 def drop_boilerplate(
-    docs: DataFrame, host: str | Column = "source", max_ratio: float = 0.08, min_pages: int = 20, min_count: int = 5
+    docs: DataFrame, host: str | Column = "source", max_ratio: float = 0.08, min_pages: int = 20, min_count: int = 5, spare_copies: bool = False
 ) -> DataFrame:
     """The input rows and columns, with boilerplate lines taken out of ``text``; adds ``n_dropped_lines``.
 
@@ -63,7 +66,7 @@ def drop_boilerplate(
     text = F.col("__row.text")
     all_lines = _lines(text)
     stay = F.filter(all_lines, lambda x: ~_worded(x) | ~F.array_contains(F.col("lines"), F.xxhash64(x)))
-    left = F.when(F.exists(stay, _worded), stay).otherwise(all_lines)
+    left = F.when(F.exists(stay, _worded), stay).otherwise(all_lines) if spare_copies else stay
     untouched = F.col("lines").isNull() | text.isNull()
     clean = F.when(untouched, text).otherwise(F.array_join(left, "\n"))
     gone = F.when(untouched, F.lit(0)).otherwise(F.size(all_lines) - F.size(left))
@@ -99,8 +102,8 @@ def repeated_passages(docs: DataFrame, min_words: int, copy_share: float) -> Dat
 def drop_repeats(docs: DataFrame, host: str | Column = "source", min_words: int = 10, copy_share: float = 0.2) -> DataFrame:
     """As ``drop_boilerplate``, for hosts of any size and for all hosts as one; then of every long passage one copy stays."""
     names = [c for c in docs.columns if c != "n_dropped_lines"]
-    clean = drop_boilerplate(docs, host, min_pages=1).withColumnRenamed("n_dropped_lines", "__own")
-    clean = drop_boilerplate(clean, F.lit(""), min_pages=1).withColumnRenamed("n_dropped_lines", "__all")
+    clean = drop_boilerplate(docs, host, min_pages=1, spare_copies=True).withColumnRenamed("n_dropped_lines", "__own")
+    clean = drop_boilerplate(clean, F.lit(""), min_pages=1, spare_copies=True).withColumnRenamed("n_dropped_lines", "__all")
     gone = stored(repeated_passages(clean, min_words, copy_share), "repeats")
     rows = clean.select(F.struct(*names).alias("__row"), (F.col("__own") + F.col("__all")).alias("__gone"), F.xxhash64("doc_id", "text").alias("key"))
     joined = attach(rows, gone, ["key"], gone.count(), F.monotonically_increasing_id(), "left")
@@ -111,31 +114,28 @@ def drop_repeats(docs: DataFrame, host: str | Column = "source", min_words: int
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_dropped_lines, n_chars_left and md5_left of every document, by source."""
+    """doc_id, n_dropped_lines, n_chars_left and the text that is left of every document, by source."""
     left = drop_boilerplate(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return left.select("doc_id", "n_dropped_lines", F.char_length(text).cast("long").alias("n_chars_left"), F.md5(text.cast("binary")).alias("md5_left"))
+    n_chars = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
+    return left.select("doc_id", "n_dropped_lines", n_chars.alias("n_chars_left"), "text")
 
 
 OP2_SQL = r"""
 WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source HAVING count(*) >= 20),
+totals AS (SELECT source, count(*) AS pages FROM (SELECT DISTINCT source, text FROM pages) GROUP BY source HAVING count(*) >= 20),
 worded AS (
-  SELECT source, line, count(*) AS n
-  FROM (SELECT source, unnest(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS line FROM pages)
+  SELECT source, line, count(DISTINCT text) AS n
+  FROM (SELECT source, text, unnest(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS line FROM pages)
   GROUP BY source, line),
 frequent AS (
   SELECT w.source, list(w.line) AS gone FROM worded w JOIN totals t ON w.source IS NOT DISTINCT FROM t.source
   WHERE n >= 5 AND n > 0.08e0 * t.pages GROUP BY w.source),
-stay AS (
-  SELECT p.*, f.gone, list_filter(lines, lambda x: NOT regexp_matches(x, '[^\x20\x09-\x0D]') OR NOT list_contains(f.gone, x)) AS st
-  FROM pages p LEFT JOIN frequent f ON p.source IS NOT DISTINCT FROM f.source),
 res AS (
-  SELECT doc_id, text, lines,
-         CASE WHEN gone IS NULL OR text IS NULL OR len(list_filter(st, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) = 0 THEN lines ELSE st END AS kept
-  FROM stay)
+  SELECT p.doc_id, p.text, p.lines, CASE WHEN f.gone IS NULL THEN p.lines ELSE
+    list_filter(lines, lambda x: NOT regexp_matches(x, '[^\x20\x09-\x0D]') OR NOT list_contains(f.gone, x)) END AS kept
+  FROM pages p LEFT JOIN frequent f ON p.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, coalesce(len(lines) - len(kept), 0)::INTEGER AS n_dropped_lines,
        length(coalesce(array_to_string(kept, chr(10)), ''))::BIGINT AS n_chars_left,
-       md5(coalesce(array_to_string(kept, chr(10)), '')) AS md5_left
+       array_to_string(kept, chr(10)) AS text
 FROM res
 """
