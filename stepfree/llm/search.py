@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from stepfree.llm.common import stored
 
-QUERY_BLOCK = 2048
-CANDIDATE_BLOCK = 16_384
+#: Rows of a block, of equal size so that copies of queries and of candidates balance.
+QUERY_BLOCK = CANDIDATE_BLOCK = 8192
 #: Candidates of one dense score array, and queries of one.
 TILE, ROWS = 4096, 256
 
@@ -55,10 +55,12 @@ def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return total
 
 
-def best_of_block(q_ids: np.ndarray, queries: np.ndarray, c_ids: np.ndarray, candidates: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query, candidate and score of the k best of each query, ties to the smaller id."""
+def best_of_block(
+    q_rows: np.ndarray, queries: np.ndarray, c_rows: np.ndarray, c_ids: np.ndarray, candidates: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query (place), candidate id and score of the k best of each query, ties to the smaller id; equal row numbers don't meet."""
     order = np.argsort(c_ids, kind="stable")
-    c_ids, candidates = c_ids[order], candidates[order]
+    c_rows, c_ids, candidates = c_rows[order], c_ids[order], candidates[order]
     bound = np.abs(queries).sum(1).max(initial=0) * np.abs(candidates).max(initial=0)
     exact = bound < 2**53
     # float32 holds integers up to 2**24 and moves half the bytes
@@ -68,29 +70,24 @@ def best_of_block(q_ids: np.ndarray, queries: np.ndarray, c_ids: np.ndarray, can
     queries, candidates = queries.astype(kind), candidates.astype(kind)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a in range(0, len(queries), ROWS):
-        q, ids = queries[a : a + ROWS], q_ids[a : a + ROWS]
-        found_s: list[list] = [[] for _ in ids]
-        found_c: list[list] = [[] for _ in ids]
+        q, own_rows = queries[a : a + ROWS], q_rows[a : a + ROWS].tolist()
+        found_s: list[list] = [[] for _ in own_rows]
+        found_c: list[list] = [[] for _ in own_rows]
         for b in range(0, len(candidates), TILE):
-            s, cand = scores(q, candidates[b : b + TILE]), c_ids[b : b + TILE]
-            for i, own in enumerate(ids.tolist()):
+            s, rows, cand = scores(q, candidates[b : b + TILE]), c_rows[b : b + TILE], c_ids[b : b + TILE]
+            for i, own in enumerate(own_rows):
                 row = s[i]
-                keep = min(k + int((cand == own).sum()), len(row))
-                if not keep:
-                    continue
+                keep = min(k + 1, len(row))  # one of them may be the query itself
                 cut = np.partition(row, len(row) - keep)[len(row) - keep]
                 hit = np.flatnonzero(row >= cut)
-                hit = hit[cand[hit] != own]
+                hit = hit[rows[hit] != own]
                 hit = hit[np.argsort(-row[hit], kind="stable")][:k]  # candidates ascend, so ties keep the smaller id
                 found_s[i].append(row[hit])
                 found_c[i].append(cand[hit])
-        for i, own in enumerate(ids.tolist()):
-            if found_s[i]:
-                s, c = np.concatenate(found_s[i]), np.concatenate(found_c[i])
-                top = sorted(range(len(s)), key=lambda j: (-s[j], c[j]))[:k]
-                out.append((np.full(len(top), own), c[top], s[top]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for i in range(len(own_rows)):
+            s, c = np.concatenate(found_s[i]), np.concatenate(found_c[i])
+            top = sorted(range(len(s)), key=lambda j: (-s[j], c[j]))[:k]
+            out.append((np.full(len(top), a + i), c[top], s[top]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -101,22 +98,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     """
     x = F.transform("embedding", lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("double"))
     usable = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == F.lit(float("inf"))))
-    rows = stored(vectors.where(usable).select("vec_id", x.alias("v"), is_query.alias("q")), "vectors")
+    rows = stored(vectors.where(usable).select("vec_id", x.alias("v"), is_query.alias("q"), F.monotonically_increasing_id().alias("row")), "vectors")
     n_queries, n = rows.agg(F.count_if("q"), F.count("*")).first()
     q_blocks, c_blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    queries = rows.where("q").select(block(q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"), "vec_id", "v")
-    candidates = rows.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), block(c_blocks).alias("cb"), "vec_id", "v")
+    block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    queries = rows.where("q").select(block(q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"), "row", "vec_id", "v")
+    candidates = rows.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), block(c_blocks).alias("cb"), "row", "vec_id", "v")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             q = c = s = np.zeros(0, np.int64)
         else:
-            q, c, s = best_of_block(left["vec_id"].to_numpy(), matrix_of(left["v"]), right["vec_id"].to_numpy(), matrix_of(right["v"]), k)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(c, pa.int64()), "score": pa.array([int(y) for y in s], pa.int64())})
+            q, c, s = best_of_block(left["row"].to_numpy(), matrix_of(left["v"]), right["row"].to_numpy(), right["vec_id"].to_numpy(), matrix_of(right["v"]), k)
+        place = pa.array(q, pa.int64())
+        return pa.table({"row": left["row"].take(place), "query_id": left["vec_id"].take(place).cast(pa.int64()), "vec_id": pa.array(c, pa.int64()), "score": pa.array([int(y) for y in s], pa.int64())})
 
-    parts = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInArrow(meet, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    parts = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInArrow(meet, "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return parts.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -125,12 +123,12 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64e0 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64e0 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r)
+SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 20
 """
