@@ -42,6 +42,8 @@ LONGEST_PART = 64
 #: Texts that are encoded together: parts that repeat in them are worked out once.
 TOGETHER, TOGETHER_BYTES = 2000, 8_000_000
 NEVER = np.int32(2**31 - 1)
+#: Pieces beside the largest that fillings of a sequence branch over.
+BRANCHING = 4
 
 
 def byte_characters() -> list[str]:
@@ -162,14 +164,16 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(tokenizer_json)
-        self.whole.encode_special_tokens = True
-        self.merges = MergeTable(json.loads(tokenizer_json)["model"])
+        parsed = json.loads(tokenizer_json)
+        self.merges = MergeTable(parsed["model"])
+        self.added = re.compile(b"|".join(re.escape(x["content"].lower().encode()) for x in parsed.get("added_tokens", [])) or rb"(?!)")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [b""] * len(texts)
         raw = [t.lower().encode() for t in texts]
-        plain = [i for i, r in enumerate(raw) if r and not ODD.search(r)]
-        odd = [i for i, r in enumerate(raw) if r and ODD.search(r)]
+        whole = [bool(ODD.search(r) or self.added.search(r)) for r in raw]  # the tokenizer itself finds its added tokens
+        plain = [i for i, r in enumerate(raw) if r and not whole[i]]
+        odd = [i for i, r in enumerate(raw) if r and whole[i]]
         if plain:
             for i, ids in zip(plain, self._plain([raw[i] for i in plain]), strict=True):
                 if ids is None:
@@ -315,7 +319,8 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
 def fillings(distinct: list[int], count: dict[int, int], room: int, most: int = 64) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room``, fullest first: none can be bettered by a larger piece in place of one of its own.
 
-    ``distinct`` ascends; at most ``most`` are enumerated, of up to three pieces.
+    ``distinct`` ascends. Fillings take pieces until none fits; at most ``most`` are enumerated,
+    which differ in their first BRANCHING pieces and go on with the largest piece that fits.
     """
     found: set[tuple[int, ...]] = set()
 
@@ -325,9 +330,17 @@ def fillings(distinct: list[int], count: dict[int, int], room: int, most: int =
             k -= 1
         return k
 
+    def completed(taken: tuple[int, ...], left: int, cap: int) -> tuple[int, ...]:
+        k = largest(min(left, cap), taken)
+        while k >= 0:
+            taken, left = (*taken, distinct[k]), left - distinct[k]
+            k = largest(min(left, distinct[k]), taken)
+        return taken
+
     def grow(taken: tuple[int, ...], left: int, cap: int) -> None:
         k = largest(min(left, cap), taken)
-        if k < 0 or len(taken) == 3:
+        if k < 0 or len(taken) == BRANCHING:
+            taken = completed(taken, left, cap)
             if taken:
                 found.add(taken)
             return
