@@ -15,7 +15,8 @@ array of fixed size; counts of rarer words are joined to (row, word) pairs.
 
 Defined cases: null and empty texts are the end symbol alone; a null id counts as held out
 (its crc32 is 0); with no training text all counts are 0; rows that repeat an id are scored
-one by one; in training, texts are cut every SEGMENT words to bound memory, scoring cuts none.
+one by one; training and scoring take every whole text (only the random start of the model is
+pulled apart on segments of a sample, before the rounds over all texts).
 """
 
 from __future__ import annotations
@@ -201,36 +202,57 @@ def log_likelihoods(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
 
 
 def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
-    """Expected starts, moves and emissions, flat in this order, by forward-backward."""
+    """Expected starts, moves and emissions, flat in this order, by forward-backward over whole sequences.
+
+    A sequence is gone through in blocks of SEGMENT symbols: the forward pass keeps what it
+    predicts for the start of each block, the backward pass makes a block's forward
+    probabilities once more and carries its own ones on to the block before.
+    """
     s = len(model.start)
     start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros((SYMBOLS, s))
     m32, e32 = model.move.astype(np.float32), model.emit.astype(np.float32)
-    pieces = [x[i : i + SEGMENT] for x in sequences for i in range(0, len(x), SEGMENT)]
-    for _, grid, live in batches_of(pieces):
+    for _, grid, live in batches_of(sequences):
         times, texts = grid.shape
-        alpha = np.zeros((times, texts, s), np.float32)
-        seen = e32[grid]
-        scale = np.ones((times, texts), np.float32)
-        for t in range(times):
-            n = live[t]
-            a = (np.tile(model.start.astype(np.float32), (n, 1)) if not t else alpha[t - 1, :n] @ m32) * seen[t, :n]
-            c = a.sum(1)
-            alpha[t, :n] = a / c[:, None]
-            scale[t, :n] = c
-        beta = np.ones((texts, s), np.float32)
-        for t in range(times - 1, -1, -1):
-            n = live[t]
-            if t < times - 1:
-                m = live[t + 1]  # the others end here
-                ahead = seen[t + 1, :m] * beta[:m] / scale[t + 1, :m, None]
-                move += (alpha[t, :m].T @ ahead) * m32
-                beta[:m] = ahead @ m32.T
-            alpha[t, :n] *= beta[:n]
-        start += alpha[0, : live[0]].sum(0)
-        valid = np.arange(texts)[None, :] < live[:, None]
-        symbols, weight = grid[valid], alpha[valid]
-        for k in range(s):
-            emit[:, k] += np.bincount(symbols, weights=weight[:, k], minlength=SYMBOLS)
+        live = [*live.tolist(), 0]
+
+        def forward(at: int, prior: np.ndarray, grid=grid, live=live, times=times) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """alpha and scale of the block at ``at``, and the states predicted for the block after it."""
+            end, wide = min(at + SEGMENT, times), live[at]
+            alpha, scale = np.zeros((end - at, wide, s), np.float32), np.ones((end - at, wide), np.float32)
+            for t in range(at, end):
+                n = live[t]
+                a = prior[:n] * e32[grid[t, :n]]
+                c = a.sum(1)
+                alpha[t - at, :n] = a / c[:, None]
+                scale[t - at, :n] = c
+                prior = alpha[t - at, :n] @ m32
+            return alpha, scale, prior
+
+        blocks = range(0, times, SEGMENT)
+        priors, made = [np.tile(model.start.astype(np.float32), (texts, 1))], None
+        for at in blocks:
+            made = forward(at, priors[-1])
+            priors.append(made[2])
+        priors.pop()
+        ahead = None
+        for at in reversed(blocks):
+            alpha, scale, _ = made or forward(at, priors[-1])
+            made = None
+            priors.pop()
+            for t in range(at + len(alpha) - 1, at - 1, -1):
+                n, m = live[t], live[t + 1]  # m go on, the others end here
+                beta = np.ones((n, s), np.float32)
+                if m:
+                    move += (alpha[t - at, :m].T @ ahead) * m32
+                    beta[:m] = ahead @ m32.T
+                ahead = e32[grid[t, :n]] * beta / scale[t - at, :n, None]
+                alpha[t - at, :n] *= beta
+            if not at:
+                start += alpha[0].sum(0)
+            valid = np.arange(alpha.shape[1])[None, :] < np.array(live[at : at + len(alpha)])[:, None]
+            symbols, weight = grid[at : at + len(alpha), : alpha.shape[1]][valid], alpha[valid]
+            for k in range(s):
+                emit[:, k] += np.bincount(symbols, weights=weight[:, k], minlength=SYMBOLS)
     return np.concatenate([start, move.ravel(), emit.ravel()])
 
 
