@@ -6,8 +6,8 @@ documents. A text is cut into blocks, every block is compressed with each dictio
 resembles. A logistic curve fitted on labelled documents that built no dictionary turns
 this into a score.
 
-Fitting uses at most ``per_class`` documents of each label picked by hash; scoring takes
-every whole text. Defined cases: null and empty texts have difference 0; where a label is
+Fitting uses at most ``per_class`` documents of each label picked by hash, whole and of any
+length, until ``labelled.SAMPLE_BYTES`` are reached; scoring takes every whole text. Defined cases: null and empty texts have difference 0; where a label is
 missing from the training rows, every score is the share of good rows there; equal texts
 score alike.
 """

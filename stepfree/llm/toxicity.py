@@ -6,8 +6,8 @@ the risk over U less the class prior times the risk over P; where that differenc
 negative it is not followed further but stepped back from, so the classifier can't gain
 by overfitting P. The prior is the share of toxic rows among the training labels.
 
-Fitting uses at most ``max_positive`` and ``max_unlabelled`` documents picked by hash;
-scoring takes every whole text. Defined cases: null and empty texts score the classifier's
+Fitting uses at most ``max_positive`` and ``max_unlabelled`` documents picked by hash, whole
+and of any length, until ``labelled.SAMPLE_BYTES`` are reached; scoring takes every whole text. Defined cases: null and empty texts score the classifier's
 bias; without any toxic training label every text scores 0; equal texts score alike.
 """
 
@@ -98,6 +98,16 @@ def choose_features(positive: list[str], unlabelled: list[str], most: int) -> li
     return list(first.values())[:most]
 
 
+def risk_gradient(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """The direction to step against, and the risk of negatives, R_u- - prior * R_p-; where that is below 0 it alone is raised."""
+    sp, su = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) for x in (p, u))
+    # loss of label y is sigmoid(-y g); both losses have the slope s (1 - s)
+    dp = p.T @ (sp * (1 - sp)) / len(p)
+    du = u.T @ (su * (1 - su)) / len(u)
+    negative = su.mean() - prior * sp.mean()
+    return (-prior * dp + (du - prior * dp) if negative >= 0 else -(du - prior * dp)), float(negative)
+
+
 def train_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise prior * R_p+ + max(0, R_u- - prior * R_p-) with the sigmoid loss, by Adam."""
     d = p.shape[1]
@@ -105,13 +115,7 @@ def train_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1000, ra
     p1, u1 = np.c_[p, np.ones(len(p))], np.c_[u, np.ones(len(u))]
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     for step in range(1, steps + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) for x in (p1, u1))
-        # loss of label y is sigmoid(-y g); both losses have the slope s (1 - s)
-        dp = p1.T @ (sp * (1 - sp)) / len(p1)
-        du = u1.T @ (su * (1 - su)) / len(u1)
-        negative = su.mean() - prior * sp.mean()
-        grad = -prior * dp + (du - prior * dp) if negative >= 0 else -(du - prior * dp)
-        grad = grad + decay * np.r_[w[:-1], 0]
+        grad = risk_gradient(p1, u1, w, prior)[0] + decay * np.r_[w[:-1], 0]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return w[:-1], float(w[-1])
@@ -141,7 +145,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 2000,
     train = id_crc(F.col("doc_id")) % 5 != 0
     counts = labels.where(train & F.col("toxic").isNotNull()).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     positive = [t for _, _, t in sample_texts(docs, labelled_ids(labels, "toxic", 1, train, max_positive))]
-    some = hashed_first(docs.where(train & F.col("doc_id").isNotNull()).select("doc_id"), max_unlabelled, 11).select("doc_id", F.lit(-1).alias("label"))
+    some = hashed_first(docs.where(train & F.col("doc_id").isNotNull()).select("doc_id"), max_unlabelled, 11).select("doc_id", F.lit(-1).alias("label"), "place")
     unlabelled = [t for _, _, t in sample_texts(docs, some)]
     model = docs.sparkSession.sparkContext.broadcast(fit(positive, unlabelled, float(counts or 0)))
 
