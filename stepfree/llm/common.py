@@ -33,10 +33,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is configured."""
+    """The folder that driver and executors share; where none is configured a local session gets one of its own, a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="stepfree-")
@@ -53,11 +55,15 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Delete the files of a table that ``stored`` wrote and nothing reads any more."""
-    jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        if "/stepfree/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        discard_folder(table.sparkSession, folder)
+
+
+def discard_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate results."""
+    if "/stepfree/" in folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

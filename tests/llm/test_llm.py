@@ -68,7 +68,20 @@ def test_guarded_join_beyond_the_bound(spark):
 def test_lines(spark):
     rows = [(i, f"own {i}\nmenu home\n", "a") for i in range(30)] + [(100 + i, "menu home", "a") for i in range(3)] + [(200, "menu home\nx", "b"), (201, None, "a")]
     out = {r["doc_id"]: (r["text"], r["n_dropped_lines"]) for r in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert out[3] == ("own 3\n", 1) and out[100] == ("menu home", 0) and out[200] == ("menu home\nx", 0) and out[201] == (None, 0)
+    assert out[3] == ("own 3\n", 1) and out[100] == ("", 1) and out[200] == ("menu home\nx", 0) and out[201] == (None, 0)
+
+
+def test_lines_at_the_ratio(spark):
+    """A line on exactly 8 % of the different pages stays, on one more it goes; copies of a page count once."""
+    rows = [(i, f"own {i}" + ("\nat the ratio" if i < 8 else "") + ("\nabove it" if 50 <= i < 59 else ""), "a") for i in range(100)]
+    rows += [(300 + i, "own 0\nat the ratio", "a") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(df).collect()}
+    assert out[0] == out[300] == "own 0\nat the ratio" and out[50] == "own 50"
+    alone = spark.createDataFrame([(i, f"own {i}\nmenu", "a") for i in range(30)] + [(99, "menu", "a")], df.schema)
+    for spare, want in ((False, ""), (True, "menu")):
+        out = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(alone, spare_copies=spare).collect()}
+        assert out[99] == want and out[3] == "own 3"
 
 
 def test_lines_odd(odd, odd_rows, empty):
@@ -255,16 +268,16 @@ def test_search(spark):
     rows = [(i, [float(x) for x in (rng.normal(size=8) * rng.choice([0, 1], 8)).astype(np.float32)]) for i in range(300)]
     rows += [(400, rows[20][1]), (420, None), (440, [1.0, None]), (460, [float("nan")] * 8), (480, [float("inf")] * 8), (None, rows[1][1]), (500, []), (40, rows[2][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in search.top_k(df, F.col("vec_id") % 20 == 0, k=5).collect()}
+    got = Counter(tuple(r) for r in search.top_k(df, F.col("vec_id") % 20 == 0, k=5).select("query_id", "rank", "vec_id", "score").collect())
     usable = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    seen = 0
-    for q, v in usable:
-        if q % 20 == 0 and q != 40:
-            best = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), c) for c, w in usable if c != q))[:5]
-            for k, (s, c) in enumerate(best):
-                assert got[q, k + 1][1] == -s and got[q, k + 1][0] == c
-                seen += 1
-    assert seen > 50
+    expected = Counter()
+    for a, (q, v) in enumerate(usable):
+        if q % 20 == 0:  # both rows of id 40 are queries, and candidates of each other
+            best = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), c) for b, (c, w) in enumerate(usable) if a != b)[:5]
+            expected.update((q, k + 1, c, -s) for k, (s, c) in enumerate(best))
+    assert got == expected and len(expected) > 50
+    tied = spark.createDataFrame([(20, [1.0]), (20, [1.0]), (3, [1.0])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in search.top_k(tied, F.col("vec_id") % 20 == 0).collect()) == [(20, 1, 3, 4096)] * 2 + [(20, 2, 20, 4096)] * 2
     assert search.top_k(df.where("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
@@ -275,10 +288,10 @@ def test_packing(odd, odd_rows, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(packing.tokenizer_text())
-    tokenizer.encode_special_tokens = True
-    out = packing.pack_documents(odd).collect()
+    special = [(700, "one <|endoftext|> two <|STARTOFTEXT|><|startoftext|>", "en", "s0", 1)]
+    out = packing.pack_documents(odd.select("doc_id", "text").unionByName(odd.sparkSession.createDataFrame([r[:2] for r in special], "doc_id long, text string"))).collect()
     expected = Counter()
-    for d, t, *_ in odd_rows:
+    for d, t, *_ in odd_rows + special:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
         for k in range(0, len(ids), 4096):
             part = ids[k : k + 4096]
@@ -341,6 +354,10 @@ def test_forward_backward():
         starts += a / total
         moves += b / total
     counts = markov.expected_counts(m, sequences)
+    whole, markov.SEGMENT = markov.SEGMENT, 2
+    cut = markov.expected_counts(m, sequences)
+    markov.SEGMENT = whole
+    assert np.allclose(counts, cut, atol=1e-4)  # blocks of a text hand their probabilities on
     assert np.allclose(counts[:2], starts, atol=1e-4) and np.allclose(counts[2:6].reshape(2, 2), moves, atol=1e-4)
 
 
@@ -403,6 +420,33 @@ def test_classifiers(spark, odd, odd_rows, empty, column, score, mod, left):
     assert score(d, lab.where("false")).count() == len(docs)
 
 
+def test_risk_gradient():
+    """The step of non-negative PU learning lowers the corrected risk, and its gradient agrees with differences."""
+    rng = np.random.default_rng(5)
+    p, u, prior = rng.random((40, 6)), rng.random((90, 6)), 0.3
+    w = rng.normal(size=7)
+
+    def parts(w):
+        sp, su = (1 / (1 + np.exp(-np.c_[x, np.ones(len(x))] @ w)) for x in (p, u))
+        return prior * (1 - sp).mean(), su.mean() - prior * sp.mean()
+
+    gradient, negative = toxicity.risk_gradient(np.c_[p, np.ones(40)], np.c_[u, np.ones(90)], w, prior)
+    assert math.isclose(negative, parts(w)[1])
+    near = [(sum(parts(w + 1e-6 * e)) - sum(parts(w - 1e-6 * e))) / 2e-6 for e in np.eye(7)]
+    assert np.allclose(gradient, near if negative >= 0 else [-(parts(w + 1e-6 * e)[1] - parts(w - 1e-6 * e)[1]) / 2e-6 for e in np.eye(7)], atol=1e-6)
+
+
+def test_samples_take_long_texts(spark):
+    from stepfree.llm import labelled
+
+    docs = spark.createDataFrame([(i, ("long " * 60_000 if i % 2 else "short") + str(i)) for i in range(40)] + [(3, "again")] * 5, "doc_id long, text string")
+    ids = labelled.hashed_first(docs.select("doc_id"), 30, 1).select("doc_id", F.lit(1).alias("label"), "place")
+    rows = labelled.sample_texts(docs, ids)
+    assert len(rows) == 30 == len({r[0] for r in rows}) and any(len(r[2]) > 200_000 for r in rows)
+    few = labelled.sample_texts(docs, ids, max_bytes=1_000_000)
+    assert 1 <= len(few) < 30 and set(few) <= set(rows) and few == labelled.sample_texts(docs.repartition(3), ids, max_bytes=1_000_000)
+
+
 # pipeline
 
 
