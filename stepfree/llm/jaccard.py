@@ -70,6 +70,8 @@ BLOCK = 1000
 PAIRWISE = 6
 #: Members of a hub that one task takes, about.
 SPREAD = 2000
+#: Parts in which keys are shuffled one after the other, at most, and keys that make another part worth while.
+PASSES, PASS_KEYS = 4, 4_000_000
 U = np.uint64
 
 
@@ -406,55 +408,69 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "comp")
 
 
-def with_partners(keys: DataFrame, among: str, rounds: int = 3) -> DataFrame:
-    """The rows (key, cls, ring, need, ...) that can belong to a link between two values of ``among``, with ``low``, the key's smallest class.
-
-    Partners share a key, and of the keys of one ring (class of sizes and order) as many as either
-    side needs. What lacks that goes, which may leave others alone; ``rounds`` bounds the effort only.
-    """
-    columns = [c for c in keys.columns if c != "low"]
-    for k in range(rounds):
-        low = F.min("cls").alias("low")
-        shared = keys.groupBy("key").agg(F.min(among).alias("v0"), F.max(among).alias("v1"), low).where("v0 < v1").select("key", "low")
-        shared = stored(shared, "shared")
-        keys = attach(keys.select(columns), shared, ["key"], shared.count(), F.col("cls"))
-        keys = stored(keys.distinct() if not k else keys, "live")
-        enough = keys.groupBy("cls", "ring").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-        poor = stored(enough.where(F.col("n") < F.col("need")).select("cls", "ring"), "poor")
-        n_poor = poor.count()
-        release(keys.sparkSession)
-        if not n_poor:
-            break
-        keys = attach(keys, poor, ["cls", "ring"], n_poor, F.col("key"), "left_anti")
-    return keys
+def once_keyed(full: DataFrame, rows: DataFrame) -> DataFrame:
+    """cls, ring, need, key: the keys of each class, from one of the tasks that keyed it."""
+    tasks = rows.where("cls is not null").select("cls", "task").distinct()
+    first = tasks.groupBy("cls").agg(F.min("task").alias("first"), F.count("*").alias("n")).where("n > 1").select("cls", "first")
+    gone = stored(tasks.join(first, "cls").where("task > first").select("cls", "task"), "again")
+    one = attach(full.where(F.size("keys") > 0).select("cls", "task", "keys"), gone, ["cls", "task"], gone.count(), F.col("cls"), "left_anti")
+    return one.select("cls", F.inline("keys")).select("cls", "ring", "need", F.explode("keys").alias("key"))
 
 
 def linked_classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows (doc_id, txt, n_shingles, cls), the classes (cls, smallest doc_id) and the linked ones' components (node, comp)."""
     spark = docs.sparkSession
-    full = stored(keyed(docs, rule, frequent_grams(docs, rule)), "keyed")
-    rows = stored(full.select("doc_id", "txt", "n_shingles", "cls"), "rows")
+    full = stored(keyed(docs, rule, frequent_grams(docs, rule)).withColumn("task", F.spark_partition_id()), "keyed")
+    rows = stored(full.select("doc_id", "txt", "n_shingles", "cls", "task"), "rows")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min(F.xxhash64("doc_id", "txt")).alias("rid"))
     classes = stored(classes, "classes")
-    live = full.select("cls", F.inline("keys")).select("cls", "ring", "need", F.explode("keys").alias("key"))
-    live = with_partners(live, "cls")
-    discard(full)
-    release(spark)
-    wanted = stored(live.select("cls").distinct().join(classes, "cls").select("cls", "rid"), "wanted")
+    keys = once_keyed(full, rows)
+    n_keys = keys.count()
+    passes = min(PASSES, 1 + n_keys // PASS_KEYS)
+    parts = [keys.where(F.pmod("key", F.lit(passes)) == p) for p in range(passes)]
+
+    # keys that several classes have, a part after the other; of each class how often it meets a bucket's smallest one
+    shared, often = [], None
+    for own in parts:
+        in_key = own.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key", "low")
+        shared.append(stored(in_key, "shared"))
+        release(spark)
+        met = attach(own, shared[-1], ["key"], shared[-1].count(), F.col("cls"), salts=4)
+        met = stored(met.groupBy("cls", "ring", "low").agg(F.count("*").alias("n"), F.first("need").alias("need")), "often")
+        release(spark)
+        often = met if often is None else often.unionByName(met)
+    # partners share as many keys of a ring (class of sizes and order) as either side needs
+    good = often.groupBy("cls", "ring").agg(F.sum("n").alias("n"), F.first("need").alias("need")).where("n >= need").select("cls", "ring")
+    good = stored(good, "good")
+    n_good = good.count()
+    wanted = stored(good.select("cls").distinct().join(classes, "cls").select("cls", "rid"), "wanted")
     segments = stored(segments_of(docs, wanted, rule), "segments", by="frag")
     release(spark)
 
     # one star for each class: the smallest class of most of its buckets
-    often = live.where("cls != low").groupBy("cls", "low").agg(F.count("*").alias("n"))
-    stars = stored(often.groupBy("cls").agg(F.max(F.struct("n", "low")).alias("m")).select(F.col("m.low").alias("hub"), "cls"), "stars")
+    able = attach(attach(often, good, ["cls", "ring"], n_good, F.col("low"), "left_semi"), good.withColumnRenamed("cls", "low"), ["low", "ring"], n_good, F.col("cls"), "left_semi")
+    able = able.where("cls != low").groupBy("cls", "low").agg(F.sum("n").alias("n"))
+    stars = stored(able.groupBy("cls").agg(F.max(F.struct("n", "low")).alias("m")).select(F.col("m.low").alias("hub"), "cls"), "stars")
     found = stored(star_links(salted(stars), segments, rule), "links")
     release(spark)
     comps = components(found)
+    n_comps = comps.count()
 
     # buckets with several components, those of one smallest class together
-    labelled = attach(live.drop("low"), comps.withColumnRenamed("node", "cls"), ["cls"], comps.count(), F.col("key"), "left").withColumn("comp", F.coalesce("comp", "cls"))
-    labelled = with_partners(labelled, "comp")
-    members = stored(labelled.select(F.col("low").alias("hub"), "cls", "comp").distinct(), "members")
+    members = None
+    for own, in_key in zip(parts, shared, strict=True):
+        live = attach(attach(own, good, ["cls", "ring"], n_good, F.col("key"), "left_semi"), in_key.select("key"), ["key"], in_key.count(), F.col("cls"), "left_semi", salts=4)
+        live = attach(live, comps.withColumnRenamed("node", "cls"), ["cls"], n_comps, F.col("key"), "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
+        live = stored(live, "live")
+        release(spark)
+        split = live.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("cls").alias("hub")).where("c0 < c1").select("key", "hub")
+        split = stored(split, "split")
+        met = stored(attach(live, split, ["key"], split.count(), F.col("cls"), salts=4).select("hub", "cls", "comp").distinct(), "members")
+        discard(live)
+        release(spark)
+        members = met if members is None else members.unionByName(met)
+    discard(full)
+    members = stored(members.distinct(), "members")
     # a hub and one class that have met as a star are done
     pairs = members.groupBy("hub").agg(F.count("*").alias("n"), F.max(F.when(F.col("cls") != F.col("hub"), F.col("cls"))).alias("cls")).where("n = 2")
     done = stored(pairs.join(stars, ["hub", "cls"]).select("hub"), "done")
