@@ -67,7 +67,7 @@ SAMPLE, FREQUENT, MOST = 4000, 8, 100_000
 #: Texts that are hashed at once.
 BLOCK = 1000
 #: Groups of up to this many members are compared pair by pair.
-PAIRWISE = 6
+PAIRWISE = 16
 #: Members of a hub that one task takes, about.
 SPREAD = 2000
 #: Parts in which keys are shuffled one after the other, at most, and keys that make another part worth while.
