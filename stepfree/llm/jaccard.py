@@ -482,8 +482,8 @@ def linked_classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, D
         links, groups = refined(groups, rule)
         links, groups = stored(links, "links"), stored(groups, "groups")
         release(spark)
-        if groups.isEmpty() and links.isEmpty():
-            break
+        if links.isEmpty():
+            continue
         comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(links).distinct())
         groups = attach(groups.drop("comp"), comps.withColumnRenamed("node", "cls"), ["cls"], comps.count(), F.col("g"), "left").withColumn("comp", F.coalesce("comp", "cls"))
     return rows, classes, comps
