@@ -93,8 +93,12 @@ def base_safety(surface: Column, smoothness: Column, stairs: Column, steep: Colu
     return F.greatest(F.lit(0.01), F.least(F.lit(0.95), score))
 
 
-def wheel_friendly(kerb_limit: float, dist_cols: dict[str, Column]) -> Column:
-    """Hard filter for wheeled profiles over the edge columns in ``dist_cols``."""
+#: Wheeled profile, its highest kerb in metres, and whether it takes cobblestones.
+WHEEL_RULES = {"manual-wheelchair": (0.03, False), "power-wheelchair": (0.05, True), "stroller": (0.05, True)}
+
+
+def wheel_friendly(kerb_limit: float, dist_cols: dict[str, Column], cobbles: bool) -> Column:
+    """Hard filter for wheeled profiles over the edge columns in ``dist_cols``; ``cobbles``: cobblestone and sett are allowed."""
     c = dist_cols
     return (
         ~c["has_stairs"]
@@ -103,5 +107,5 @@ def wheel_friendly(kerb_limit: float, dist_cols: dict[str, Column]) -> Column:
         & (c["kerb_height"] <= kerb_limit)
         & (c["width_m"].isNull() | (c["width_m"] >= 0.9))
         & ~F.lower(F.coalesce(c["smoothness"], F.lit(""))).isin(*ROUGH)
-        & ~F.lower(F.coalesce(c["surface"], F.lit(""))).isin(*LOOSE)
+        & ~F.lower(F.coalesce(c["surface"], F.lit(""))).isin(*LOOSE, *(() if cobbles else ("cobblestone", "sett")))
     )

@@ -89,16 +89,16 @@ _FRIENDLY = f"""not has_stairs and not has_barrier and not {sql.blocked('access'
 @query(
     "filter_profile",
     with_views(
-        f"select id, 'manual-wheelchair' as profile from edge where {_FRIENDLY.format(kerb='0.03e0')} union all select id, 'stroller' from edge where {_FRIENDLY.format(kerb='0.05e0')}"
+        f"""select id, 'manual-wheelchair' as profile from edge where {_FRIENDLY.format(kerb='0.03e0')} and surface not in ('cobblestone', 'sett')
+ union all select id, 'power-wheelchair' from edge where {_FRIENDLY.format(kerb='0.05e0')} union all select id, 'stroller' from edge where {_FRIENDLY.format(kerb='0.05e0')}"""
     ),
 )
 def filter_profile(spark, sf_dir):
+    """Edges that each wheeled profile may use."""
     df = edges(spark, sf_dir)
     columns = {c: F.col(c) for c in df.columns}
-    parts = [
-        df.where(cost.wheel_friendly(limit, columns)).select("id", F.lit(profile).alias("profile")) for profile, limit in (("manual-wheelchair", 0.03), ("stroller", 0.05))
-    ]
-    return parts[0].unionByName(parts[1])
+    fits = [F.when(cost.wheel_friendly(limit, columns, cobbles), profile) for profile, (limit, cobbles) in cost.WHEEL_RULES.items()]
+    return df.select("id", F.explode(F.array_compact(F.array(*fits))).alias("profile"))
 
 
 #: Preference -> edges that it allows; names without an entry allow all.
@@ -156,25 +156,30 @@ def filter_bidirectional(spark, sf_dir):
     return ways.select("id", ~((F.col("tags")["oneway:foot"] == "yes") | (F.col("tags")["foot:backward"] == "no")).alias("x")).toDF("id", "both_ways")
 
 
-_REQUEST_RULES = {
-    "same_point": "start_node = end_node",
-    "weight_range": "safety_weight > 0.95e0",
-    "profile_unknown": "profile not in ('standard', 'manual-wheelchair', 'power-wheelchair', 'stroller')",
+#: A request breaks a rule where its text is true or null; the names are the reasons given.
+REQUEST_RULES = {
+    "start_longitude": "start_lon between -180 and 180",
+    "start_latitude": "start_lat between -90 and 90",
+    "end_longitude": "end_lon between -180 and 180",
+    "end_latitude": "end_lat between -90 and 90",
+    "safety_weight": "weight between 0 and 1",
+    "profile": "profile in ('standard', 'manual-wheelchair', 'power-wheelchair', 'stroller')",
 }
+_ASKED = """select id, case when id % 41 > 0 then (start_node % 380) - 190e0 end as start_lon, (start_node % 200) - 100e0 as start_lat, (end_node % 380) - 190e0 as end_lon,
+ case when id % 43 > 0 then (end_node % 200) - 100e0 end as end_lat, safety_weight * 1.2e0 - 0.1e0 as weight, case id % 9 when 0 then '' when 1 then 'bicycle' when 2 then null else profile end as profile from request"""
 
 
 @query(
     "validate_request",
-    with_views(
-        "select id, (case when start_node = end_node then 'same_point;' else '' end) || (case when safety_weight > 0.95e0 then 'weight_range;' else '' end) as reasons from request "
-        "where start_node = end_node or safety_weight > 0.95e0"
-    ),
+    with_views(f"""with a as ({_ASKED}), r as (select id, (case when start_lon >= -180 and start_lon <= 180 then '' else 'start_longitude;' end) || (case when abs(start_lat) <= 90 then '' else 'start_latitude;' end)
+ || (case when abs(end_lon) <= 180 then '' else 'end_longitude;' end) || (case when abs(end_lat) <= 90 then '' else 'end_latitude;' end) || (case when weight < 0 or weight > 1 then 'safety_weight;' else '' end)
+ || (case when profile like '%wheelchair' or profile in ('standard', 'stroller') then '' else 'profile;' end) as reasons from a) select id, reasons from r where reasons <> ''"""),
 )
 def validate_request(spark, sf_dir):
-    """Requests that break a rule, with the names of the rules."""
+    """Requests that break a rule, with the names of the rules: coordinates present and in range, weight from 0 to 1, a known profile."""
     register(spark, sf_dir, "request")
-    reasons = F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(f"{name};")) for name, rule in _REQUEST_RULES.items()]))
-    return spark.table("request").withColumn("r", reasons).where(F.size("r") > 0).select("id", F.array_join("r", "").alias("reasons"))
+    reasons = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(rule), F.lit(False)), F.lit(f"{name};")) for name, rule in REQUEST_RULES.items()]))
+    return spark.sql(_ASKED).withColumn("r", reasons).where(F.size("r") > 0).select("id", F.array_join("r", "").alias("reasons"))
 
 
 @query(

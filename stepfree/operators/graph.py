@@ -61,12 +61,12 @@ def graph_region(spark, sf_dir):
     return mid.select("id", F.round(geo.haversine(F.col("mid_lat"), F.col("mid_lon"), F.lit(52.485), F.lit(-1.885)), 3).alias("m"))
 
 
-@query("graph_snap", with_views(f"""with c as (select h.id, n.id as node_id, {sql.haversine('h.lat', 'h.lon', 'n.lat', 'n.lon')} as d from hazard h join node n on abs(h.lat - n.lat) < 0.002e0 and abs(h.lon - n.lon) < 0.004e0 where h.id % 10 = 0)
+@query("graph_snap", with_views(f"""with c as (select h.id, n.id as node_id, {sql.haversine('h.lat', 'h.lon', 'n.lat', 'n.lon')} as d from hazard h join node n on abs(h.lat - n.lat) < 0.002e0 and abs(h.lon - n.lon) < 0.004e0)
 select id, node_id, round(d, 4) as distance_m from c where d <= 150 qualify row_number() over (partition by id order by d, node_id) = 1"""))
 def graph_snap(spark, sf_dir):
     register(spark, sf_dir, "node", "hazard")
     right = spark.table("node").select(F.col("id").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    near = nearest(spark.table("hazard").where("id % 10 = 0").select("id", "lat", "lon"), right, "id", 150.0)
+    near = nearest(spark.table("hazard").select("id", "lat", "lon"), right, "id", 150.0)
     return near.select("id", F.col("r_id").alias("node_id"), F.round("distance_m", 4).alias("distance_m"))
 
 
@@ -302,12 +302,12 @@ def join_corridor(spark, sf_dir):
     return cells.where(gap <= 0.0110)
 
 
-@query("join_overlap", with_views("""with r as (select id % 12 as region, min(lat) as s, max(lat) as n, min(lon) as w, max(lon) as e from node where id < 4000 group by id % 12)
+@query("join_overlap", with_views("""with r as (select id % 12 as region, min(lat) as s, max(lat) as n, min(lon) as w, max(lon) as e from node where id is not null group by id % 12)
 select a.region as a, b.region as b, round((least(a.n, b.n) - greatest(a.s, b.s)) * (least(a.e, b.e) - greatest(a.w, b.w)) * 1000000, 4) as area from r a join r b on a.region < b.region and a.s < b.n and b.s < a.n and a.w < b.e and b.w < a.e"""))
 def join_overlap(spark, sf_dir):
     """Pairs of regions whose rectangles overlap (twelve regions, so the range join is broadcast)."""
     nodes, _ = graph(spark, sf_dir)
-    r = nodes.where("id < 4000").groupBy((F.col("id") % 12).alias("region")).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
+    r = nodes.groupBy((F.col("id") % 12).alias("region")).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
     a, b = r.alias("a"), r.alias("b")
     c = F.col
     overlap = (c("a.region") < c("b.region")) & (c("a.s") < c("b.n")) & (c("b.s") < c("a.n")) & (c("a.w") < c("b.e")) & (c("b.w") < c("a.e"))
@@ -341,12 +341,12 @@ def graph_mesh(spark, sf_dir):
     return arcs.select((F.col("y") * 40 + F.col("x")).alias("src"), (F.col("y2") * 40 + F.col("x2")).alias("dst"), surface.alias("surface"))
 
 
-@query("warmup_points", with_views("""with base as (select lat, lon, 0 as ord from node where id % 100 = 0), steps as (select lat + k * 0.001e0 as lat, lon + k * 0.001e0 as lon, k as ord, lat as l0 from base, (select unnest(range(0, 3)) as k))
+@query("warmup_points", with_views("""with base as (select lat, lon, 0 as ord from node), steps as (select lat + k * 0.001e0 as lat, lon + k * 0.001e0 as lon, k as ord, lat as l0 from base, (select unnest(range(0, 3)) as k))
 select cast(round(lat * 10000) as bigint) as ky, cast(round(lon * 10000) as bigint) as kx, min(ord) as ord from steps group by 1, 2"""))
 def warmup_points(spark, sf_dir):
     nodes, _ = graph(spark, sf_dir)
     k = F.explode(F.sequence(F.lit(0), F.lit(2)))
-    steps = nodes.where("id % 100 = 0").withColumn("k", k).select((F.col("lat") + F.col("k") * 0.001).alias("lat"), (F.col("lon") + F.col("k") * 0.001).alias("lon"), "k")
+    steps = nodes.withColumn("k", k).select((F.col("lat") + F.col("k") * 0.001).alias("lat"), (F.col("lon") + F.col("k") * 0.001).alias("lon"), "k")
     return steps.groupBy(F.round(F.col("lat") * 10000).cast("long").alias("ky"), F.round(F.col("lon") * 10000).cast("long").alias("kx")).agg(F.min("k").cast("long").alias("ord"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stepfree.functions import risk
+from stepfree.functions.tags import parse_metres
 from stepfree.operators.filters import edges, hazards
 from stepfree.registry import query
 from stepfree.views import register, with_views
@@ -38,7 +39,7 @@ agg_user_stats = shared(
     "hazard",
 )
 join_scalar_subquery = shared(
-    "join_scalar_subquery", "select id, status, (select count(distinct user_id) from refresh_token where not revoked) as users from hazard where id % 50 = 0", "hazard", "refresh_token"
+    "join_scalar_subquery", "select id, status, (select count(distinct user_id) from refresh_token where not revoked) as users from hazard", "hazard", "refresh_token"
 )
 join_scalar_cross = shared(
     "join_scalar_cross", "select n.id, round(abs(n.lat - q.lat) + abs(n.lon - q.lon), 6) as spread from node n cross join (select avg(lat) as lat, avg(lon) as lon from node) q", "node"
@@ -185,7 +186,7 @@ def sample_shuffle(spark, sf_dir):
 # sets
 set_union_all = shared(
     "set_union_all",
-    "select id, status, 0 as ord from hazard where source = 'osm' and status = 'reported' union all select id, status, 1 as ord from hazard where source <> 'osm' and id % 9 = 0",
+    "select id, status, 0 as ord from hazard where source = 'osm' and status = 'reported' union all select id, status, 1 as ord from hazard where source <> 'osm'",
     "hazard",
 )
 set_distinct = shared(
@@ -212,11 +213,6 @@ str_asset_type = shared(
     "select id, coalesce(case when asset_type like 'amenity:%' then substr(asset_type, 9) end, case when asset_type like 'railway:%' then substr(asset_type, 9) end, 'other') as kind from asset",
     "asset",
 )
-str_severity_class = shared(
-    "str_severity_class",
-    "select id, case when lower(hazard_type) like '%missing%' or lower(hazard_type) like '%stairs%' then 'high' when lower(hazard_type) like '%gravel%' or lower(hazard_type) like '%pothole%' then 'medium' else 'low' end as level from hazard",
-    "hazard",
-)
 str_access = shared(
     "str_access", "select id, nullif(concat_ws(';', access, case when id % 5 = 0 then 'wheelchair=no' end), '') as access from edge", "edge"
 )
@@ -234,33 +230,87 @@ def str_label(spark, sf_dir):
     return hazards(spark, sf_dir).select("hazard_type").distinct().select("hazard_type", label.alias("label"))
 
 
-#: Category, its keywords, its confidence.
-KEYWORD_RULES = (("curb_ramp", ("curb", "ramp", "kerb"), 0.80), ("surface", ("gravel", "pothole", "uneven"), 0.74), ("lighting", ("lighting", "dark", "lamp"), 0.70))
+#: Type that a rule suggests, its tag, its confidence, its keywords; the first rule that matches names the type.
+KEYWORD_RULES = (
+    ("missing_curb_ramp", "accessibility", 0.86, ("curb ramp", "kerb ramp", "curb cut", "dropped kerb", "missing ramp", "no ramp", "raised kerb", "high kerb")),
+    ("stairs", "accessibility", 0.86, ("stairs", "steps", "stairway")),
+    ("missing_sidewalk", "network_gap", 0.84, ("no sidewalk", "missing sidewalk", "no pavement", "missing pavement")),
+    ("obstruction", "temporary_obstacle", 0.78, ("blocked", "obstruction", "barrier", "scaffold", "skip", "bin", "trash", "parked car", "parked van", "construction")),
+    ("surface_quality", "surface", 0.74, ("uneven", "gravel", "cobblestone", "cracked", "broken pavement", "pothole", "loose surface", "mud")),
+    ("steep_gradient", "grade", 0.72, ("steep", "slope", "incline", "gradient", "hill")),
+    ("low_lighting", "visibility", 0.70, ("dark", "poor lighting", "no lights", "streetlight out", "unlit")),
+    ("flooding", "temporary_obstacle", 0.72, ("flood", "flooding", "standing water", "puddle")),
+)
+
+#: Reports with a description beside their type.
+REPORTS = """select id, hazard_type, lower(hazard_type || ' ' || case id % 9 when 0 then 'Steps and a steep hill' when 1 then 'BLOCKED by a skip' when 2 then 'dark, standing water'
+ when 3 then 'no sidewalk here' when 4 then 'cannot pass, too tight' when 5 then 'uneven cobblestone' when 6 then 'High kerb and mud' when 7 then 'quiet street' else '' end) as t from hazard"""
+
+
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for w in words:
+        found = found | text.contains(w)
+    return found
+
+
+def suggested_type(text: Column, hazard_type: Column) -> Column:
+    """The type of the first rule that matches, else the report's own type as a token."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(hazard_type), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    for name, _, _, words in reversed(KEYWORD_RULES):
+        out = F.when(has_any(text, words), name).otherwise(out)
+    return out
+
+
+def rule_confidence(text: Column) -> Column:
+    """Confidence of the first rule that matches, 0.03 more for each further one, 0.95 at most; 0.45 without a match."""
+    matched = sum((has_any(text, words).cast("int") for _, _, _, words in KEYWORD_RULES), F.lit(0))
+    first = F.lit(None).cast("double")
+    for _, _, level, words in reversed(KEYWORD_RULES):
+        first = F.when(has_any(text, words), level).otherwise(first)
+    return F.when(matched > 0, F.least(F.lit(0.95), first + (matched - 1) * 0.03)).otherwise(0.45)
+
+
+def severity_class(suggested: Column, text: Column) -> Column:
+    urgent = has_any(text, ("cannot pass", "dangerous", "blocked", "no sidewalk", "missing sidewalk"))
+    high = urgent | suggested.isin("stairs", "missing_curb_ramp", "missing_sidewalk")
+    return F.when(high, "high").when(suggested.isin("low_lighting", "surface_quality", "obstruction"), "medium").otherwise("low")
+
+
+_LIKE = {name: "(" + " or ".join(f"contains(t, '{w}')" for w in words) + ")" for name, _, _, words in KEYWORD_RULES}
+_TYPE = "case " + " ".join(f"when {_LIKE[name]} then '{name}'" for name, *_ in KEYWORD_RULES) + " else trim(regexp_replace(lower(hazard_type), '[^a-z0-9]+', '_', 'g'), '_') end"
+_MATCHED = "list_filter([" + ", ".join(f"case when {_LIKE[name]} then {{'tag': '{tag}', 'level': {level}e0}} end" for name, tag, level, _ in KEYWORD_RULES) + "], lambda x: x is not null)"
+
+
+def reports(spark, sf_dir) -> DataFrame:
+    register(spark, sf_dir, "hazard")
+    return spark.sql(REPORTS)
 
 
 @query(
     "str_keyword_rules",
-    with_views("""with hits as (select id, lower(hazard_type) as t from hazard)
-select id, case when t like '%curb%' or t like '%ramp%' then 'curb_ramp' when t like '%gravel%' or t like '%pothole%' then 'surface' when t like '%lighting%' then 'lighting' else 'other' end as category,
- round(case when t like '%curb%' and t like '%ramp%' then 0.83e0 when t like '%curb%' or t like '%ramp%' then 0.80e0 when t like '%gravel%' or t like '%pothole%' then 0.74e0 when t like '%lighting%' then 0.70e0 else 0.4e0 end, 4) as confidence from hits"""),
+    with_views(f"""with r as ({REPORTS}), m as (select *, {_MATCHED} as hits from r)
+select id, {_TYPE} as suggested_type, round(case when len(hits) = 0 then 0.45e0 else least(0.95e0, hits[1].level + (len(hits) - 1) * 0.03e0) end, 4) as confidence,
+ array_to_string(list_sort(list_distinct(list_transform(hits, lambda x: x.tag))), ';') as tags from m"""),
 )
 def str_keyword_rules(spark, sf_dir):
-    """First rule with a keyword in the text; every further keyword adds 0.03, up to 0.95."""
-    text = F.lower("hazard_type")
-    category, confidence = F.lit("other"), F.lit(0.4)
-    for name, keywords, level in reversed(KEYWORD_RULES):
-        n = sum((text.contains(k).cast("int") for k in keywords), F.lit(0))
-        category = F.when(n > 0, F.lit(name)).otherwise(category)
-        confidence = F.when(n > 0, F.least(F.lit(0.95), F.lit(level) + (n - 1) * 0.03)).otherwise(confidence)
-    return hazards(spark, sf_dir).select("id", category.alias("category"), F.round(confidence, 4).alias("confidence"))
-
-
-def parse_metres(text: Column) -> Column:
-    """First of a ;-list, decimal comma allowed, in mm, cm or m; null if it is no number."""
-    first = F.trim(F.split(F.lower(text), ";")[0])
-    number = F.regexp_replace(F.regexp_extract(first, r"^([0-9]+(?:[.,][0-9]+)?)\s*(mm|cm|m)?$", 1), ",", ".").try_cast("double")
-    unit = F.regexp_extract(first, r"^([0-9]+(?:[.,][0-9]+)?)\s*(mm|cm|m)?$", 2)
-    return number * F.when(unit == "mm", 0.001).when(unit == "cm", 0.01).otherwise(1.0)
+    """Type, confidence and tags that a report's type and description suggest."""
+    t = F.col("t")
+    tags = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(has_any(t, words), tag) for _, tag, _, words in KEYWORD_RULES]))))
+    return reports(spark, sf_dir).select(
+        "id", suggested_type(t, F.col("hazard_type")).alias("suggested_type"), F.round(rule_confidence(t), 4).alias("confidence"), F.array_join(tags, ";").alias("tags")
+    )
+
+
+@query(
+    "str_severity_class",
+    with_views(f"""with r as ({REPORTS}), s as (select id, t, {_TYPE} as kind from r)
+select id, case when regexp_matches(t, 'cannot pass|dangerous|blocked|no sidewalk|missing sidewalk') or kind in ('stairs', 'missing_curb_ramp', 'missing_sidewalk') then 'high'
+ when kind in ('low_lighting', 'surface_quality', 'obstruction') then 'medium' else 'low' end as level from s"""),
+)
+def str_severity_class(spark, sf_dir):
+    t = F.col("t")
+    return reports(spark, sf_dir).select("id", severity_class(suggested_type(t, F.col("hazard_type")), t).alias("level"))
 
 
 @query(

@@ -22,12 +22,12 @@ DEFAULTS = {"infrastructure": 0.35, "lighting": 0.30, "cameras": 0.40}
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query points: every eighth node."""
+    """Query points: the nodes."""
     register(spark, sf_dir, "node")
-    return spark.table("node").where("id % 8 = 0")
+    return spark.table("node")
 
 
-_POINTS = "points as (select * from node where id % 8 = 0)"
+_POINTS = "points as (select * from node)"
 
 
 def active_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,18 +108,21 @@ def agg_risk_score(spark, sf_dir):
 
 
 @query("agg_infra_risk", with_views(f"""with ranked as (select p.id, e.lighting, e.has_stairs, e.kerb_height, row_number() over (partition by p.id order by {sql.haversine('p.lat', 'p.lon', 'n.lat', 'n.lon')}, e.id) as rn
- from (select * from node where id % 40 = 0) p join node n on abs(p.lat - n.lat) < 0.0030e0 and abs(p.lon - n.lon) < 0.006e0 and {sql.haversine('p.lat', 'p.lon', 'n.lat', 'n.lon')} <= 200 join edge e on e.src = n.id)
-select id, count(*)::bigint as edges, round(avg(lighting), 6) as lighting, round(avg(case when has_stairs then 1e0 else 0e0 end), 6) as stairs,
- round(0.4e0 * (1 - avg(lighting)) + 0.6e0 * least(1e0, avg(case when has_stairs then 1e0 else 0e0 end) + avg(kerb_height)), 6) as risk from ranked where rn <= 50 group by id"""))
+ from node p join node n on abs(p.lat - n.lat) < 0.0030e0 and abs(p.lon - n.lon) < 0.006e0 and {sql.haversine('p.lat', 'p.lon', 'n.lat', 'n.lon')} <= 200 join edge e on e.src = n.id)
+select p.id, count(r.id)::bigint as edges, round(avg(lighting), 6) as lighting, round(avg(case has_stairs when true then 1e0 when false then 0e0 end), 6) as stairs,
+ round(case when count(r.id) = 0 then 0.35e0 else 0.4e0 * (1 - avg(lighting)) + 0.6e0 * (0.7e0 * count(*) filter (where has_stairs) / count(*) + 0.3e0 * least(10 * avg(kerb_height), 1e0)) end, 6) as risk
+ from node p left join (select * from ranked where rn <= 50) r on r.id = p.id group by p.id"""))
 def agg_infra_risk(spark, sf_dir):
-    """The 50 edges nearest to a point: dark streets, stairs and kerbs."""
+    """The 50 edges nearest to a point: dark streets, stairs and kerbs; 0.35 where no edge is near."""
     register(spark, sf_dir, "node", "edge")
-    base = spark.table("node").where("id % 40 = 0")
+    base = spark.table("node")
     starts = spark.table("edge").join(spark.table("node").select(F.col("id").alias("src"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), "src")
     near = nearest(base, starts.withColumnRenamed("id", "r_id"), "id", 200.0, k=50)
     stairs = F.avg(F.col("has_stairs").cast("double"))
-    mixed = 0.4 * (1 - F.avg("lighting")) + 0.6 * F.least(F.lit(1.0), stairs + F.avg("kerb_height"))
-    return near.groupBy("id").agg(F.count("*").alias("edges"), F.round(F.avg("lighting"), 6).alias("lighting"), F.round(stairs, 6).alias("stairs"), F.round(mixed, 6).alias("risk"))
+    mobility = 0.7 * stairs + 0.3 * F.least(10 * F.avg("kerb_height"), F.lit(1.0))
+    mixed = risk.clamp01(0.4 * (1 - F.avg("lighting")) + 0.6 * mobility)
+    found = near.groupBy("id").agg(F.count("*").alias("edges"), F.round(F.avg("lighting"), 6).alias("lighting"), F.round(stairs, 6).alias("stairs"), F.round(mixed, 6).alias("risk"))
+    return base.select("id").join(found, "id", "left").select("id", F.coalesce("edges", F.lit(0)).alias("edges"), "lighting", "stairs", F.coalesce("risk", F.lit(0.35)).alias("risk"))
 
 
 @query("agg_predictive_risk", with_views(f"""with {_POINTS}, {_NEAR},
@@ -149,14 +152,14 @@ def agg_blend_risk(spark, sf_dir):
     return spark.table("request").select("id", F.round(risk.clamp01(0.6 * F.col("safety_weight") + 0.2 * risk.coarse_time_of_day(hour) + 0.2 * 0.1), 6).alias("risk"))
 
 
-@query("agg_risk_grid", with_views(f"""with act as (select *, floor(lat / 0.0009e0)::bigint as gy, floor(lon / 0.0009e0)::bigint as gx from hazard where status in ('reported', 'under_review') and id % 4 = 0),
+@query("agg_risk_grid", with_views(f"""with act as (select *, floor(lat / 0.0009e0)::bigint as gy, floor(lon / 0.0009e0)::bigint as gx from hazard where status in ('reported', 'under_review')),
 cand as (select a.id, gy + dy as cy, gx + dx as cx, {sql.haversine('((gy + dy) + 0.5e0) * 0.0009e0', '((gx + dx) + 0.5e0) * 0.0009e0', 'a.lat', 'a.lon')} as d, {sql.severity('hazard_type')} as sev
  from act a, (select unnest(range(-4, 5)) as dy), (select unnest(range(-7, 8)) as dx))
 select cy, cx, count(*)::bigint as hazards, round({sql.normalised('sum(sev * exp(-d / 150e0))', 'count(*)')}, 6) as risk from cand where d <= 300 group by cy, cx"""))
 def agg_risk_grid(spark, sf_dir):
     """Hazards scatter to the grid cells whose centres they reach; cells sum up: one shuffle on the cell."""
     size = 0.0009
-    act = hazards(spark, sf_dir).where(risk.is_active(F.col("status")) & (F.col("id") % 4 == 0))
+    act = hazards(spark, sf_dir).where(risk.is_active(F.col("status")))
     cells = (
         act.withColumn("dy", F.explode(F.sequence(F.lit(-4), F.lit(4))))
         .withColumn("dx", F.explode(F.sequence(F.lit(-7), F.lit(7))))

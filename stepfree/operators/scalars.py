@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from stepfree.functions import geo, risk
 from stepfree.functions import sqltext as sql
+from stepfree.functions import tags as tag
+from stepfree.functions.tags import first_tag
 from stepfree.registry import query
 from stepfree.views import register, with_views
 
@@ -156,11 +158,6 @@ def risk_lighting(spark, sf_dir):
     return nodes(spark, sf_dir).select("id", F.round(lighting, 6).alias("lighting"), F.round(F.greatest(F.lit(0.0), 1 - (F.col("id") % 5) / 3.0), 6).alias("cctv"))
 
 
-def first_tag(tags: Column, *keys: str) -> Column:
-    """The first of ``keys`` with a value that is not blank."""
-    return F.coalesce(*[F.nullif(F.trim(F.element_at(tags, F.lit(k))), F.lit("")) for k in keys])
-
-
 def tags_of(spark, sf_dir):
     """A tag map for each node."""
     i = F.col("id")
@@ -199,11 +196,67 @@ def str_parse_incline(spark, sf_dir):
     return tags_of(spark, sf_dir).select("id", steep.alias("steep"))
 
 
-@query("str_parse_kerb", with_views("select id, case id % 5 when 0 then 0e0 when 1 then 0.1e0 when 2 then 0.03e0 else 0.05e0 end as metres from node"))
+#: Ways with kerbs, barriers and crossings of all kinds.
+_WAY_TAGS = (
+    {}, {"kerb": "flush"}, {"kerb": "Lowered"}, {"kerb": "rolled"}, {"kerb": "raised"}, {"kerb": "odd"}, {"kerb": " ", "sloped_curb": "yes"}, {"sloped_curb": "no"},
+    {"barrier": "kerb"}, {"barrier": "kerb", "kerb:height": "4 cm"}, {"barrier": "Gate"}, {"barrier": "bollard"}, {"barrier": "kerb", "kerb": "rolled"}, {"sidewalk:kerb:height": "0,12 m", "kerb": "flush"},
+    {"highway": "crossing"}, {"footway": "CROSSING", "crossing": "marked"}, {"highway": "construction"}, {"construction": "footway", "barrier": " chain "}, {"access": "no"}, {"crossing": ""},
+)
+#: Hand-made: kerb height, blocking barrier, crossing, construction of each.
+_WAY_VALUES = (
+    (0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0), (0.03, 0, 0, 0), (0.1, 0, 0, 0), (0.05, 0, 0, 0), (0.02, 0, 0, 0), (0.1, 0, 0, 0),
+    (0.1, 1, 0, 0), (0.04, 0, 0, 0), (0, 1, 0, 0), (0, 0, 0, 0), (0.03, 0, 0, 0), (0.12, 0, 0, 0),
+    (0, 0, 1, 0), (0, 0, 1, 0), (0, 0, 0, 1), (0, 1, 0, 1), (0, 0, 0, 1), (0, 0, 1, 0),
+)
+
+
+def way_tags(spark, sf_dir):
+    """A tag map of ``_WAY_TAGS`` for each node."""
+    maps = [F.create_map(*[F.lit(x) for pair in t.items() for x in pair]) if t else F.create_map().cast("map<string,string>") for t in _WAY_TAGS]
+    return nodes(spark, sf_dir).select("id", F.element_at(F.array(*maps), (F.col("id") % len(maps) + 1).cast("int")).alias("tags"))
+
+
+def _way_oracle(k: int, name: str, kind: str) -> str:
+    values = ", ".join(f"{v[k]}e0" if kind == "double" else str(bool(v[k])).lower() for v in _WAY_VALUES)
+    return with_views(f"select id, [{values}][(id % {len(_WAY_VALUES)})::int + 1] as {name} from node")
+
+
+@query("str_parse_kerb", _way_oracle(0, "metres", "double"))
 def str_parse_kerb(spark, sf_dir):
-    """Height by kerb keyword; an unknown word counts as 5 cm."""
-    kerb = F.col("tags")["kerb"]
-    return tags_of(spark, sf_dir).select("id", F.when(kerb.isin("flush", "no"), 0.0).when(kerb == "raised", 0.1).when(kerb == "lowered", 0.03).otherwise(0.05).alias("metres"))
+    return way_tags(spark, sf_dir).select("id", tag.kerb_height(F.col("tags")).alias("metres"))
+
+
+@query("str_barrier", _way_oracle(1, "blocked", "boolean"))
+def str_barrier(spark, sf_dir):
+    return way_tags(spark, sf_dir).select("id", tag.blocking_barrier(F.col("tags")).alias("blocked"))
+
+
+@query("str_crossing", _way_oracle(2, "crossing", "boolean"))
+def str_crossing(spark, sf_dir):
+    return way_tags(spark, sf_dir).select("id", tag.crossing(F.col("tags")).alias("crossing"))
+
+
+@query("str_construction", _way_oracle(3, "construction", "boolean"))
+def str_construction(spark, sf_dir):
+    return way_tags(spark, sf_dir).select("id", tag.under_construction(F.col("tags")).alias("construction"))
+
+
+@query("map_normalize", with_views("select id, 'a=x;b=' || id as tags from node"))
+def map_normalize(spark, sf_dir):
+    raw = F.create_map(F.lit(" b"), F.lit("old"), F.lit("a "), F.lit(" x "), F.lit("b"), F.concat(F.lit(" "), F.col("id").cast("string")), F.lit(" "), F.lit("y"), F.lit("c"), F.lit("  "))
+    pairs = F.array_sort(F.transform(F.map_entries(tag.normalized(raw)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return nodes(spark, sf_dir).select("id", F.array_join(pairs, ";").alias("tags"))
+
+
+@query("is_steep", with_views("select id, abs(id % 21 - 10) >= 8 as steep from node"))
+def is_steep(spark, sf_dir):
+    """At least 8 percent either way."""
+    return nodes(spark, sf_dir).select("id", (F.abs(F.col("id") % 21 - 10) >= 8).alias("steep"))
+
+
+@query("risk_cctv", "select n::bigint as cameras, round(greatest(0e0, 1 - n / 3e0), 6) as risk from (select unnest(range(0, 8)) as n)")
+def risk_cctv(spark, sf_dir):
+    return spark.range(8).select(F.col("id").alias("cameras"), F.round(F.greatest(F.lit(0.0), 1 - F.col("id") / 3.0), 6).alias("risk"))
 
 
 @query("date_parse_osm", with_views("select id, case id % 3 when 0 then date '2026-01-15' when 1 then date '2025-07-01' end as day from node"))
@@ -213,10 +266,12 @@ def date_parse_osm(spark, sf_dir):
     return tags_of(spark, sf_dir).select("id", day.alias("day"))
 
 
-@query("conf_status", with_views("select id, case when age > 1095 then 'stale' when conf >= 0.75e0 then 'verified' when conf >= 0.40e0 then 'partial' else 'unknown' end as status from (select id, id % 1500 as age, (id % 100) / 100e0 as conf from node)"))
+@query("conf_status", with_views("""select id, case when checked < timestamp '2026-01-01' - interval 1095 day then 'stale' when conf >= 0.75e0 and checked is not null then 'verified'
+ when conf >= 0.40e0 then 'partial' else 'unverified' end as status from (select id, case when id % 4 > 0 then timestamp '2026-01-01' - to_days((id % 1500)::int) end as checked, (id % 100) / 100e0 as conf from node)"""))
 def conf_status(spark, sf_dir):
-    age, conf = F.col("id") % 1500, (F.col("id") % 100) / 100.0
-    return nodes(spark, sf_dir).select("id", F.when(age > 1095, "stale").when(conf >= 0.75, "verified").when(conf >= 0.40, "partial").otherwise("unknown").alias("status"))
+    """Stale beyond 1095 days; verified needs a date and 0.75; partial from 0.40 on."""
+    age, conf = F.when(F.col("id") % 4 > 0, F.col("id") % 1500), (F.col("id") % 100) / 100.0
+    return nodes(spark, sf_dir).select("id", F.when(age > 1095, "stale").when(age.isNotNull() & (conf >= 0.75), "verified").when(conf >= 0.40, "partial").otherwise("unverified").alias("status"))
 
 
 @query("conf_duplicate", with_views("select id, round(least(0.95e0, greatest(0.35e0, case when id % 2 = 0 then 0.9e0 else 0.65e0 end * (1 - (id % 60) / (1.5e0 * 50)))), 6) as confidence from node"))
@@ -225,11 +280,21 @@ def conf_duplicate(spark, sf_dir):
     return nodes(spark, sf_dir).select("id", F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.35), base * (1 - (F.col("id") % 60) / (1.5 * 50)))), 6).alias("confidence"))
 
 
-@query("conf_profile_osm", with_views("select id, round(least(1e0, 0.10e0 + 0.65e0 * (id % 6) / 5e0 + case when id % 900 <= 180 then 0.20e0 when id % 900 <= 365 then 0.10e0 when id % 900 <= 730 then 0.04e0 else 0 end + case when id % 7 = 0 then 0.10e0 else 0 end), 6) as confidence from node"))
+def profile_confidence(known: Column, age_days: Column, photos: Column, n_tags: Column) -> Column:
+    """0.10 + 0.65 * known share + freshness + photos + tags, between 0.05 and 0.99."""
+    fresh = F.when(age_days <= 365, 0.20).when(age_days <= 1095, 0.10).when(age_days.isNotNull(), 0.04).otherwise(0.0)
+    total = 0.10 + 0.65 * known + fresh + F.when(photos > 0, 0.10).otherwise(0.0) + F.least(F.lit(0.10), n_tags / 100.0)
+    return F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), total)), 3)
+
+
+@query("conf_profile_osm", with_views("""with p as (select id, case when known + gaps = 0 then 0e0 else known::double / (known + gaps) end as share, case when id % 5 > 0 then id % 1499 end as age, id % 7 = 0 as photo, tags
+ from (select id, id % 6 as known, id % 4 as gaps, id % 17 as tags from node))
+select id, round(greatest(0.05e0, least(0.99e0, 0.10e0 + 0.65e0 * share + case when age is null then 0 when age > 1095 then 0.04e0 when age > 365 then 0.10e0 else 0.20e0 end + if(photo, 0.10e0, 0e0) + least(tags, 10) / 100e0)), 3) as confidence from p"""))
 def conf_profile_osm(spark, sf_dir):
-    known, age = (F.col("id") % 6) / 5.0, F.col("id") % 900
-    fresh = F.when(age <= 180, 0.20).when(age <= 365, 0.10).when(age <= 730, 0.04).otherwise(0.0)
-    return nodes(spark, sf_dir).select("id", F.round(F.least(F.lit(1.0), 0.10 + 0.65 * known + fresh + F.when(F.col("id") % 7 == 0, 0.10).otherwise(0.0)), 6).alias("confidence"))
+    i = F.col("id")
+    known, gaps = i % 6, i % 4
+    share = F.when(known + gaps > 0, known / (known + gaps)).otherwise(0.0)
+    return nodes(spark, sf_dir).select("id", profile_confidence(share, F.when(i % 5 > 0, i % 1499), (i % 7 == 0).cast("int"), i % 17).alias("confidence"))
 
 
 @query("date_max_null", with_views("select id, greatest(case when id % 2 = 0 then date '2024-01-01' end, case when id % 3 = 0 then date '2025-01-01' end) as latest from node"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepfree.functions import cost, geo
+from stepfree.functions.tags import blocking_barrier, crossing, kerb_height, parse_metres
 from stepfree.registry import query
 
 _TAG = T.ArrayType(T.StructType([T.StructField("_k", T.StringType()), T.StructField("_v", T.StringType())]))
@@ -80,12 +81,12 @@ def edges(nodes: DataFrame, ways: DataFrame) -> DataFrame:
         geo.haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")).alias("dist"),
         F.coalesce(t["surface"], F.lit("unknown")).alias("surface"),
         t["smoothness"].alias("smoothness"),
-        F.regexp_extract(get("width"), r"^([0-9.]+)", 1).try_cast("double").alias("width_m"),
-        F.when(get("kerb").isin("flush", "no", ""), 0.0).when(get("kerb") == "raised", 0.1).when(get("kerb") == "lowered", 0.03).otherwise(0.05).alias("kerb_height"),
+        parse_metres(t["width"]).alias("width_m"),
+        kerb_height(t).alias("kerb_height"),
         (get("highway") == "steps").alias("has_stairs"),
-        (get("barrier") != "").alias("has_barrier"),
+        blocking_barrier(t).alias("has_barrier"),
         (get("incline").isin("up", "down", "steep") | F.coalesce(F.abs(F.regexp_replace(get("incline"), "%$", "").try_cast("double")) >= 8, F.lit(False))).alias("is_steep"),
-        (get("footway") == "crossing").alias("has_crossing"),
+        crossing(t).alias("has_crossing"),
         F.when(get("lit") == "yes", 0.95).when(get("lit") == "no", 0.1).when(get("lit") == "limited", 0.55).otherwise(0.45).alias("lighting"),
         F.nullif(F.concat_ws(";", *[F.when(get(k) != "", F.concat(F.lit(f"{k}="), t[k])) for k in ("access", "foot", "wheelchair")]), F.lit("")).alias("access"),
     )

@@ -18,7 +18,7 @@ def test_query(spark, same, name):
     if name in ORACLES:
         same(df, ORACLES[name])
     else:
-        assert df.count() >= 0 and df.columns
+        assert df.count() > 0
 
 
 def test_no_product_joins(spark):
