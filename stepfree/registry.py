@@ -17,6 +17,7 @@ MODULES: tuple[str, ...] = (
     "stepfree.operators.scalars",
     "stepfree.operators.graph",
     "stepfree.operators.profiles",
+    "stepfree.operators.intake",
     "stepfree.streaming.jobs",
     "stepfree.sources.osm",
 )
