@@ -20,6 +20,7 @@ MODULES: tuple[str, ...] = (
     "stepfree.operators.intake",
     "stepfree.streaming.jobs",
     "stepfree.sources.osm",
+    "stepfree.sources.tables",
 )
 
 _QUERIES: dict[str, Query] = {}
