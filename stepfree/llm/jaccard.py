@@ -14,14 +14,15 @@ again with all its n-grams, under other orders (both sides of a pair that only e
 segments would join do so), and after SEEDS orders by its empty segments too. So no link
 is lost, at any size.
 
-Links. Candidate pairs are counted one fragment after the other: the overlap of the two
-segments is stored as a number, the segments that were shuffled for it go before the next
-fragment's, and the FRAGMENTS overlaps are summed per pair. Documents with equal sets are one
+Links. Candidate pairs are counted fragment by fragment: the overlap of the two segments is
+stored as a number, the segments that were shuffled for it go before the next pass over
+fragments (one pass takes several while they are small), and the FRAGMENTS overlaps are
+summed per pair. Documents with equal sets are one
 class from the start. Every class first meets one other only, the smallest of most of its
 buckets; the links found join classes into components. Buckets in which several components
 are left form groups (all buckets with one smallest class are one group), and each member of
 a group is written once as its difference from that class, again fragment by fragment. From
-there on only differences travel, and a group is never compared pair by pair (``refined``):
+there on only differences travel, and a large group is never compared pair by pair (``refined``):
 
 * the n-grams that more than half the members differ in are flipped for all of them, which
   puts the differences to a set in the middle of the group and keeps |x ^ y| = |dx ^ dy|;
@@ -35,8 +36,9 @@ there on only differences travel, and a group is never compared pair by pair (``
   one. Members that share such an n-gram are the groups of the next round. An n-gram of a difference is held by half
   of a group at most, so groups shrink at least by half and the rounds end.
 
-Only groups of up to PAIRWISE members are compared pair by pair. Nothing is left out, and the
-rows made grow with the members, not with their square.
+Groups of up to TOGETHER members whose differences are short (or of up to PAIRWISE) are counted
+whole in one task, which hands on at most one link less than it has members. Nothing is left
+out, and the rows made grow with the members, not with their square.
 
 Defined cases: with fewer than n words the whole sequence is one n-gram; null, empty and
 blank texts have no n-gram and link with nothing, themselves apart; rows that repeat are
@@ -57,7 +59,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfree.llm.common import attach, discard, documents, lower_words, release, stored
+from stepfree.llm.common import attach, discard, documents, lower_words, planned_bytes, release, stored
 
 SEEDS = 8
 FRAGMENTS = 4
@@ -66,12 +68,16 @@ GROWTH = 1.6
 SAMPLE, FREQUENT, MOST = 4000, 8, 100_000
 #: Texts that are hashed at once.
 BLOCK = 1000
-#: Groups of up to this many members are compared pair by pair.
-PAIRWISE = 16
+#: One task compares the members of a group of up to TOGETHER with TOGETHER_GRAMS in their differences, or of up to PAIRWISE.
+PAIRWISE, TOGETHER, TOGETHER_GRAMS = 16, 256, 1 << 20
+#: N-grams that are counted at once there.
+COLUMNS = 4096
 #: Members of a hub that one task takes, about.
 SPREAD = 2000
 #: Parts in which keys are shuffled one after the other, at most, and keys that make another part worth while.
 PASSES, PASS_KEYS = 4, 4_000_000
+#: Bytes of segments (about) that one pass over fragments shuffles, while there are fragments to deal.
+PASS_BYTES = 128 << 20
 U = np.uint64
 
 
@@ -269,12 +275,19 @@ def segments_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     return texts.select("text").mapInArrow(rows, "cls long, size long, frag int, seg array<long>").dropDuplicates(["cls", "frag"])
 
 
-def beside_hub(pairs: DataFrame, segments: DataFrame, frag: int) -> DataFrame:
-    """The pairs (hub, cls, ...) with size and seg of the class and hub_size and hub_seg of the hub, in one fragment; the members of a large hub spread over tasks."""
-    own = segments.where(F.col("frag") == frag)
-    parts = pairs.join(own.select("cls", "size", "seg"), "cls")
-    hubs = pairs.select("hub", "salt").distinct().join(own.select(F.col("cls").alias("hub"), F.col("size").alias("hub_size"), F.col("seg").alias("hub_seg")), "hub")
-    return parts.join(hubs, ["hub", "salt"])
+def fragment_passes(pairs: DataFrame, segments: DataFrame) -> list[list[int]]:
+    """The fragments, dealt to as many passes as keep what one of them shuffles near PASS_BYTES."""
+    copies = max(1, pairs.count() * FRAGMENTS / max(1, segments.count()))
+    passes = min(FRAGMENTS, 1 + int(2 * copies * planned_bytes(segments) / PASS_BYTES))
+    return [list(range(FRAGMENTS))[p::passes] for p in range(passes)]
+
+
+def beside_hub(pairs: DataFrame, segments: DataFrame, frags: list[int]) -> DataFrame:
+    """The pairs (hub, cls, ...) with size and seg of the class and hub_size and hub_seg of the hub in some fragments; the members of a large hub spread over tasks."""
+    own = segments.where(F.col("frag").isin(frags))
+    parts = pairs.join(own.select("cls", "frag", "size", "seg"), "cls")
+    hubs = own.select(F.col("cls").alias("hub"), "frag", F.col("size").alias("hub_size"), F.col("seg").alias("hub_seg"))
+    return parts.join(pairs.select("hub", "salt").distinct().join(hubs, "hub"), ["hub", "salt", "frag"])
 
 
 def salted(pairs: DataFrame) -> DataFrame:
@@ -287,10 +300,10 @@ def salted(pairs: DataFrame) -> DataFrame:
 def star_links(pairs: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (hub, cls) that link, as (a, b): overlaps are counted and stored fragment by fragment, then summed."""
     counted = None
-    for frag in range(FRAGMENTS):
-        parts = beside_hub(pairs, segments, frag)
+    for frags in fragment_passes(pairs, segments):
+        parts = beside_hub(pairs, segments, frags)
         near = (F.col("size") * rule.den >= F.col("hub_size") * rule.num) & (F.col("hub_size") * rule.den >= F.col("size") * rule.num)
-        overlap = stored(parts.where(near).select("hub", "cls", (F.col("size") + F.col("hub_size")).alias("total"), F.size(F.array_intersect("seg", "hub_seg")).alias("common")), f"overlap{frag}")
+        overlap = stored(parts.where(near).select("hub", "cls", (F.col("size") + F.col("hub_size")).alias("total"), F.size(F.array_intersect("seg", "hub_seg")).alias("common")), f"overlap{frags[0]}")
         release(pairs.sparkSession)
         counted = overlap if counted is None else counted.unionByName(overlap)
     both = counted.groupBy("hub", "cls").agg(F.sum("common").alias("common"), F.first("total").alias("total"))
@@ -305,14 +318,55 @@ def apart(x: Column | str, y: Column | str) -> Column:
 def differences(members: DataFrame, segments: DataFrame) -> DataFrame:
     """g, cls, comp, size, alone (0), diff: where the members (hub, cls, comp, salt) differ from their hub, counted by fragment and put together."""
     out = None
-    for frag in range(FRAGMENTS):
-        part = stored(beside_hub(members, segments, frag).select("hub", "cls", "comp", "size", apart("seg", "hub_seg").alias("diff")), f"differences{frag}")
+    for frags in fragment_passes(members, segments):
+        part = stored(beside_hub(members, segments, frags).select("hub", "cls", "comp", "size", apart("seg", "hub_seg").alias("diff")), f"differences{frags[0]}")
         release(members.sparkSession)
         out = part if out is None else out.unionByName(part)
     whole = out.groupBy("hub", "cls").agg(F.first("comp").alias("comp"), F.first("size").alias("size"), F.flatten(F.collect_list("diff")).alias("diff"))
     return whole.select(F.col("hub").alias("g"), "cls", "comp", "size", F.lit(0).cast("long").alias("alone"), "diff")
 
 
+def group_links(group: pa.Table, step: int) -> pa.Table:
+    """Links (a, b) of one group (cls, comp, d, s) that hold together whatever its links join.
+
+    The overlaps of all its differences are the product of a 0/1 matrix with itself, summed over
+    blocks of the n-grams that several members hold.
+    """
+    cls, comp, s = (group[c].to_numpy() for c in ("cls", "comp", "s"))
+    lists = group["d"].combine_chunks()
+    m, own = len(cls), np.repeat(np.arange(len(cls)), lists.value_lengths().to_numpy())
+    _, code, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    several = count > 1
+    own, code = own[several[code]], (np.cumsum(several) - 1)[code[several[code]]]
+    order = np.argsort(code, kind="stable")
+    own, code = own[order], code[order]
+    common = np.zeros((m, m))
+    for low in range(0, int(several.sum()), COLUMNS):
+        lo, hi = np.searchsorted(code, [low, low + COLUMNS])
+        held = np.zeros((m, COLUMNS), np.float32)
+        held[own[lo:hi], code[lo:hi] - low] = 1
+        common += held @ held.T
+    near = (s[:, None] + s[None, :] + 2 * step * common >= 0) & (comp[:, None] < comp[None, :])
+    x, y = np.nonzero(near)
+    names, node = np.unique(comp, return_inverse=True)
+    root = list(range(len(names)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    kept = []
+    _, once = np.unique(node[x] * len(names) + node[y], return_index=True)
+    for i in once.tolist():
+        a, b = find(int(node[x[i]])), find(int(node[y[i]]))
+        if a != b:
+            root[b] = a
+            kept.append(i)
+    return pa.table({"a": cls[x[kept]], "b": cls[y[kept]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
 def refined(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of the groups ``members`` (g, cls, comp, size, alone, diff), and the groups of the next round; see the top of this module.
 
@@ -320,19 +374,18 @@ def refined(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """
     lift, step = rule.den - rule.num, rule.den + rule.num
     salt = F.xxhash64("cls")
-    groups = stored(members.groupBy("g").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("g", "n"), "groups")
+    groups = members.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.size("diff")).alias("grams"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    groups = stored(groups.where("c0 < c1").select("g", "n", "grams"), "groups")
     open_ = attach(members, groups, ["g"], groups.count(), salt)
     slack = lift * F.col("size") - step * (F.size("d") + F.col("alone"))
 
-    few = open_.where(F.col("n") <= PAIRWISE).select("g", "cls", "comp", F.col("diff").alias("d"), (lift * F.col("size") - step * (F.size("diff") + F.col("alone"))).alias("s"))
-    other = few.select("g", *[F.col(c).alias(f"{c}2") for c in ("cls", "comp", "d", "s")])
-    pairs = few.join(other, "g").where("cls < cls2 and comp != comp2")
-    near = pairs.where(F.col("s") + F.col("s2") + 2 * step * F.size(F.array_intersect("d", "d2")) >= 0)
-    found = stored(near.select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct(), "near")
+    small = (F.col("n") <= PAIRWISE) | ((F.col("n") <= TOGETHER) & (F.col("grams") <= TOGETHER_GRAMS))
+    few = open_.where(small).select("g", "cls", "comp", F.col("diff").alias("d"), (lift * F.col("size") - step * (F.size("diff") + F.col("alone"))).alias("s"))
+    found = stored(few.groupBy("g").applyInArrow(lambda group: group_links(group, step), "a long, b long").distinct(), "near")
 
     # the middle of each group: n-grams that over half of it differs in change sides; those of over a
     # sixteenth count as frequent; those of one member only are counted for it and go
-    many = stored(open_.where(F.col("n") > PAIRWISE), "many")
+    many = stored(open_.where(~small).drop("grams"), "many")
     if many.isEmpty():
         return found, members.where("false")
     held = many.select("g", "n", "cls", F.explode("diff").alias("e")).groupBy("g", "n", "e").agg(F.count("*").alias("m"), F.min("cls").alias("one"))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,8 +214,9 @@ def brute_components(rows: list[tuple], n: int, num: int, den: int) -> list[tupl
     return sorted(((d, len(sets[i]), name[top(i)]) for i, (d, _) in enumerate(rows)), key=repr)
 
 
-@pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 8, 10)])
-def test_jaccard(spark, n, num, den):
+@pytest.mark.parametrize(("n", "num", "den", "together"), [(3, 90, 100, 256), (5, 8, 10, 16)])
+def test_jaccard(spark, monkeypatch, n, num, den, together):
+    monkeypatch.setattr(jaccard, "TOGETHER", together)
     rng = random.Random(n)
     rows = []
     for g in range(30):
@@ -236,6 +238,30 @@ def test_jaccard(spark, n, num, den):
     assert got == brute_components(rows, n, num, den)
 
 
+def test_group_links():
+    """The links of one group join what brute force joins, with and without shared n-grams."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        m, step = int(rng.integers(2, 40)), 18
+        sets = [set(rng.integers(0, 60, int(rng.integers(0, 25))).tolist()) for _ in range(m)]
+        s, comp = rng.integers(-600, 5, m), rng.integers(0, m, m)
+        table = pa.table({"cls": np.arange(m), "comp": comp, "d": pa.array([sorted(x) for x in sets], pa.list_(pa.int64())), "s": s})
+        out = jaccard.group_links(table, step)
+        linked = {(i, j) for i in range(m) for j in range(i) if comp[i] != comp[j] and s[i] + s[j] + 2 * step * len(sets[i] & sets[j]) >= 0}
+
+        def joined(pairs):
+            head = {int(c): int(c) for c in comp}
+            for _ in range(m):
+                for i, j in pairs:
+                    low = min(head[int(comp[i])], head[int(comp[j])])
+                    head[int(comp[i])] = head[int(comp[j])] = low
+            return head
+
+        got = list(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True))
+        assert all((max(p), min(p)) in linked for p in got) and len(got) < m
+        assert joined(got) == joined(linked)
+
+
 def test_jaccard_odd(odd, odd_rows, empty):
     assert jaccard.near_duplicates(odd).count() == len(odd_rows)
     kept = jaccard.keep_one(odd)
