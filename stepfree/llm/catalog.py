@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stepfree.llm import compression, html, jaccard, lines, markov, mixing, packing, quality, search, toxicity
+from stepfree.llm import codes, compression, html, jaccard, lines, markov, mixing, packing, quality, search, simhash, toxicity, whitening
 
 _QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,9 @@ _QUERIES = {
     "op8_score_language": markov.op8_score_language,
     "op9_score_quality": compression.op9_score_quality,
     "op10_score_toxicity": toxicity.op10_score_toxicity,
+    "op11_whiten": whitening.op11_whiten,
+    "op12_code_vectors": codes.op12_code_vectors,
+    "op13_simhash": simhash.op13_simhash,
 }
 
 _SQL = {

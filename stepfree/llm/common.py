@@ -8,6 +8,8 @@ import uuid
 import zlib
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +110,23 @@ def size_words(column: Column) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def finite(column: str) -> Column:
+    """Whether a vector is there and holds neither a null nor a non-finite component."""
+    bad = F.exists(column, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == F.lit(float("inf"))))
+    return F.col(column).isNotNull() & ~bad
+
+
+def matrix_of(column: pa.ChunkedArray | pa.Array, kind: type = np.float64, least: int = 0) -> np.ndarray:
+    """The lists of a column as rows of a matrix of at least ``least`` columns, shorter ones filled with zeros."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    width = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(width), int(width.max(initial=least))), kind)
+    row = np.repeat(np.arange(len(width)), width)
+    start = np.repeat(np.cumsum(width) - width, width)
+    out[row, np.arange(len(row)) - start] = lists.flatten().to_numpy()
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python workers by the thousand, not ten thousand at a time (unless the session says otherwise)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
