@@ -8,9 +8,11 @@ a partition selection, and the lists of all candidate blocks are merged per quer
 
 Defined cases: vectors that are null, or hold a null or a non-finite component, take no
 part; vectors of different length meet on the dimensions both have; zero components cost
-nothing; ties go to the smaller id; rows that repeat an id are candidates of their own,
-and a query never meets rows of its own id. Scores are integers as long as they stay
-below 2**53, which is checked for every pair of blocks; beyond that Python integers are used.
+nothing; ties go to the smaller id; rows that repeat an id are queries and candidates of
+their own, a query meets every row but its own; rows with a null id are no queries, and
+as candidates come last among ties. Scores are exact: a bound is worked out for every pair of
+blocks, and Python integers count where it exceeds 2**53. Scores beyond 64 bits count as the
+largest or smallest long, before ranking.
 """
 
 from __future__ import annotations
@@ -21,23 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stepfree.llm.common import stored
+from stepfree.llm.common import finite, matrix_of, stored
 
 #: Rows of a block, of equal size so that copies of queries and of candidates balance.
 QUERY_BLOCK = CANDIDATE_BLOCK = 8192
 #: Candidates of one dense score array, and queries of one.
 TILE, ROWS = 4096, 256
-
-
-def matrix_of(column: pa.ChunkedArray) -> np.ndarray:
-    """Rows of doubles, shorter ones filled with zeros."""
-    lists = column.combine_chunks()
-    width = np.diff(lists.offsets.to_numpy())
-    out = np.zeros((len(width), int(width.max(initial=0))))
-    row = np.repeat(np.arange(len(width)), width)
-    start = np.repeat(np.cumsum(width) - width, width)
-    out[row, np.arange(len(row)) - start] = lists.flatten().to_numpy()
-    return out
+#: What a long holds.
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -56,11 +49,10 @@ def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 
 
 def best_of_block(
-    q_rows: np.ndarray, queries: np.ndarray, c_rows: np.ndarray, c_ids: np.ndarray, candidates: np.ndarray, k: int
+    q_rows: np.ndarray, queries: np.ndarray, c_rows: np.ndarray, candidates: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query (place), candidate id and score of the k best of each query, ties to the smaller id; equal row numbers don't meet."""
-    order = np.argsort(c_ids, kind="stable")
-    c_rows, c_ids, candidates = c_rows[order], c_ids[order], candidates[order]
+    """query (place), candidate (place) and score of the k best of each query, ties to the earlier candidate; equal row numbers don't meet."""
+    c_ids = np.arange(len(c_rows))
     bound = np.abs(queries).sum(1).max(initial=0) * np.abs(candidates).max(initial=0)
     exact = bound < 2**53
     # float32 holds integers up to 2**24 and moves half the bytes
@@ -75,6 +67,8 @@ def best_of_block(
         found_c: list[list] = [[] for _ in own_rows]
         for b in range(0, len(candidates), TILE):
             s, rows, cand = scores(q, candidates[b : b + TILE]), c_rows[b : b + TILE], c_ids[b : b + TILE]
+            if kind is object:
+                s = np.clip(s, LEAST, MOST)
             for i, own in enumerate(own_rows):
                 row = s[i]
                 keep = min(k + 1, len(row))  # one of them may be the query itself
@@ -97,8 +91,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     Components become floor(scale * x), with x as double. Each query meets every other row.
     """
     x = F.transform("embedding", lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("double"))
-    usable = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == F.lit(float("inf"))))
-    rows = stored(vectors.where(usable).select("vec_id", x.alias("v"), is_query.alias("q"), F.monotonically_increasing_id().alias("row")), "vectors")
+    rows = stored(vectors.where(finite("embedding")).select("vec_id", x.alias("v"), F.coalesce(is_query & F.col("vec_id").isNotNull(), F.lit(False)).alias("q"), F.monotonically_increasing_id().alias("row")), "vectors")
     n_queries, n = rows.agg(F.count_if("q"), F.count("*")).first()
     q_blocks, c_blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
     block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
@@ -109,12 +102,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
         if not left.num_rows or not right.num_rows:
             q = c = s = np.zeros(0, np.int64)
         else:
-            q, c, s = best_of_block(left["row"].to_numpy(), matrix_of(left["v"]), right["row"].to_numpy(), right["vec_id"].to_numpy(), matrix_of(right["v"]), k)
-        place = pa.array(q, pa.int64())
-        return pa.table({"row": left["row"].take(place), "query_id": left["vec_id"].take(place).cast(pa.int64()), "vec_id": pa.array(c, pa.int64()), "score": pa.array([int(y) for y in s], pa.int64())})
+            right = right.sort_by("vec_id")  # nulls last
+            q, c, s = best_of_block(left["row"].to_numpy(), matrix_of(left["v"]), right["row"].to_numpy(), matrix_of(right["v"]), k)
+        query, found = pa.array(q, pa.int64()), pa.array(c, pa.int64())
+        ids = {"query_id": left["vec_id"].take(query).cast(pa.int64()), "vec_id": right["vec_id"].take(found).cast(pa.int64())}
+        return pa.table({"row": left["row"].take(query), **ids, "score": pa.array([int(y) for y in s], pa.int64())})
 
     parts = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInArrow(meet, "row long, query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return parts.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -125,10 +120,10 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = """
 WITH v AS MATERIALIZED (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64e0 * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r)
-SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 20
+SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) <= 20
 """
