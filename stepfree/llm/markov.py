@@ -16,7 +16,10 @@ array of fixed size; counts of rarer words are joined to (row, word) pairs.
 Defined cases: null and empty texts are the end symbol alone; a null id counts as held out
 (its crc32 is 0); with no training text all counts are 0; rows that repeat an id are scored
 one by one; training and scoring take every whole text (only the random start of the model is
-pulled apart on segments of a sample, before the rounds over all texts).
+pulled apart on segments of a sample, before the rounds over all texts). The sample goes by id
+and text (equal rows count once), so the partitioning does not choose it; counts are sums of
+doubles and single-precision products whose order it does choose, which moves scores by
+about a millionth of their size.
 """
 
 from __future__ import annotations
@@ -274,7 +277,7 @@ def train(rows: DataFrame, states: int, rounds: int, sample: int, sample_rounds:
     size = states + states**2 + SYMBOLS * states
     segments = F.greatest(F.lit(1), F.ceil(F.length("symbols") / (2 * SEGMENT)).cast("int"))
     at = 2 * SEGMENT * F.pmod(F.xxhash64("symbols", F.lit(seed)), segments).cast("int") + 1  # two bytes a symbol
-    few = hashed_first(rows, sample, seed, "doc_id", "row").select(F.substring("symbols", at, F.lit(2 * SEGMENT)).alias("symbols"))
+    few = hashed_first(rows, sample, seed, "doc_id", "symbols").select(F.substring("symbols", at, F.lit(2 * SEGMENT)).alias("symbols"))
     first = [np.frombuffer(x, "<i2") for x in sorted(r["symbols"] for r in few.collect())]
     unigram = np.full(SYMBOLS, 0.1) + (np.bincount(np.concatenate(first), minlength=SYMBOLS) if first else 0)
     unigram /= unigram.sum()
