@@ -8,16 +8,17 @@ that is kept by host; lists join to the pages by a guarded broadcast or with sal
 
 Defined cases: lines are split at newlines and compared whole; lines without a word are
 left alone and never counted; null texts stay null; null hosts form one host; exact copies of
-a page in one host count as one page, so a group of copies makes no line boilerplate; hosts
-with fewer than ``min_pages`` different pages and lines on fewer than ``min_count`` are left
-alone; a line is dropped when its pages exceed the ratio and stays when they equal it. A page
+a page in one host count as one page, so a group of copies makes no line boilerplate; the
+ratio decides for hosts of any size, but a line on one page of its host only (on fewer than
+``min_count``) does not repeat and stays; a line is dropped when its pages exceed the ratio and stays when they equal it. A page
 of which every worded line goes keeps the lines without a word only; ``spare_copies`` leaves
 such a page as it is (near-duplicate detection, which follows in the pipeline, thins near
 copies out, and would find nothing left of them otherwise).
 
-The query is bound to OP2_SQL, so these limits hold there. The pipeline goes further, by
-``drop_repeats``: small hosts are not left out, the ratio is also taken over all hosts as
-one, and a long line needs few pages to count as repeated, wherever they lie.
+The pipeline goes further, by ``drop_repeats``: the ratio is also taken over all hosts as
+one, and a long line needs few pages to count as repeated, wherever they lie. There a line
+must be on five pages of its host: near copies are still among them, and what two near
+copies of a small host share is for the stage after it.
 """
 
 from __future__ import annotations
@@ -38,28 +39,27 @@ def _worded(line: Column) -> Column:
     return line.rlike(WORDED)
 
 
-def boilerplate(docs: DataFrame, host: Column, max_ratio: float, min_pages: int, min_count: int) -> DataFrame:
+def boilerplate(docs: DataFrame, host: Column, max_ratio: float, min_count: int) -> DataFrame:
     """host, lines: 64-bit hashes of the lines above the ratio; a row for each host that has any."""
     pages = docs.select(host.alias("host"), F.col("text"), F.xxhash64("text").alias("page"))
-    totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     distinct = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _worded), lambda x: F.xxhash64(x)))
     counts = pages.select("host", "page", F.explode(distinct).alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
-    # a host has at least min_pages pages, so a line needs this many at least: most lines end here
-    counts = counts.where((F.col("n") >= min_count) & (F.col("n") > max_ratio * min_pages))
+    counts = counts.where(F.col("n") >= min_count)  # most lines end here
     totals = stored(totals, "hosts")
     many = attach(counts, totals, ["host"], totals.count(), F.col("line"))
     return many.where(F.col("n") > max_ratio * F.col("pages")).groupBy("host").agg(F.collect_set("line").alias("lines"))
 
 
 def drop_boilerplate(
-    docs: DataFrame, host: str | Column = "source", max_ratio: float = 0.08, min_pages: int = 20, min_count: int = 5, spare_copies: bool = False
+    docs: DataFrame, host: str | Column = "source", max_ratio: float = 0.08, min_count: int = 2, spare_copies: bool = False
 ) -> DataFrame:
     """The input rows and columns, with boilerplate lines taken out of ``text``; adds ``n_dropped_lines``.
 
     An input column of that name is replaced.
     """
     host = F.col(host) if isinstance(host, str) else host
-    frequent = stored(boilerplate(docs, host, max_ratio, min_pages, min_count), "boilerplate")
+    frequent = stored(boilerplate(docs, host, max_ratio, min_count), "boilerplate")
     # the row travels as one struct, so its columns may have any names
     rows = docs.select(F.struct(*[c for c in docs.columns if c != "n_dropped_lines"]).alias("__row"), host.alias("host"))
     joined = attach(rows, frequent, ["host"], frequent.count(), F.xxhash64("__row.text"), "left")
@@ -102,8 +102,8 @@ def repeated_passages(docs: DataFrame, min_words: int, copy_share: float) -> Dat
 def drop_repeats(docs: DataFrame, host: str | Column = "source", min_words: int = 10, copy_share: float = 0.2) -> DataFrame:
     """As ``drop_boilerplate``, for hosts of any size and for all hosts as one; then of every long passage one copy stays."""
     names = [c for c in docs.columns if c != "n_dropped_lines"]
-    clean = drop_boilerplate(docs, host, min_pages=1, spare_copies=True).withColumnRenamed("n_dropped_lines", "__own")
-    clean = drop_boilerplate(clean, F.lit(""), min_pages=1, spare_copies=True).withColumnRenamed("n_dropped_lines", "__all")
+    clean = drop_boilerplate(docs, host, min_count=5, spare_copies=True).withColumnRenamed("n_dropped_lines", "__own")
+    clean = drop_boilerplate(clean, F.lit(""), min_count=5, spare_copies=True).withColumnRenamed("n_dropped_lines", "__all")
     gone = stored(repeated_passages(clean, min_words, copy_share), "repeats")
     rows = clean.select(F.struct(*names).alias("__row"), (F.col("__own") + F.col("__all")).alias("__gone"), F.xxhash64("doc_id", "text").alias("key"))
     joined = attach(rows, gone, ["key"], gone.count(), F.monotonically_increasing_id(), "left")
@@ -122,14 +122,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-totals AS (SELECT source, count(*) AS pages FROM (SELECT DISTINCT source, text FROM pages) GROUP BY source HAVING count(*) >= 20),
+totals AS (SELECT source, count(*) AS pages FROM (SELECT DISTINCT source, text FROM pages) GROUP BY source),
 worded AS (
   SELECT source, line, count(DISTINCT text) AS n
   FROM (SELECT source, text, unnest(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS line FROM pages)
   GROUP BY source, line),
 frequent AS (
   SELECT w.source, list(w.line) AS gone FROM worded w JOIN totals t ON w.source IS NOT DISTINCT FROM t.source
-  WHERE n >= 5 AND n > 0.08e0 * t.pages GROUP BY w.source),
+  WHERE n >= 2 AND n > 0.08e0 * t.pages GROUP BY w.source),
 res AS (
   SELECT p.doc_id, p.text, p.lines, CASE WHEN f.gone IS NULL THEN p.lines ELSE
     list_filter(lines, lambda x: NOT regexp_matches(x, '[^\x20\x09-\x0D]') OR NOT list_contains(f.gone, x)) END AS kept
