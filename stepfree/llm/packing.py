@@ -441,7 +441,8 @@ def pack(pieces: DataFrame, size: int = 4096, group_pieces: int = 4096, node_lim
     pieces = pieces.select("doc_id", "piece", "start", "length", "ids_crc32")
     groups = max(1, -(-pieces.where(F.col("length") < size).count() // group_pieces))
     full = pieces.where(F.col("length") >= size)
-    small = pieces.where(F.col("length") < size).withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # with the row's number, so that rows which repeat spread over groups too
+    small = pieces.where(F.col("length") < size).withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     first = stored(_round(small, size, node_limit, groups == 1), "packed")
     out = [(first.where(~F.col("loose")), 0)]
     if groups > 1:

@@ -72,6 +72,13 @@ def test_lines(spark):
     assert out[3] == ("own 3\n", 1) and out[100] == ("", 1) and out[200] == ("menu home\nx", 0) and out[201] == (None, 0)
 
 
+@pytest.mark.parametrize("pages", [2, 5, 19, 20])
+def test_lines_of_small_hosts(spark, pages):
+    """The ratio decides whatever the number of pages; what is on one page does not repeat."""
+    df = spark.createDataFrame([(i, f"own {i}\nmenu", "a") for i in range(pages)], "doc_id long, text string, source string")
+    assert {r["text"] for r in lines.drop_boilerplate(df).collect()} == {f"own {i}" for i in range(pages)}
+
+
 def test_lines_at_the_ratio(spark):
     """A line on exactly 8 % of the different pages stays, on one more it goes; copies of a page count once."""
     rows = [(i, f"own {i}" + ("\nat the ratio" if i < 8 else "") + ("\nabove it" if 50 <= i < 59 else ""), "a") for i in range(100)]
@@ -295,16 +302,26 @@ def test_search(spark):
     rows += [(400, rows[20][1]), (420, None), (440, [1.0, None]), (460, [float("nan")] * 8), (480, [float("inf")] * 8), (None, rows[1][1]), (500, []), (40, rows[2][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
     got = Counter(tuple(r) for r in search.top_k(df, F.col("vec_id") % 20 == 0, k=5).select("query_id", "rank", "vec_id", "score").collect())
-    usable = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    usable = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     expected = Counter()
     for a, (q, v) in enumerate(usable):
-        if q % 20 == 0:  # both rows of id 40 are queries, and candidates of each other
-            best = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), c) for b, (c, w) in enumerate(usable) if a != b)[:5]
-            expected.update((q, k + 1, c, -s) for k, (s, c) in enumerate(best))
+        if q is not None and q % 20 == 0:  # both rows of id 40 are queries, and candidates of each other
+            best = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), c is None, c or 0) for b, (c, w) in enumerate(usable) if a != b)[:5]
+            expected.update((q, k + 1, None if none else c, -s) for k, (s, none, c) in enumerate(best))
     assert got == expected and len(expected) > 50
     tied = spark.createDataFrame([(20, [1.0]), (20, [1.0]), (3, [1.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in search.top_k(tied, F.col("vec_id") % 20 == 0).collect()) == [(20, 1, 3, 4096)] * 2 + [(20, 2, 20, 4096)] * 2
     assert search.top_k(df.where("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
+    ids = spark.createDataFrame([(None, [9.0]), (20, [1.0]), (None, [1.0]), (7, [1.0])], tied.schema)
+    assert [tuple(r) for r in search.top_k(ids, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(20, 1, None, 64 * 576), (20, 2, 7, 4096), (20, 3, None, 4096)]
+
+
+def test_search_beyond_64_bits(spark):
+    rows = [(20, [1e17, 1.0]), (21, [1e17, 1.0]), (22, [-1e17, 1.0]), (23, [1e8, 1.0]), (24, [0.0, 2.0]), (25, [3e38, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r["vec_id"], r["score"]) for r in search.top_k(df, F.col("vec_id") == 20).orderBy("rank").collect()]
+    exact = {i: min(2**63 - 1, max(-(2**63), sum(math.floor(64 * np.float64(np.float32(a))) * math.floor(64 * np.float64(np.float32(b))) for a, b in zip(rows[0][1], v, strict=True)))) for i, v in rows[1:]}
+    assert got == sorted(exact.items(), key=lambda x: (-x[1], x[0]))
 
 
 # packing
@@ -335,6 +352,15 @@ def test_packing(odd, odd_rows, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_spreads_equal_rows(spark):
+    """Rows equal in all columns do not end in one group."""
+    pieces = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), *[F.lit(v).cast(t).alias(c) for c, v, t in (("piece", 0, "int"), ("start", 0, "long"), ("length", 10, "long"), ("ids_crc32", 5, "long"))])
+    out = packing.pack(pieces, size=100, group_pieces=100).collect()
+    assert len(out) == 3000 and len({r["sequence_id"] for r in out}) <= 303
+    groups = Counter(r["sequence_id"] >> 22 for r in out if r["sequence_id"] % 4 == 0)  # of the first round
+    assert len(groups) == 30 and max(groups.values()) < 200
+
+
 def test_bin_completion():
     rng = np.random.default_rng(0)
     better = 0
@@ -412,6 +438,17 @@ def test_language_of_long_texts(spark):
     assert out and all(r["score"] > r["base_score"] - 0.05 * r["n_tokens"] for r in out)
 
 
+def test_language_model_whatever_the_partitioning(spark):
+    """The sample that parts the states is picked by id and text."""
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i // 2, prose_of(rng, 30 + i % 50)) for i in range(240)], "doc_id long, text string")
+    scores = []
+    for part in (docs.repartition(2), docs.repartition(7)):
+        out = markov.score_language(part, states=3, rounds=1, sample=20, sample_rounds=3).collect()
+        scores.append(sorted((r["doc_id"], r["n_tokens"], r["base_score"], r["score"]) for r in out))
+    assert all(math.isclose(a, b, abs_tol=1e-3) for x, y in zip(*scores, strict=True) for a, b in zip(x, y, strict=True))
+
+
 def prose_of(rng: random.Random, n: int) -> str:
     """Nouns and verbs in turn, few of each often."""
     return " ".join(f"{'nv'[i % 2]}{min(rng.randrange(40), rng.randrange(40))}" for i in range(n))
