@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -15,6 +14,7 @@ from stepfree.functions import cost, geo
 from stepfree.functions import sqltext as sql
 from stepfree.operators.risk import edge_penalty
 from stepfree.registry import query
+from stepfree.shared import discard, stored
 from stepfree.spatial import nearest
 from stepfree.views import register, with_views
 
@@ -70,43 +70,27 @@ def graph_snap(spark, sf_dir):
     return near.select("id", F.col("r_id").alias("node_id"), F.round("distance_m", 4).alias("distance_m"))
 
 
-def relaxed(edges: DataFrame, sources: DataFrame, hops: int | None = None, every: int = 4) -> DataFrame:
+def relaxed(edges: DataFrame, sources: DataFrame, hops: int | None = None) -> DataFrame:
     """Least cost from each source (source, node): joins of the frontier with its edges until nothing improves.
 
-    Only nodes that improved go on, sums are partial before they shuffle, and every few
-    rounds the distances are written to the shared folder, so lineage stays short.
+    Only nodes that improved go on, and every round is written, so that the next one reads its
+    result instead of working it out again. Rounds are as many as hops: for distances over whole graphs
+    ``hierarchy`` needs far fewer.
     """
-    spark = edges.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    arcs = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "cost")
-    best = sources.select("source", "node", F.lit(0.0).alias("cost"))
-    front, k = best, 0
+    arcs = stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("cost").alias("arc")), "arcs")
+    best = stored(sources.select("source", "node", F.lit(0.0).alias("cost"), F.lit(True).alias("better")), "relax")
+    k = 0
     while hops is None or k < hops:
         k += 1
-        step = front.join(arcs.withColumnRenamed("cost", "arc"), "node").groupBy("source", "next").agg(F.min(F.col("cost") + F.col("arc")).alias("new"))
-        step = step.select("source", F.col("next").alias("node"), "new")
+        step = best.where("better").join(arcs, "node").groupBy("source", F.col("next").alias("node")).agg(F.min(F.col("cost") + F.col("arc")).alias("new"))
         merged = best.join(step, ["source", "node"], "full_outer").select(
             "source", "node", F.least("cost", "new").alias("cost"), (F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost")))).alias("better")
         )
-        if base and k % every == 0:
-            path = f"{base}/stepfree/relax-{uuid.uuid4().hex}"
-            merged.write.parquet(path)
-            merged = spark.read.parquet(path)
-        if hops is None and merged.where("better").isEmpty():
+        before, best = best, stored(merged, "relax")
+        discard(before)
+        if best.where("better").isEmpty():
             break
-        best, front = merged.select("source", "node", "cost"), merged.where("better").select("source", "node", "cost")
-    return best
-
-
-@query("graph_dijkstra", with_views("""with recursive walk(node, cost, hop) as (
- select 0::bigint, 0e0, 0 union all select e.dst, w.cost + e.dist, w.hop + 1 from walk w join edge e on e.src = w.node and e.src < e.dst where w.hop < 6)
-select node, round(min(cost), 4) as cost from walk group by node"""))
-def graph_dijkstra(spark, sf_dir):
-    """Least distance from node 0 along at most six forward edges."""
-    _, edges = graph(spark, sf_dir)
-    forward = edges.where("src < dst").select("src", "dst", F.col("dist").alias("cost"))
-    start = spark.range(1).select(F.lit(0).cast("long").alias("source"), F.lit(0).cast("long").alias("node"))
-    return relaxed(forward, start, hops=6).select("node", F.round("cost", 4).alias("cost"))
+    return best.select("source", "node", "cost")
 
 
 @query("join_graph_traverse", with_views("""with recursive reach(node, hop) as (select 0::bigint, 0 union all select e.dst, r.hop + 1 from reach r join edge e on e.src = r.node and e.src < e.dst where r.hop < 5)
@@ -180,16 +164,6 @@ def astar(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["start_node", "end_node", "cost", "hops", "path"])
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder (held in the executors where none is set)."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.persist()
-    path = f"{base}/stepfree/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def with_all(pairs: DataFrame, paths: DataFrame) -> DataFrame:
     """The rows of ``pairs`` with their paths; those without one get infinite cost, -1 and an empty path."""
     found = pairs.join(paths, ["start_node", "end_node"], "left")
@@ -203,14 +177,14 @@ def least_paths(nodes: DataFrame, arcs: DataFrame, pairs: DataFrame) -> DataFram
     of both ends and searched in the slice of the graph around these cells. A result is final when no path that
     leaves the slice can cost less; the other pairs are searched again in wider slices, at last in the whole graph.
     """
-    arcs = kept(arcs, "arcs")
+    arcs = stored(arcs, "arcs")
     ends = nodes.select("id", "lat", "lon")
     asked = pairs.distinct().join(ends.toDF("start_node", "slat", "slon"), "start_node").join(ends.toDF("end_node", "elat", "elon"), "end_node")
     span = nodes.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
     if span[0] is None:
         return with_all(pairs.distinct(), pairs.sparkSession.createDataFrame([], FOUND))
     cells = [geo.cell(F.col(c), SHARD).alias(k) for c, k in (("slat", "sy"), ("slon", "sx"), ("elat", "ey"), ("elon", "ex"))]
-    open_ = kept(asked.select("*", *cells), "asked")
+    open_ = stored(asked.select("*", *cells), "asked")
     group = ["sy", "sx", "ey", "ex"]
     edge_columns = ["src", "dst", "seconds", "lat", "lon", "blat", "blon"]
     out = None
@@ -242,7 +216,7 @@ def least_paths(nodes: DataFrame, arcs: DataFrame, pairs: DataFrame) -> DataFram
             found = found.withColumn("__final", (F.col("cost") <= side[0] + side[1]) | (side[0] == far))
         else:
             found = found.withColumn("__final", F.lit(True))
-        found = kept(found, "paths")
+        found = stored(found, "paths")
         part = found.where("__final").select("start_node", "end_node", "cost", "hops", "path")
         out = part if out is None else out.unionByName(part)
         open_ = found.where("not __final").select("start_node", "end_node", "slat", "slon", "elat", "elon", *group)

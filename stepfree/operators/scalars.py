@@ -284,12 +284,20 @@ def profile_confidence(known: Column, age_days: Column, photos: Column, n_tags:
     """0.10 + 0.65 * known share + freshness + photos + tags, between 0.05 and 0.99."""
     fresh = F.when(age_days <= 365, 0.20).when(age_days <= 1095, 0.10).when(age_days.isNotNull(), 0.04).otherwise(0.0)
     total = 0.10 + 0.65 * known + fresh + F.when(photos > 0, 0.10).otherwise(0.0) + F.least(F.lit(0.10), n_tags / 100.0)
-    return F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), total)), 3)
+    return half_even_3(F.greatest(F.lit(0.05), F.least(F.lit(0.99), total)))
+
+
+def half_even_3(x: Column) -> Column:
+    """To three places, halves to even. Counted in whole millionths, where a half is exact whatever the sum's last bits are."""
+    millionths = F.round(x * 1e6).cast("long")
+    down, rest = F.floor(millionths / 1000), F.pmod(millionths, F.lit(1000))
+    return (down + F.when((rest > 500) | ((rest == 500) & (down % 2 == 1)), 1).otherwise(0)) / 1000.0
 
 
 @query("conf_profile_osm", with_views("""with p as (select id, case when known + gaps = 0 then 0e0 else known::double / (known + gaps) end as share, case when id % 5 > 0 then id % 1499 end as age, id % 7 = 0 as photo, tags
  from (select id, id % 6 as known, id % 4 as gaps, id % 17 as tags from node))
-select id, round(greatest(0.05e0, least(0.99e0, 0.10e0 + 0.65e0 * share + case when age is null then 0 when age > 1095 then 0.04e0 when age > 365 then 0.10e0 else 0.20e0 end + if(photo, 0.10e0, 0e0) + least(tags, 10) / 100e0)), 3) as confidence from p"""))
+select id, (u // 1000 + if(u % 1000 > 500 or (u % 1000 = 500 and (u // 1000) % 2 = 1), 1, 0)) / 1000e0 as confidence from (
+ select id, round(1000000 * greatest(0.05e0, least(0.99e0, 0.10e0 + 0.65e0 * share + case when age is null then 0 when age > 1095 then 0.04e0 when age > 365 then 0.10e0 else 0.20e0 end + if(photo, 0.10e0, 0e0) + least(tags, 10) / 100e0)))::bigint as u from p)"""))
 def conf_profile_osm(spark, sf_dir):
     i = F.col("id")
     known, gaps = i % 6, i % 4

@@ -16,6 +16,7 @@ MODULES: tuple[str, ...] = (
     "stepfree.operators.evaluation",
     "stepfree.operators.scalars",
     "stepfree.operators.graph",
+    "stepfree.operators.hierarchy",
     "stepfree.operators.profiles",
     "stepfree.operators.intake",
     "stepfree.streaming.jobs",
