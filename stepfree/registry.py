@@ -20,6 +20,8 @@ MODULES: tuple[str, ...] = (
     "stepfree.operators.profiles",
     "stepfree.operators.intake",
     "stepfree.streaming.jobs",
+    "stepfree.streaming.jobstate",
+    "stepfree.streaming.ingest",
     "stepfree.sources.osm",
     "stepfree.sources.tables",
 )
