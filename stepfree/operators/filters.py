@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stepfree.functions import cost, geo, risk
 from stepfree.functions import sqltext as sql
 from stepfree.registry import query
+from stepfree.sources.osm import walkable
 from stepfree.views import register, with_views
 
 CENTRE = (52.48, -1.91)
@@ -130,21 +131,21 @@ def filter_relaxed(spark, sf_dir):
     return edges(spark, sf_dir).where(~cost.access_blocked(F.col("access"), wheels=False)).select("id")
 
 
-@query(
-    "filter_walkable",
-    with_views(
-        "select id, kind from (select id, case id % 5 when 0 then 'footway' when 1 then 'motorway' when 2 then 'steps' when 3 then 'residential' else 'trunk' end as kind, id % 7 = 0 as no_foot from node) "
-        "where not no_foot and kind in ('footway', 'steps', 'residential')"
-    ),
-)
+#: Tags of made ways, the same text for both engines.
+_WAY_TAGS = """select id, case id % 9 when 0 then 'footway' when 1 then 'motorway' when 2 then 'steps' when 3 then 'Residential' when 4 then 'trunk_link' when 5 then 'crossing' when 6 then 'cycleway' when 7 then 'bridleway' end as highway,
+ case id % 7 when 0 then 'no' when 1 then 'yes' when 2 then 'designated' end as foot, case id % 11 when 0 then 'private' when 1 then 'no' when 2 then 'yes' end as access,
+ case id % 13 when 0 then 'wall' when 1 then 'fence' when 2 then 'kerb' end as barrier from node"""
+
+
+@query("filter_walkable", with_views(f"""select id from ({_WAY_TAGS}) where highway is not null and highway not in ('motorway', 'trunk_link') and coalesce(foot, '') <> 'no'
+ and (coalesce(access, '') not in ('no', 'private') or coalesce(foot, '') = 'yes') and coalesce(barrier, '') not in ('wall', 'fence')
+ and (lower(highway) in ('footway', 'steps', 'residential', 'crossing') or coalesce(foot, '') in ('yes', 'designated'))"""))
 def filter_walkable(spark, sf_dir):
-    """Ways that people walk on, from a tag map: walkable highways without foot=no."""
+    """Ways that people walk on, by their tags."""
     register(spark, sf_dir, "node")
-    kinds = F.array(*[F.lit(k) for k in ("footway", "motorway", "steps", "residential", "trunk")])
-    tags = F.create_map(F.lit("highway"), F.element_at(kinds, (F.col("id") % 5 + 1).cast("int")), F.lit("foot"), F.when(F.col("id") % 7 == 0, "no").otherwise("yes"))
-    ways = spark.table("node").select("id", tags.alias("tags"))
-    walkable = F.col("tags")["highway"].isin("footway", "steps", "residential", "path", "pedestrian", "living_street") & (F.col("tags")["foot"] != "no")
-    return ways.where(walkable).select("id", F.col("tags")["highway"].alias("kind"))
+    ways = spark.sql(_WAY_TAGS)
+    tags = F.map_filter(F.create_map(*[x for k in ("highway", "foot", "access", "barrier") for x in (F.lit(k), F.col(k))]), lambda k, v: v.isNotNull())
+    return ways.where(walkable(tags)).select("id")
 
 
 @query("filter_bidirectional", with_views("select id, not (id % 4 = 0 or id % 6 = 0) as both_ways from node"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import json
 import os
 
@@ -54,7 +56,7 @@ def test_penalty_is_clamped(spark):
 
 
 def test_map_extract(spark):
-    nodes, ways = osm.scan(spark, osm.SAMPLE)
+    nodes, ways = osm.scan(spark, str(Path(__file__).parent / "data" / "mini.osm"))
     rows = {(r.src, r.dst): r for r in osm.edges(nodes, ways).collect()}
     assert set(rows) == {(11, 12), (12, 11), (12, 13), (13, 12), (12, 14)}  # the dangling node is left out, way 22 is one-way
     assert rows[11, 12].wheelchair_penalty_s == 0 and rows[11, 12].data_quality > 0.9
