@@ -15,9 +15,11 @@ of a job come in order of time.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -111,6 +113,8 @@ class Jobs(StatefulProcessor):
 
 def job_states(messages: DataFrame, delay: str = "1 minute") -> DataFrame:
     """The rows of OUTPUT of a stream of MESSAGE rows."""
+    # the process that sets up state beside the driver gets no files that were added to the application: the class travels whole
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     keyed = messages.withWatermark("ts", delay).groupBy("job_id")
     return keyed.transformWithStateInPandas(Jobs(), OUTPUT, "Append", "EventTime")
 
