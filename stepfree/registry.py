@@ -24,6 +24,7 @@ MODULES: tuple[str, ...] = (
     "stepfree.streaming.ingest",
     "stepfree.sources.osm",
     "stepfree.sources.tables",
+    "stepfree.sources.artifacts",
 )
 
 _QUERIES: dict[str, Query] = {}
