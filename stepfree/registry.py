@@ -19,6 +19,7 @@ MODULES: tuple[str, ...] = (
     "stepfree.operators.hierarchy",
     "stepfree.operators.profiles",
     "stepfree.operators.intake",
+    "stepfree.operators.tiers",
     "stepfree.streaming.jobs",
     "stepfree.streaming.jobstate",
     "stepfree.streaming.ingest",
