@@ -26,6 +26,7 @@ MODULES: tuple[str, ...] = (
     "stepfree.sources.osm",
     "stepfree.sources.tables",
     "stepfree.sources.artifacts",
+    "stepfree.sources.mvt",
 )
 
 _QUERIES: dict[str, Query] = {}
