@@ -79,15 +79,15 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], rows: int, salt: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], rows: int, salt: Column, how: str = "inner", salts: int = 16, most: int = BROADCAST_ROWS) -> DataFrame:
     """Join ``small`` (``rows`` rows, unique by ``keys``) to ``big``; null keys match null keys.
 
-    Up to BROADCAST_ROWS rows of BROADCAST_BYTES in all it is broadcast. Above, it is copied ``salts`` times and
+    Up to ``most`` rows of BROADCAST_BYTES in all it is broadcast. Above, it is copied ``salts`` times and
     both sides shuffle on keys and salt, so that a hot key spreads over that many tasks.
     """
     right = small.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in small.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
-    if rows <= BROADCAST_ROWS and planned_bytes(small) <= BROADCAST_BYTES:
+    if rows <= most and planned_bytes(small) <= BROADCAST_BYTES:
         joined = big.join(F.broadcast(right), on, how)
     else:
         right = right.withColumn("__r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -59,7 +59,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfree.llm.common import attach, discard, documents, lower_words, planned_bytes, release, stored
+from stepfree.llm.common import attach as attach_any
+from stepfree.llm.common import discard, documents, lower_words, planned_bytes, release, stored
 
 SEEDS = 8
 FRAGMENTS = 4
@@ -76,11 +77,18 @@ COLUMNS = 4096
 SPREAD = 2000
 #: Parts in which keys are shuffled one after the other, at most, and keys that make another part worth while.
 PASSES, PASS_KEYS = 4, 4_000_000
+#: Rows of a table that is broadcast here: few, so that shuffles at a tenth of a GB are those of any size.
+FEW = 20_000
 #: Bytes of segments (about) that one pass over fragments shuffles, while there are fragments to deal.
 PASS_BYTES = 128 << 20
 U = np.uint64
 
 
+def attach(big: DataFrame, small: DataFrame, keys: list[str], rows: int, salt: Column, how: str = "inner", salts: int = 4) -> DataFrame:
+    """``common.attach`` with the bound FEW."""
+    return attach_any(big, small, keys, rows, salt, how, salts, FEW)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
