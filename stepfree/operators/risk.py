@@ -72,12 +72,69 @@ def agg_hazard_risk(spark, sf_dir):
     return base.join(sums, "id", "left").select("id", n.alias("hazards"), F.round(risk.normalised(total, n), 6).alias("risk"))
 
 
-_SCORE = f"""with {_POINTS}, {_NEAR},
-sums as (select p.id, count(n.d)::bigint as n, coalesce(sum(sev * exp(-d / 150e0)), 0) as total from points p left join near n on n.id = p.id group by p.id),
-parts as (select *, {sql.normalised('total', 'n')} as proximity, least(n / (pi() * 0.09e0) / 50, 1) as density, (id % 31)::bigint as crimes, id % 13 as lamps, id % 4 as cams from sums),
-f as (select *, case when crimes > 0 then 1 / (1 + exp(-2e0 * (crimes / 12e0 - 1))) else 0 end as crime, greatest(0e0, 1 - lamps / 10e0) as lighting, greatest(0e0, 1 - cams / 3e0) as cameras from parts)
-select id, n as hazards, round(proximity, 5) as proximity, round(density, 5) as density, round(crime, 5) as crime, round(lighting, 5) as lighting, round(cameras, 5) as cameras,
-  round(least(1e0, greatest(0e0, 0.35e0 * proximity + 0.20e0 * density + 0.15e0 * 0.35e0 + 0.12e0 * crime + 0.10e0 * lighting + 0.08e0 * cameras)), 5) as overall from f"""
+#: Metres within which incidents, lamps and cameras count; fixed values: lamps and cameras that leave no risk.
+INCIDENT_M, LAMP_M, CAMERA_M = 500.0, 100.0, 300.0
+LAMPS, CAMERAS = 10.0, 3.0
+
+
+def counted(base: DataFrame, things: DataFrame, metres: float, name: str) -> DataFrame:
+    """id and the number of ``things`` (lat, lon) within ``metres`` of each point that has any; things at one place travel as one row."""
+    places = things.groupBy(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).agg(F.count("*").alias("k"))
+    return within_distance(base.select("id", "lat", "lon"), places, metres).groupBy("id").agg(F.sum("k").alias(name))
+
+
+def infrastructure(spark: SparkSession, sf_dir: str, base: DataFrame, metres: float) -> DataFrame:
+    """id, edges, lighting, stairs, infra of the 50 edges nearest to each point that has any within ``metres``."""
+    register(spark, sf_dir, "node", "edge")
+    starts = spark.table("edge").join(spark.table("node").select(F.col("id").alias("src"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), "src")
+    near = nearest(base.select("id", "lat", "lon"), starts.select(F.col("id").alias("r_id"), "r_lat", "r_lon", "lighting", "has_stairs", "kerb_height"), "id", metres, k=50)
+    stairs = F.avg(F.col("has_stairs").cast("double"))
+    mobility = 0.7 * stairs + 0.3 * F.least(10 * F.avg("kerb_height"), F.lit(1.0))
+    mixed = risk.clamp01(0.4 * (1 - F.avg("lighting")) + 0.6 * mobility)
+    return near.groupBy("id").agg(F.count("*").alias("edges"), F.avg("lighting").alias("lighting"), stairs.alias("stairs"), mixed.alias("infra"))
+
+
+def signals(spark: SparkSession, sf_dir: str, base: DataFrame, metres: float) -> DataFrame:
+    """The points with hazards (n), proximity, infra, crimes, crime, lights and cameras around them, from the tables of each."""
+    register(spark, sf_dir, "node", "edge", "hazard", "incident", "fixture")
+    fixtures = spark.table("fixture")
+    sums = hazard_sums(within_distance(base, active_hazards(spark, sf_dir), metres), "id")
+    out = base.join(sums, "id", "left").join(infrastructure(spark, sf_dir, base, metres).select("id", "infra"), "id", "left")
+    for name, things, reach in (("crimes", spark.table("incident"), INCIDENT_M), ("lamps", fixtures.where("kind = 'lamp'"), LAMP_M), ("cams", fixtures.where("kind = 'camera'"), CAMERA_M)):
+        out = out.join(counted(base, things, reach, name), "id", "left")
+    n = F.coalesce("n", F.lit(0))
+    return out.select(
+        "id", n.alias("n"), risk.normalised(F.coalesce("total", F.lit(0.0)), n).alias("proximity"), F.coalesce("infra", F.lit(DEFAULTS["infrastructure"])).alias("infra"),
+        F.coalesce("crimes", F.lit(0)).alias("crimes"), risk.crime(F.coalesce("crimes", F.lit(0))).alias("crime"),
+        F.greatest(F.lit(0.0), 1 - F.coalesce("lamps", F.lit(0)) / LAMPS).alias("lights"), F.greatest(F.lit(0.0), 1 - F.coalesce("cams", F.lit(0)) / CAMERAS).alias("cameras"),
+    )
+
+
+def _around(metres: float, table: str, alias: str) -> str:
+    """SQL condition: ``table`` within ``metres`` of the point p."""
+    d = metres / 111_000 * 1.01
+    return f"abs(p.lat - {alias}.lat) < {d:.6f}e0 and abs(p.lon - {alias}.lon) < {2 * d:.6f}e0 and {sql.haversine('p.lat', 'p.lon', f'{alias}.lat', f'{alias}.lon')} <= {metres}"
+
+
+def _signals_sql(metres: float) -> str:
+    """The common table expressions of ``signals``, the last named s."""
+    d = sql.haversine("p.lat", "p.lon", "h.lat", "h.lon")
+    return f"""{_POINTS}, near as (select p.id, {d} as d, {sql.severity('h.hazard_type')} as sev from points p join hazard h on h.status in ('reported', 'under_review') and {_around(metres, 'hazard', 'h')}),
+sums as (select id, count(*)::bigint as n, sum(sev * exp(-d / 150e0)) as total from near group by id),
+ranked as (select p.id, e.lighting, e.has_stairs, e.kerb_height, row_number() over (partition by p.id order by {sql.haversine('p.lat', 'p.lon', 'n.lat', 'n.lon')}, e.id) as rn
+ from points p join node n on {_around(metres, 'node', 'n')} join edge e on e.src = n.id),
+infra as (select id, 0.4e0 * (1 - avg(lighting)) + 0.6e0 * (0.7e0 * count(*) filter (where has_stairs) / count(*) + 0.3e0 * least(10 * avg(kerb_height), 1e0)) as infra from ranked where rn <= 50 group by id),
+crimes as (select p.id, count(*)::bigint as crimes from points p join incident i on {_around(INCIDENT_M, 'incident', 'i')} group by p.id),
+lamps as (select p.id, count(*) as lamps from points p join fixture f on f.kind = 'lamp' and {_around(LAMP_M, 'fixture', 'f')} group by p.id),
+cams as (select p.id, count(*) as cams from points p join fixture f on f.kind = 'camera' and {_around(CAMERA_M, 'fixture', 'f')} group by p.id),
+s as (select p.id, coalesce(n, 0)::bigint as n, {sql.normalised('coalesce(total, 0)', 'coalesce(n, 0)')} as proximity, coalesce(infra, 0.35e0) as infra, coalesce(crimes, 0)::bigint as crimes,
+ case when crimes > 0 then 1 / (1 + exp(-2e0 * (crimes / 12e0 - 1))) else 0e0 end as crime, greatest(0e0, 1 - coalesce(lamps, 0) / 10e0) as lights, greatest(0e0, 1 - coalesce(cams, 0) / 3e0) as cameras
+ from points p left join sums using (id) left join infra using (id) left join crimes using (id) left join lamps using (id) left join cams using (id))"""
+
+
+_SCORE = f"""with {_signals_sql(RADIUS)}, f as (select *, least(n / (pi() * 0.09e0) / 50, 1) as density from s)
+select id, n as hazards, crimes, round(proximity, 5) as proximity, round(density, 5) as density, round(infra, 5) as infrastructure, round(crime, 5) as crime, round(lights, 5) as lighting, round(cameras, 5) as cameras,
+  round(least(1e0, greatest(0e0, 0.35e0 * proximity + 0.20e0 * density + 0.15e0 * infra + 0.12e0 * crime + 0.10e0 * lights + 0.08e0 * cameras)), 5) as overall from f"""
 
 
 def blended(parts: dict[str, Column]) -> Column:
@@ -91,20 +148,10 @@ def blended(parts: dict[str, Column]) -> Column:
 @query("agg_risk_score", with_views(_SCORE))
 def agg_risk_score(spark, sf_dir):
     """Six weighted signals around each point; signals without a row take their default."""
-    base = points(spark, sf_dir)
-    sums = hazard_sums(within_distance(base, active_hazards(spark, sf_dir), RADIUS), "id")
-    n, total = F.coalesce("n", F.lit(0)), F.coalesce("total", F.lit(0.0))
+    found = signals(spark, sf_dir, points(spark, sf_dir), RADIUS)
     area = pi * (RADIUS / 1000) ** 2
-    parts = {
-        "proximity": risk.normalised(total, n),
-        "density": F.least(n / area / 50.0, F.lit(1.0)),
-        "infrastructure": F.lit(DEFAULTS["infrastructure"]),
-        "crime": risk.crime(F.col("id") % 31),
-        "lighting": F.greatest(F.lit(0.0), 1 - (F.col("id") % 13) / 10.0),
-        "cameras": F.greatest(F.lit(0.0), 1 - (F.col("id") % 4) / 3.0),
-    }
-    shown = [F.round(v, 5).alias(k) for k, v in parts.items() if k != "infrastructure"]
-    return base.join(sums, "id", "left").select("id", n.alias("hazards"), *shown, F.round(blended(parts), 5).alias("overall"))
+    parts = {"proximity": F.col("proximity"), "density": F.least(F.col("n") / area / 50.0, F.lit(1.0)), "infrastructure": F.col("infra"), "crime": F.col("crime"), "lighting": F.col("lights"), "cameras": F.col("cameras")}
+    return found.select("id", F.col("n").alias("hazards"), "crimes", *[F.round(v, 5).alias(k) for k, v in parts.items()], F.round(blended(parts), 5).alias("overall"))
 
 
 @query("agg_infra_risk", with_views(f"""with ranked as (select p.id, e.lighting, e.has_stairs, e.kerb_height, row_number() over (partition by p.id order by {sql.haversine('p.lat', 'p.lon', 'n.lat', 'n.lon')}, e.id) as rn
@@ -114,35 +161,37 @@ select p.id, count(r.id)::bigint as edges, round(avg(lighting), 6) as lighting,
  from node p left join (select * from ranked where rn <= 50) r on r.id = p.id group by p.id"""))
 def agg_infra_risk(spark, sf_dir):
     """The 50 edges nearest to a point: dark streets, stairs and kerbs; 0.35 where no edge is near."""
-    register(spark, sf_dir, "node", "edge")
-    base = spark.table("node")
-    starts = spark.table("edge").join(spark.table("node").select(F.col("id").alias("src"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), "src")
-    near = nearest(base, starts.withColumnRenamed("id", "r_id"), "id", 200.0, k=50)
-    stairs = F.avg(F.col("has_stairs").cast("double"))
-    mobility = 0.7 * stairs + 0.3 * F.least(10 * F.avg("kerb_height"), F.lit(1.0))
-    mixed = risk.clamp01(0.4 * (1 - F.avg("lighting")) + 0.6 * mobility)
-    found = near.groupBy("id").agg(F.count("*").alias("edges"), F.round(F.avg("lighting"), 6).alias("lighting"), F.round(stairs, 6).alias("stairs"), F.round(mixed, 6).alias("risk"))
+    base = points(spark, sf_dir)
+    found = infrastructure(spark, sf_dir, base, 200.0).select("id", "edges", *[F.round(c, 6).alias(n) for c, n in (("lighting", "lighting"), ("stairs", "stairs"), ("infra", "risk"))])
     return base.select("id").join(found, "id", "left").select("id", F.coalesce("edges", F.lit(0)).alias("edges"), "lighting", "stairs", F.coalesce("risk", F.lit(0.35)).alias("risk"))
 
 
-@query("agg_predictive_risk", with_views(f"""with {_POINTS}, {_NEAR},
-s as (select p.id, {sql.normalised('coalesce(sum(sev * exp(-d / 150e0)), 0)', 'count(n.d)')} as hz from points p left join near n on n.id = p.id group by p.id),
-f as (select id, hz, {sql.day_curve('(id % 24)')} as tod, case when id % 3 = 0 then 0.4e0 else 0.1e0 end as wx from s),
-z as (select *, 0.35e0 * hz + 0.10e0 * tod + 0.10e0 * wx + 0.12e0 * 0.15e0 + 0.12e0 * 0.35e0 + 0.12e0 * 0.30e0 + 0.09e0 * 0.40e0 as z from f)
-select id, round(1 / (1 + exp(-5e0 * (z - 0.60e0))), 5) as overall, round(tod, 3) as time_risk,
- case when tod > 0.4e0 then 'night;' else '' end || case when wx > 0.3e0 then 'weather;' else '' end || case when hz > 0.3e0 then 'hazards;' else '' end || 'infrastructure;' as factors from z"""))
+PREDICT_M = 200.0
+_WIND, _FROST = "(id % 20)", "(id % 23 - 8)"
+
+
+@query("agg_predictive_risk", with_views(f"""with {_signals_sql(PREDICT_M)},
+f as (select *, {sql.day_curve('(id % 24)')} as tod, greatest(case when id % 3 = 0 then 0.4e0 else 0e0 end, case when {_WIND} > 15 then 0.55e0 when {_WIND} > 10 then 0.30e0 else 0e0 end,
+ case when {_FROST} < -5 then 0.65e0 when {_FROST} < 0 then 0.45e0 else 0e0 end) as wx from s),
+z as (select *, 0.35e0 * proximity + 0.10e0 * tod + 0.10e0 * wx + 0.12e0 * crime + 0.12e0 * infra + 0.12e0 * lights + 0.09e0 * cameras as z from f)
+select id, round(1 / (1 + exp(-5e0 * (z - 0.60e0))), 4) as overall, round(proximity, 4) as hazard_risk, round(tod, 4) as time_risk, round(wx, 4) as weather_risk, round(crime, 4) as crime_risk, round(infra, 4) as infra_risk,
+ round(lights, 4) as lighting_risk, round(cameras, 4) as camera_risk,
+ case when tod > 0.4e0 or wx > 0.3e0 or proximity > 0.3e0 or crime > 0.2e0 or infra > 0.3e0 then case when tod > 0.4e0 then 'night;' else '' end || case when wx > 0.3e0 then 'weather;' else '' end
+ || case when proximity > 0.3e0 then 'hazards;' else '' end || case when crime > 0.2e0 then 'crime;' else '' end || case when infra > 0.3e0 then 'infrastructure;' else '' end else 'none;' end as factors from z"""))
 def agg_predictive_risk(spark, sf_dir):
-    base = points(spark, sf_dir)
-    sums = hazard_sums(within_distance(base, active_hazards(spark, sf_dir), RADIUS), "id")
-    hazard = risk.normalised(F.coalesce("total", F.lit(0.0)), F.coalesce("n", F.lit(0)))
-    tod = risk.time_of_day(F.col("id") % 24)
-    wx = risk.weather(F.when(F.col("id") % 3 == 0, F.array(F.lit(502))).otherwise(F.array().cast("array<int>")), F.lit(3.0), F.lit(12.0))
-    wx = F.when(F.col("id") % 3 == 0, wx).otherwise(F.lit(0.1))
-    z = 0.35 * hazard + 0.10 * tod + 0.10 * wx + 0.12 * 0.15 + 0.12 * DEFAULTS["infrastructure"] + 0.12 * DEFAULTS["lighting"] + 0.09 * DEFAULTS["cameras"]
-    factors = F.array_compact(
-        F.array(F.when(tod > 0.4, "night;"), F.when(wx > 0.3, "weather;"), F.when(hazard > 0.3, "hazards;"), F.when(F.lit(DEFAULTS["infrastructure"]) > 0.3, "infrastructure;"))
-    )
-    return base.join(sums, "id", "left").select("id", F.round(risk.sigmoid(z, 5.0, 0.60), 5).alias("overall"), F.round(tod, 3).alias("time_risk"), F.array_join(factors, "").alias("factors"))
+    """Seven signals by a logistic curve, with what stands out. There is no weather table: codes, wind and frost of a point are made from its id."""
+    found = signals(spark, sf_dir, points(spark, sf_dir), PREDICT_M)
+    wx = risk.weather(F.when(F.col("id") % 3 == 0, F.array(F.lit(502))).otherwise(F.array().cast("array<int>")), F.expr(_WIND), F.expr(_FROST))
+    parts = (("hazard_risk", F.col("proximity"), 0.35), ("time_risk", risk.time_of_day(F.col("id") % 24), 0.10), ("weather_risk", wx, 0.10), ("crime_risk", F.col("crime"), 0.12),
+             ("infra_risk", F.col("infra"), 0.12), ("lighting_risk", F.col("lights"), 0.12), ("camera_risk", F.col("cameras"), 0.09))
+    found = found.select("id", *[v.alias(k) for k, v, _ in parts])
+    z = F.lit(0.0)
+    for name, _, weight in parts:
+        z = z + F.col(name) * weight
+    marks = (("night;", F.col("time_risk") > 0.4), ("weather;", F.col("weather_risk") > 0.3), ("hazards;", F.col("hazard_risk") > 0.3), ("crime;", F.col("crime_risk") > 0.2), ("infrastructure;", F.col("infra_risk") > 0.3))
+    named = F.array_compact(F.array(*[F.when(c, m) for m, c in marks]))
+    factors = F.when(F.size(named) == 0, "none;").otherwise(F.array_join(named, ""))
+    return found.select("id", F.round(risk.sigmoid(z, 5.0, 0.60), 4).alias("overall"), *[F.round(k, 4).alias(k) for k, *_ in parts], factors.alias("factors"))
 
 
 @query("agg_blend_risk", with_views("select id, round(least(1e0, greatest(0e0, 0.6e0 * safety_weight + 0.2e0 * case when id % 24 >= 22 or id % 24 < 5 then 0.8e0 when id % 24 >= 6 and id % 24 < 9 then 0.4e0 else 0.2e0 end + 0.2e0 * 0.1e0)), 6) as risk from request"))

@@ -46,6 +46,11 @@ where (s.k < 2 and a.p_partkey % 40 < 39 and a.p_partkey + 1 <= (select max(p_pa
 select s_suppkey as id, case s_nationkey % 4 when 0 then 'amenity:toilets' when 1 then 'highway:elevator' when 2 then 'barrier:kerb' else 'railway:station' end as asset_type,
   52.47e0 + (s_suppkey % 97) / 2000e0 as lat, -1.93e0 + (s_suppkey % 89) / 1500e0 as lon,
   s_acctbal as balance, 'osm' as source_system, s_name as name from supplier""",
+    "incident": """
+select event_id as id, 52.45e0 + (event_id % 701) / 10000e0 as lat, -1.95e0 + ((event_id * 37) % 701) / 10000e0 as lon from events where event_type = 'error'""",
+    "fixture": """
+select e.id, 'lamp' as kind, n.lat, n.lon from edge e join node n on n.id = e.src where e.lighting >= 0.95e0
+union all select id, 'camera', lat, lon from asset where asset_type = 'railway:station'""",
     "request": """
 select o_orderkey as id, o_custkey % 1000 as start_node, (o_custkey * 7 + o_orderkey) % 1000 as end_node,
   case substr(o_orderpriority, 1, 1) when '1' then 'manual-wheelchair' when '2' then 'power-wheelchair' when '3' then 'stroller' else 'standard' end as profile,
