@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stepfree.registry import query
+from stepfree.shared import discard, stored
 from stepfree.views import register, with_views
 
 
@@ -171,24 +172,40 @@ def agg_class_weights(spark, sf_dir):
     )
 
 
+def greedy_matches(found: DataFrame, truth: DataFrame, radius: float) -> DataFrame:
+    """id, truth_id: detections take, by falling score (ties: smaller id), the nearest free truth of their image within ``radius`` (ties: smaller truth_id).
+
+    ``found``: image, id, score, x; ``truth``: image, truth_id, tx. Pairs meet by cells of an image. A round settles every
+    detection that, among the open ones, comes first for the truth it is nearest to: nothing before it can take that truth,
+    and nothing nearer is free. So rounds are as many as the longest chain of detections that wait for each other.
+    """
+    cell = lambda c: F.floor(F.col(c) / radius)
+    spread = found.withColumn("cell", F.explode(F.sequence(cell("x") - 1, cell("x") + 1)))
+    pairs = spread.join(truth.withColumn("cell", cell("tx")), ["image", "cell"]).withColumn("gap", F.abs(F.col("x") - F.col("tx"))).where(F.col("gap") <= radius)
+    open_ = stored(pairs.select("id", "score", "truth_id", "gap"), "pairs")
+    out = stored(open_.where("false").select("id", "truth_id"), "matches")
+    while not open_.isEmpty():
+        nearest = open_.groupBy("id").agg(F.min(F.struct("gap", "truth_id")).alias("m")).select("id", "m.truth_id")
+        first = open_.groupBy("truth_id").agg(F.min(F.struct((-F.col("score")).alias("down"), "id")).alias("m")).select("truth_id", "m.id")
+        settled = stored(nearest.join(first, ["id", "truth_id"]), "matches")
+        rest = open_.join(settled.select("id"), "id", "left_anti").join(settled.select("truth_id"), "truth_id", "left_anti").select("id", "score", "truth_id", "gap")
+        out = out.unionByName(settled)
+        before, open_ = open_, stored(rest, "pairs")
+        discard(before)
+    return out
+
+
+#: Documents in a row that stand for one image.
+PER_IMAGE = 40
+
+
 @query("join_detection_greedy")
 def join_detection_greedy(spark, sf_dir):
-    """Score-descending one-to-one matches within a radius, image by image (order decides, so a group is one task's work)."""
-    df = predictions(spark, sf_dir).select("city", "id", F.round("score_a", 6).alias("score"), ((F.col("id") * 13) % 100).cast("double").alias("x"), "target")
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        truth = pdf[pdf.target == 1].sort_values("id")
-        free = np.ones(len(truth), bool)
-        rows = []
-        for d in pdf.sort_values(["score", "id"], ascending=[False, True]).itertuples():
-            gap = np.where(free, np.abs(truth["x"].to_numpy() - d.x), np.inf)
-            hit = len(gap) > 0 and gap.min() <= 5
-            if hit:
-                free[gap.argmin()] = False
-            rows.append((d.city, d.id, bool(hit)))
-        return pd.DataFrame(rows, columns=["city", "id", "matched"])
-
-    return df.groupBy("city").applyInPandas(match, "city string, id long, matched boolean")
+    """Score-descending one-to-one matches within a radius, image by image of a city; every detection with whether it has a match."""
+    df = predictions(spark, sf_dir).select("city", "id", F.struct("city", F.floor(F.col("id") / PER_IMAGE).alias("n")).alias("image"), F.round("score_a", 6).alias("score"), ((F.col("id") * 13) % 100).cast("double").alias("x"), "target")
+    truth = df.where("target = 1").select("image", F.col("id").alias("truth_id"), F.col("x").alias("tx"))
+    matches = greedy_matches(df.select("image", "id", "score", "x"), truth, 5.0)
+    return df.select("city", "id").join(matches, "id", "left").select("city", "id", F.col("truth_id").isNotNull().alias("matched"))
 
 
 @query("agg_detection_ap")
