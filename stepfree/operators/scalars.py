@@ -341,9 +341,3 @@ def str_token(spark, sf_dir):
     register(spark, sf_dir, "hazard")
     slug = F.regexp_replace(F.regexp_replace(F.lower("hazard_type"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     return spark.table("hazard").select("hazard_type", slug.alias("token")).distinct()
-
-
-@query("str_instruction", with_views("select id, 'Head ' || case id % 4 when 0 then 'north' when 1 then 'east' when 2 then 'south' else 'west' end || ' for ' || (id % 300) || 'm.' as text from node"))
-def str_instruction(spark, sf_dir):
-    way = geo.cardinal((F.col("id") % 4) * 90.0)
-    return nodes(spark, sf_dir).select("id", F.format_string("Head %s for %dm.", way, F.col("id") % 300).alias("text"))

@@ -20,6 +20,7 @@ MODULES: tuple[str, ...] = (
     "stepfree.operators.profiles",
     "stepfree.operators.intake",
     "stepfree.operators.tiers",
+    "stepfree.operators.assist",
     "stepfree.streaming.jobs",
     "stepfree.streaming.jobstate",
     "stepfree.streaming.ingest",
