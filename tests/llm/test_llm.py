@@ -186,6 +186,37 @@ def test_html_unclosed():
     assert html.main_text(f"<article><svg><g><svg>no</svg>no</g></svg><p>{line}</p></article>", tree) == line
 
 
+def test_html_names_in_an_article():
+    """Inside an article a doubtful name takes no prose away, a list of links goes; outside it names count."""
+    tree = html.DecisionTree(*html.labelled_table())
+    line, big = "The lift at the north gate is out of order until the end of next week.", " ".join(["Rain held the work up again."] * 20)
+    for part in (f'<p class="alert">{line} A</p>', f'<div class="related-work"><p>Prior: {line}</p></div>', f'<section id="search"><h2>How we look</h2><p>{line}</p></section>'):
+        want = [b.text for b in html.blocks_of(part)]
+        assert html.main_text(f"<article><p>{big}</p>{part}<p>Oh.</p></article>", tree).split("\n") == [big, *want, "Oh."]
+    linked = '<div class="related"><h3>Related</h3><ul><li><a href="/">One more thing</a></li><li><a href="/">Two more things</a></li></ul></div>'
+    assert html.main_text(f"<article><p>{line}</p>{linked}</article>", tree) == line
+    assert html.main_text(f'<article><p>{big}</p><p><a href="/">See the map</a></p></article>', tree).endswith("See the map")
+    assert html.main_text(f'<article><p>{line}</p><div class="comments"><p>{big}</p><p>Hm</p></div><div class="notice">{line}</div></article><div class="alert">{big}</div>', tree) == line
+    assert html.main_text(f"<div>{big}</div><article><p>Oh.</p></article><footer>{big}</footer>", tree) == "Oh."
+
+
+def test_html_tree_generalises():
+    """A labelled page left out of the training is told by the others; counts alone, without names, tell most of the whole table."""
+    blocks = [html.blocks_of(p) for p in html.LABELLED_PAGES]
+    x, y = [html.block_features(b) for b in blocks], [np.array([b.keep == "1" for b in p]) for p in blocks]
+    hits = 0
+    for k in range(len(blocks)):
+        tree = html.DecisionTree(np.concatenate(x[:k] + x[k + 1 :]), np.concatenate(y[:k] + y[k + 1 :]).astype(float))
+        hits += (tree.predict(x[k]) == y[k]).sum()
+    assert hits >= 0.94 * sum(map(len, y))
+    assert html.DecisionTree(*html.labelled_table()).feature < html.FIRST_NAME
+
+
+def test_html_empty(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string, n_chars long")
+    assert html.extract_text(none).columns == ["page_id", "url", "text", "n_chars"] and html.extract_text(none).count() == 0
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<article><p>a b</p></article>"), (None, None, None), (2, "u", ""), (3, "u", "<p>" + "w " * 100_000)]
     out = html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
