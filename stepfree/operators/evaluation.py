@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stepfree.registry import query
+from stepfree.running import running
 from stepfree.shared import discard, stored
 from stepfree.views import register, with_views
 
@@ -61,10 +62,10 @@ def agg_confusion(spark, sf_dir):
 select task, round((sum(rk) filter (where target = 1) - p * (p + 1) / 2) / (p * n), 6) as auc from (select *, sum(target) over (partition by task) as p, sum(1 - target) over (partition by task) as n from r) group by task, p, n having p * n > 0"""),
 )
 def agg_roc_auc(spark, sf_dir):
-    """Rank-sum area with average ranks for ties. Ties are counted before ranking, so windows run over distinct scores."""
+    """Rank-sum area with average ranks for ties. Ties are counted before ranking, so running sums go over distinct scores."""
     by_score = predictions(spark, sf_dir).groupBy("task", "score_a").agg(F.count("*").alias("n"), F.sum("target").alias("p"))
-    before = F.sum("n").over(W.partitionBy("task").orderBy("score_a")) - F.col("n")
-    ranked = by_score.withColumn("rank", before + (F.col("n") + 1) / 2)
+    placed = running(by_score, ["task"], [F.asc("score_a")], last=("sum", "n"))
+    ranked = placed.withColumn("rank", F.col("last") - F.col("n") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy("task").agg(F.sum(F.col("rank") * F.col("p")).alias("s"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return sums.where("p * q > 0").select("task", F.round((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q")), 6).alias("auc"))
 
@@ -77,9 +78,9 @@ select task, round(sum(p * prec / total), 6) as ap from c where total > 0 group
 )
 def agg_avg_precision(spark, sf_dir):
     by_score = predictions(spark, sf_dir).groupBy("task", "score_a").agg(F.count("*").alias("n"), F.sum("target").alias("p"))
-    down = W.partitionBy("task").orderBy(F.desc("score_a"))
-    steps = by_score.withColumn("prec", F.sum("p").over(down) / F.sum("n").over(down)).withColumn("total", F.sum("p").over(W.partitionBy("task")))
-    return steps.where("total > 0").groupBy("task").agg(F.round(F.sum(F.col("p") * F.col("prec") / F.col("total")), 6).alias("ap"))
+    steps = running(by_score, ["task"], [F.desc("score_a")], hits=("sum", "p"), seen=("sum", "n"))
+    gain = F.col("p") * (F.col("hits") / F.col("seen")) / F.col("total_hits")
+    return steps.where("total_hits > 0").groupBy("task").agg(F.round(F.sum(gain), 6).alias("ap"))
 
 
 @query("agg_brier", with_views("select task, round(avg(power(score_a - target, 2)), 6) as brier from prediction group by task"))
@@ -137,12 +138,21 @@ def agg_threshold_search(spark, sf_dir):
     ),
 )
 def agg_ensemble_search(spark, sf_dir):
-    """Best weight of two scores and threshold by F1: 45 settings, each counted with partial sums."""
-    settings = spark.range(5).select((F.col("id") * 0.25).alias("w")).crossJoin(spark.range(1, 10).select((F.col("id") * 0.1).alias("threshold")))
-    x = predictions(spark, sf_dir).crossJoin(F.broadcast(settings))
-    out = confusion(x, ["task", "w", "threshold"], F.col("score_a") * F.col("w") + F.col("score_b") * (1 - F.col("w")), F.col("threshold"), F.col("target"))
-    best = out.withColumn("rn", F.row_number().over(W.partitionBy("task").orderBy(F.desc(F.round("f1", 9)), "w", "threshold")))
-    return best.where("rn = 1").select("task", F.round("w", 3).alias("w"), F.round("threshold", 3).alias("threshold"), F.round("f1", 6).alias("f1"))
+    """Best weight of two scores and threshold by F1: 45 settings.
+
+    A row is counted once a weight, in the step its weighted score reaches; sums over steps give the thresholds.
+    """
+    weighted = predictions(spark, sf_dir).select("task", "target", "score_a", "score_b", F.explode(F.array(*[F.lit(k * 0.25) for k in range(5)])).alias("w"))
+    score = F.col("score_a") * F.col("w") + F.col("score_b") * (1 - F.col("w"))
+    reached = sum(((score >= F.lit(k) * 0.1).cast("int") for k in range(1, 10)), F.lit(0))
+    binned = weighted.groupBy("task", "w", reached.alias("step")).agg(F.sum("target").alias("p"), F.count("*").alias("n"))
+    # a task and weight have ten steps at most
+    at = binned.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(9))))
+    over = F.col("step") >= F.col("k")
+    sums = at.groupBy("task", "w", "k").agg(*[F.sum(F.when(c, v).otherwise(0)).alias(name) for name, c, v in (("tp", over, F.col("p")), ("fp", over, F.col("n") - F.col("p")), ("fn", ~over, F.col("p")))])
+    f1 = ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    best = sums.withColumn("f1", f1).withColumn("rn", F.row_number().over(W.partitionBy("task").orderBy(F.desc(F.round("f1", 9)), "w", "k")))
+    return best.where("rn = 1").select("task", F.round("w", 3).alias("w"), F.round(F.col("k") * 0.1, 3).alias("threshold"), F.round("f1", 6).alias("f1"))
 
 
 @query(

@@ -10,6 +10,7 @@ from stepfree.functions import risk
 from stepfree.functions.tags import parse_metres
 from stepfree.operators.filters import edges, hazards
 from stepfree.registry import query
+from stepfree.running import running
 from stepfree.views import register, with_views
 
 
@@ -84,12 +85,17 @@ agg_shard_stats = shared(
 select cast(sy as bigint) as sy, cast(sx as bigint) as sx, count(*) as edges, count(distinct src) as nodes from s group by 1, 2""",
     "edge", "node",
 )
-agg_percentile_nearest = shared(
-    "agg_percentile_nearest",
-    """select task, round(max(score_a) filter (where rn = greatest(1, cast(ceil(0.95e0 * n) as bigint))), 6) as p95 from
-(select task, score_a, row_number() over (partition by task order by score_a, id) as rn, count(*) over (partition by task) as n from prediction) t group by task""",
-    "prediction",
-)
+
+
+@query("agg_percentile_nearest", with_views("""select task, round(max(score_a) filter (where rn = greatest(1, cast(ceil(0.95e0 * n) as bigint))), 6) as p95 from
+(select task, score_a, row_number() over (partition by task order by score_a, id) as rn, count(*) over (partition by task) as n from prediction) t group by task"""))
+def agg_percentile_nearest(spark, sf_dir):
+    """The score at place ceil(0.95 n) of a task. Equal scores are counted first and places run over the distinct ones."""
+    register(spark, sf_dir, "prediction")
+    counted = spark.table("prediction").groupBy("task", "score_a").agg(F.count("*").alias("n"))
+    placed = running(counted, ["task"], [F.asc("score_a")], last=("sum", "n"))
+    place = F.greatest(F.lit(1), F.ceil(F.lit(0.95) * F.col("total_last")))
+    return placed.where((F.col("last") >= place) & (F.col("last") - F.col("n") < place)).select("task", F.round("score_a", 6).alias("p95"))
 
 
 @query("agg_percentile_linear", with_views("select task, round(quantile_cont(score_a, 0.5), 6) as p50, round(quantile_cont(score_a, 0.95), 6) as p95 from prediction group by task"))
@@ -132,16 +138,24 @@ win_step_position = shared(
     "select id, case when rn = 1 then 'depart' when rn = n then 'arrive' else 'continue' end as step from (select id, row_number() over (partition by id % 40 order by id) as rn, count(*) over (partition by id % 40) as n from node) t",
     "node",
 )
-win_cumsum = shared(
-    "win_cumsum",
-    "select id, task, sum(target) over (partition by task order by score_a desc, id rows between unbounded preceding and current row) as tp from prediction",
-    "prediction",
-)
-win_reverse_max = shared(
-    "win_reverse_max",
-    "select id, round(max(score_b) over (partition by task order by score_a, id rows between current row and unbounded following), 6) as envelope from prediction",
-    "prediction",
-)
+
+
+@query("win_cumsum", with_views("select id, task, sum(target) over (partition by task order by score_a desc, id rows between unbounded preceding and current row) as tp from prediction"))
+def win_cumsum(spark, sf_dir):
+    """True positives down to each row, from the highest score."""
+    register(spark, sf_dir, "prediction")
+    rows = spark.table("prediction").select("id", "task", "score_a", "target")
+    return running(rows, ["task"], [F.desc("score_a"), F.asc("id")], tp=("sum", "target")).select("id", "task", "tp")
+
+
+@query("win_reverse_max", with_views("select id, round(max(score_b) over (partition by task order by score_a, id rows between current row and unbounded following), 6) as envelope from prediction"))
+def win_reverse_max(spark, sf_dir):
+    """The highest second score from each row on, in the order of the first one: a running maximum from the end."""
+    register(spark, sf_dir, "prediction")
+    rows = spark.table("prediction").select("id", "task", "score_a", "score_b")
+    return running(rows, ["task"], [F.desc("score_a"), F.desc("id")], envelope=("max", "score_b")).select("id", F.round("envelope", 6).alias("envelope"))
+
+
 win_topn_group = shared(
     "win_topn_group", "select task, city, id from (select *, row_number() over (partition by task, city order by score_a desc, id) as rn from prediction) t where rn <= 2", "prediction"
 )
