@@ -60,3 +60,21 @@ def crossing(tags: Column) -> Column:
 
 def under_construction(tags: Column) -> Column:
     return _is(tags, "highway", "construction") | F.map_contains_key(tags, "construction") | _is(tags, "access", "no")
+
+
+#: Highways that are assets.
+ASSET_HIGHWAYS = ("elevator", "crossing", "bus_stop")
+
+
+def asset_type(tags: Column) -> Column:
+    """Kind of a place as key:value by the first of amenity, public_transport, railway, some highways (any case), barrier; null without one."""
+    named = lambda key: F.concat(F.lit(f"{key}:"), F.element_at(tags, F.lit(key)))
+    highway = F.when(F.lower(F.element_at(tags, F.lit("highway"))).isin(*ASSET_HIGHWAYS), named("highway"))
+    return F.coalesce(named("amenity"), named("public_transport"), named("railway"), highway, named("barrier"))
+
+
+def steep(incline: Column) -> Column:
+    """Up, down or steep, or at least 8 percent either way; anything that is no number is not steep."""
+    word = F.lower(F.trim(incline))
+    percent = F.trim(F.replace(word, F.lit("%"), F.lit(""))).try_cast("double")
+    return F.coalesce(word.isin("up", "down", "steep"), F.lit(False)) | F.coalesce((F.abs(percent) >= 8) & ~F.isnan(percent), F.lit(False))

@@ -142,6 +142,29 @@ def str_normalize_candidate(spark, sf_dir):
     return normalized_candidates(spark.sql(_SUGGESTED), "Reported without evidence.").select("id", "attribute", "value", "confidence", "evidence")
 
 
+def best_candidates(df: DataFrame, keys: list[str], least: float = 0.35, most: int = 12) -> DataFrame:
+    """Of each attribute (any case) of a key the most certain candidate (ties: smaller id); of these, from ``least`` on, the ``most`` best (ties: attribute), with ``rank``."""
+    first = F.max_by(F.struct("attribute", "value", "confidence", "id"), F.struct("confidence", (-F.col("id")).alias("i")))
+    best = df.groupBy(*keys, F.lower("attribute").alias("__a")).agg(first.alias("c")).select(*keys, "c.*").where(F.col("confidence") >= least)
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("confidence"), "attribute"))  # a row for each attribute at most
+    return best.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+@query(
+    "agg_group_argmax",
+    with_views(f"""with s as (select s.*, h.reporter from ({_SUGGESTED}) s join hazard h on h.id = s.id), t as (select *, {_sql_token('attribute')} as a, {_sql_token('value')} as v from s), j as (select *, a || ' ' || v as j from t),
+n as (select reporter, id, {_SQL_ATTRIBUTE} as attribute, v, round(1000000 * greatest(0e0, least(0.95e0, confidence)))::bigint as u from j),
+c as (select reporter, id, attribute, {_SQL_VALUE} as value, (u // 1000 + if(u % 1000 > 500 or (u % 1000 = 500 and (u // 1000) % 2 = 1), 1, 0)) / 1000e0 as confidence from n),
+b as (select * from c qualify row_number() over (partition by reporter, attribute order by confidence desc, id) = 1)
+select reporter, attribute, value, confidence, row_number() over (partition by reporter order by confidence desc, attribute)::int as rank from b where confidence >= 0.35e0 qualify rank <= 12"""),
+)
+def agg_group_argmax(spark, sf_dir):
+    """Of all that a reporter suggested the twelve most certain attributes."""
+    register(spark, sf_dir, "hazard")
+    rows = spark.sql(_SUGGESTED).join(spark.table("hazard").select("id", "reporter"), "id")
+    return best_candidates(normalized_candidates(rows, ""), ["reporter"]).select("reporter", "attribute", "value", "confidence", "rank")
+
+
 # ---------------------------------------------------------------- gaps, checklists, chips
 
 #: What to ask for where fields of a profile are missing, by falling confidence: attribute, value, confidence, fields.

@@ -159,27 +159,37 @@ def agg_ensemble_search(spark, sf_dir):
     "agg_slice_metrics",
     with_views(
         f"with c as ({_CONFUSION.format(keys='city, task', hit='score_a >= 0.5e0', src='prediction')}), m as (select *, {_METRICS} from c) "
-        "select city, sum(tp + fp + tn + fn)::bigint as n, round(avg(f1), 6) as macro_f1, avg(f1) < 0.1e0 as weak from m group by city having sum(tp + fp + tn + fn) >= 10"
+        "select city, sum(tp + fp + tn + fn)::bigint as n, round(avg(f1), 6) as macro_f1, avg(f1) < 0.1e0 as weak from m group by city having sum(tp + fp + tn + fn) >= 20"
     ),
 )
 def agg_slice_metrics(spark, sf_dir):
-    """Mean F1 over tasks by city, for cities with at least ten rows."""
+    """Mean F1 over tasks by city, for cities with at least twenty rows."""
     by_task = confusion(predictions(spark, sf_dir), ["city", "task"], F.col("score_a"), F.lit(0.5), F.col("target"))
     n = F.sum(F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
-    return by_task.groupBy("city").agg(n.alias("n"), F.round(F.avg("f1"), 6).alias("macro_f1"), (F.avg("f1") < 0.1).alias("weak")).where("n >= 10")
+    return by_task.groupBy("city").agg(n.alias("n"), F.round(F.avg("f1"), 6).alias("macro_f1"), (F.avg("f1") < 0.1).alias("weak")).where("n >= 20")
 
 
-@query(
-    "agg_class_weights",
-    with_views("select task, round(greatest(1e0, sum(1 - target) / greatest(1, sum(target))), 6) as pos_weight, round(count(*) / (select count(*) from prediction), 6) as share from prediction group by task"),
-)
+def class_weights(rows: DataFrame) -> DataFrame:
+    """task, total, positives, pos_weight, loss_weight from rows with task and target.
+
+    A positive row counts as a negative of every other task (weakly), so a task's total is its negatives and all positives. Weights:
+    negatives by positives, and mean total by total, each count at least 1.
+    """
+    positive = F.col("target") >= 0.5
+    by_task = rows.groupBy("task").agg(F.count_if(positive).alias("positives"), F.count_if(~positive).alias("own"))
+    both = by_task.crossJoin(F.broadcast(by_task.agg(F.sum("positives").alias("everywhere"), F.count("*").alias("tasks"))))  # one row
+    both = both.withColumn("total", F.col("own") + F.col("everywhere"))
+    mass = F.broadcast(both.agg(F.sum(F.greatest(F.lit(1), F.col("total"))).alias("mass")))
+    weight = F.greatest(F.lit(1), F.col("total") - F.col("positives")) / F.greatest(F.lit(1), F.col("positives"))
+    return both.crossJoin(mass).select("task", "total", "positives", weight.alias("pos_weight"), (F.col("mass") / (F.col("tasks") * F.greatest(F.lit(1), F.col("total")))).alias("loss_weight"))
+
+
+@query("agg_class_weights", with_views("""with t as (select task, count(*) filter (where target >= 0.5) as p, count(*) filter (where target < 0.5) as q from prediction group by task),
+u as (select task, p, q + (select sum(p) from t) as total, (select count(*) from t) as k from t)
+select task, total::bigint as total, p as positives, round(greatest(1, total - p) / greatest(1, p), 6) as pos_weight, round((select sum(greatest(1, total)) from u) / (k * greatest(1, total)), 6) as loss_weight from u"""))
 def agg_class_weights(spark, sf_dir):
-    df = predictions(spark, sf_dir)
-    counts = df.groupBy("task").agg(F.sum("target").alias("p"), F.count("*").alias("n"))
-    total = F.sum("n").over(W.partitionBy())
-    return counts.select(
-        "task", F.round(F.greatest(F.lit(1.0), (F.col("n") - F.col("p")) / F.greatest(F.lit(1), F.col("p"))), 6).alias("pos_weight"), F.round(F.col("n") / total, 6).alias("share")
-    )
+    out = class_weights(predictions(spark, sf_dir))
+    return out.select("task", "total", "positives", F.round("pos_weight", 6).alias("pos_weight"), F.round("loss_weight", 6).alias("loss_weight"))
 
 
 def greedy_matches(found: DataFrame, truth: DataFrame, radius: float) -> DataFrame:

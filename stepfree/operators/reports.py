@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stepfree.functions import risk
-from stepfree.functions.tags import parse_metres
+from stepfree.functions.tags import asset_type, parse_metres
 from stepfree.operators.filters import edges, hazards
 from stepfree.registry import query
 from stepfree.running import running
@@ -51,11 +51,17 @@ join_edge_nodes = shared(
     "edge", "node",
 )
 join_submission_asset = shared("join_submission_asset", "select h.id, h.hazard_type from hazard h where exists (select 1 from asset a where a.id = h.id % 137)", "hazard", "asset")
-join_enum_map = shared(
-    "join_enum_map",
-    "select h.hazard_type, round(coalesce(max(s.severity), 0.5e0), 3) as severity, count(*) as n from hazard h left join (select 'gravel' as name, 0.65e0 as severity union all select 'pothole', 0.5e0 union all select 'missing_curb_ramp', 0.9e0) s on s.name = replace(lower(h.hazard_type), ' ', '_') group by h.hazard_type",
-    "hazard",
-)
+
+
+@query("join_enum_map", with_views("select hazard_type, count(*) as n, round(case translate(lower(trim(hazard_type)), '- /', '___') " + " ".join(f"when '{k}' then {v}e0" for k, v in risk.SEVERITY.items()) + " else 0.5e0 end, 3) as severity from hazard group by hazard_type"))
+def join_enum_map(spark, sf_dir):
+    """Every type of report with its severity: counted first, then joined with the table of severities (a fixed list of 46 rows)."""
+    counted = hazards(spark, sf_dir).groupBy("hazard_type").agg(F.count("*").alias("n"))
+    table = spark.createDataFrame(list(risk.SEVERITY.items()), "name string, severity double")
+    found = counted.join(F.broadcast(table), risk.token(F.coalesce("hazard_type", F.lit(""))) == F.col("name"), "left")
+    return found.select("hazard_type", "n", F.round(F.coalesce("severity", F.lit(risk.DEFAULT_SEVERITY)), 3).alias("severity"))
+
+
 join_range_dim = shared(
     "join_range_dim",
     """with city as (select 'north' as city, 0 as ord, 52.49e0 as lo, 52.60e0 as hi union all select 'middle', 1, 52.47e0, 52.50e0 union all select 'south', 2, 52.40e0, 52.48e0),
@@ -69,11 +75,6 @@ agg_coverage_area = shared(
     "select round(sum(dlat * 111.32e0 * dlon * 111.32e0), 6) as km2, count(*) as regions from (select id % 10 as region, max(lat) - min(lat) as dlat, max(lon) - min(lon) as dlon from node group by id % 10) t",
     "node",
 )
-agg_group_argmax = shared(
-    "agg_group_argmax",
-    "select task, id, score_a from (select task, id, round(score_a, 6) as score_a, row_number() over (partition by task order by score_a desc, id) as rn from prediction) t where rn = 1",
-    "prediction",
-)
 agg_data_quality = shared(
     "agg_data_quality",
     "select count(*) as edges, count(*) filter (where surface = 'unknown') as no_surface, count(*) filter (where width_m is null) as no_width, count(*) filter (where smoothness is null) as no_smoothness from edge",
@@ -117,16 +118,33 @@ agg_split_summary = shared(
 )
 
 
-@query(
-    "agg_graph_status",
-    with_views("select (select count(*) from node) as nodes, (select count(*) from edge) as edges, 'osm:n' || (select count(*) from node) || ':e' || (select count(*) from edge) as version, strftime(max(reported_at), '%Y-%m-%d') as latest from hazard"),
-)
+def graph_status(nodes: DataFrame, ways: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row: counts, whether there is a graph, its version, the latest import and a warning if there is none.
+
+    ``runs``: id, status, started_at, finished_at (null while it runs); the latest is the one finished or, if not, started last; ties: larger id.
+    """
+    counts = nodes.agg(F.count("*").alias("nodes")).crossJoin(F.broadcast(ways.agg(F.count("*").alias("edges"))))
+    latest = runs.agg(F.max_by(F.struct("id", "status", "finished_at"), F.struct(F.coalesce("finished_at", "started_at"), "id")).alias("run"))
+    covered = (F.col("nodes") > 0) & (F.col("edges") > 0)
+    run_id = F.coalesce("run.id", F.lit(0))
+    version = F.when(covered, F.format_string("osm:%d:n%d:e%d", run_id, F.col("nodes"), F.col("edges"))).otherwise(F.format_string("osm:empty:%d", run_id))
+    why = F.when(F.col("run").isNull(), " and no completed OSM import has been recorded").otherwise(" after the latest OSM import")
+    warning = F.when(~covered, F.concat(F.lit("Route graph is empty"), why, F.lit("; safe-path may use fallback routing.")))
+    return counts.crossJoin(F.broadcast(latest)).select(
+        "nodes", "edges", covered.alias("has_coverage"), version.alias("version"), F.col("run.id").alias("run_id"), F.col("run.status").alias("run_status"), F.col("run.finished_at").alias("finished_at"), warning.alias("warning")
+    )
+
+
+_RUNS = "select id, status, reported_at as started_at, case when status <> 'in_progress' then reported_at + interval '20' minute end as finished_at from hazard where source = 'osm'"
+
+
+@query("agg_graph_status", with_views(f"""with r as (select * from ({_RUNS}) order by coalesce(finished_at, started_at) desc, id desc limit 1), n as (select (select count(*) from node) as nodes, (select count(*) from edge) as edges)
+select nodes, edges, true as has_coverage, 'osm:' || r.id || ':n' || nodes || ':e' || edges as version, r.id as run_id, r.status as run_status, strftime(r.finished_at, '%Y-%m-%d %H:%M:%S') as finished_at, null::varchar as warning from n cross join r"""))
 def agg_graph_status(spark, sf_dir):
+    """The graph's counts and version with its latest import (reports from the map stand for the imports)."""
     register(spark, sf_dir, "node", "edge", "hazard")
-    nodes, ways = (spark.table(t).agg(F.count("*").alias(f"{t}s")) for t in ("node", "edge"))
-    latest = spark.table("hazard").agg(F.date_format(F.max("reported_at"), "yyyy-MM-dd").alias("latest"))
-    version = F.concat(F.lit("osm:n"), F.col("nodes"), F.lit(":e"), F.col("edges"))
-    return nodes.crossJoin(F.broadcast(ways)).crossJoin(F.broadcast(latest)).select("nodes", "edges", version.alias("version"), "latest")
+    out = graph_status(spark.table("node"), spark.table("edge"), spark.sql(_RUNS))
+    return out.withColumn("finished_at", F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 # windows
@@ -222,11 +240,22 @@ set_disjoint_check = shared(
 set_forbidden = shared("set_forbidden", "select id from prediction where city in ('src1', 'src2') except select id from prediction where target = 0", "prediction")
 
 # text rules
-str_asset_type = shared(
-    "str_asset_type",
-    "select id, coalesce(case when asset_type like 'amenity:%' then substr(asset_type, 9) end, case when asset_type like 'railway:%' then substr(asset_type, 9) end, 'other') as kind from asset",
-    "asset",
-)
+#: Tags of a place by id; each row gives its type, or none.
+_PLACES = (
+    ({"amenity": "toilets", "railway": "station"}, "amenity:toilets"), ({"public_transport": "platform", "highway": "bus_stop"}, "public_transport:platform"), ({"railway": "station", "barrier": "gate"}, "railway:station"),
+    ({"highway": "Elevator", "barrier": "kerb"}, "highway:Elevator"), ({"highway": "footway", "barrier": "kerb"}, "barrier:kerb"), ({"highway": "crossing"}, "highway:crossing"), ({"highway": "steps"}, None),
+    ({"highway": "bus_stop"}, "highway:bus_stop"), ({"surface": "asphalt"}, None), ({"barrier": "bollard"}, "barrier:bollard"), ({"amenity": "bench"}, "amenity:bench"),
+)
+
+
+@query("str_asset_type", with_views(f"select id, case id % {len(_PLACES)} {' '.join(f"when {k} then '{v}'" for k, (_, v) in enumerate(_PLACES) if v)} end as asset_type from asset"))
+def str_asset_type(spark, sf_dir):
+    """The type of every place from its tags."""
+    register(spark, sf_dir, "asset")
+    maps = F.array(*[F.create_map(*[F.lit(x) for pair in t.items() for x in pair]) for t, _ in _PLACES])
+    return spark.table("asset").select("id", asset_type(F.element_at(maps, (F.col("id") % len(_PLACES) + 1).cast("int"))).alias("asset_type"))
+
+
 str_access = shared(
     "str_access", "select id, nullif(concat_ws(';', access, case when id % 5 = 0 then 'wheelchair=no' end), '') as access from edge", "edge"
 )

@@ -248,10 +248,15 @@ def map_normalize(spark, sf_dir):
     return nodes(spark, sf_dir).select("id", F.array_join(pairs, ";").alias("tags"))
 
 
-@query("is_steep", with_views("select id, abs(id % 21 - 10) >= 8 as steep from node"))
+_INCLINES = ("up", " Down", "STEEP", "8%", "-9 %", "7.9", "-8", "flat", "", "12", "0%", "yes", "1e1", "+8.5%", "8 percent")
+
+
+@query("is_steep", with_views(f"""with t as (select id, lower(trim(case id % {len(_INCLINES) + 1} {' '.join(f"when {k} then '{w}'" for k, w in enumerate(_INCLINES))} end)) as w from node)
+select id, coalesce(w in ('up', 'down', 'steep'), false) or coalesce(abs(try_cast(trim(replace(w, '%', '')) as double)) >= 8, false) as steep from t"""))
 def is_steep(spark, sf_dir):
-    """At least 8 percent either way."""
-    return nodes(spark, sf_dir).select("id", (F.abs(F.col("id") % 21 - 10) >= 8).alias("steep"))
+    """Inclines as texts: words, percent signs, numbers of either sign, nothing."""
+    text = F.expr(f"case id % {len(_INCLINES) + 1} {' '.join(f'when {k} then {w!r}' for k, w in enumerate(_INCLINES))} end")
+    return nodes(spark, sf_dir).select("id", tag.steep(text).alias("steep"))
 
 
 @query("risk_cctv", "select n::bigint as cameras, round(greatest(0e0, 1 - n / 3e0), 6) as risk from (select unnest(range(0, 8)) as n)")

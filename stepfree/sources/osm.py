@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from stepfree.functions import cost, geo
 from stepfree.functions import sqltext as sql
-from stepfree.functions.tags import blocking_barrier, crossing, kerb_height, parse_metres
+from stepfree.functions.tags import asset_type, blocking_barrier, crossing, kerb_height, parse_metres
 from stepfree.registry import query
 from stepfree.shared import new_folder
 from stepfree.sources import pbf
@@ -104,12 +104,7 @@ def edges(nodes: DataFrame, ways: DataFrame) -> DataFrame:
 
 def assets(nodes: DataFrame) -> DataFrame:
     """Point infrastructure with its type: amenity, public transport, railway, some highways, barriers."""
-    t = F.col("tags")
-    kind = F.coalesce(
-        *[F.when(t[k].isNotNull(), F.concat(F.lit(f"{k}:"), t[k])) for k in ("amenity", "public_transport", "railway")],
-        F.when(t["highway"].isin("crossing", "elevator", "bus_stop", "steps"), F.concat(F.lit("highway:"), t["highway"])),
-        F.when(t["barrier"].isNotNull(), F.concat(F.lit("barrier:"), t["barrier"])),
-    )
+    kind = asset_type(F.col("tags"))
     return nodes.withColumn("asset_type", kind).where("asset_type is not null").dropDuplicates(["id"]).select("id", "asset_type", "lat", "lon", "tags")
 
 

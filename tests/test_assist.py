@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stepfree.operators import assist
+from stepfree.operators import assist, evaluation, reports
 
 SUGGESTIONS = {
     ("Kerb ramp", "no"): ("curb_ramp", "false"),
@@ -108,3 +108,29 @@ def test_cities_and_identifiers(spark):
     assert got == [("seattle", "sea"), ("new_york", "x"), ("new_york", "nyc"), ("san josé", "san-jos"), ("unknown", "unknown"), ("plain.jpg", "unknown"), ("x", "unknown")]
     keys = spark.createDataFrame([(1,), (2**40 + 5,), (-1,)], "id long").select(assist.guid_of(F.col("id"))).collect()
     assert [r[0] for r in keys] == ["00000001-0000-0000-0000-000000000000", "00000005-0100-0000-0000-000000000000", "ffffffff-ffff-ffff-0000-000000000000"]
+
+
+def test_best_candidate_of_each_attribute(spark):
+    rows = [("k", 1, "surface", "mud", 0.5), ("k", 2, "Surface", "sand", 0.5), ("k", 3, "surface", "old", 0.4), ("k", 4, "width", "x", 0.34), ("k", 5, "a", "y", 0.5), ("j", 6, "b", "z", 0.35)]
+    df = spark.createDataFrame(rows, "key string, id long, attribute string, value string, confidence double")
+    out = {(r.key, r.attribute, r.value, r["rank"]) for r in assist.best_candidates(df, ["key"]).collect()}
+    assert out == {("k", "a", "y", 1), ("k", "surface", "mud", 2), ("j", "b", "z", 1)}
+    assert assist.best_candidates(df, ["key"], most=1).count() == 2
+
+
+def test_status_of_an_empty_graph(spark):
+    runs = spark.createDataFrame([(1, "completed", "2024-01-01", "2024-01-02"), (2, "running", "2024-01-03", None)], "id long, status string, a string, b string")
+    runs = runs.select("id", "status", F.to_timestamp("a").alias("started_at"), F.to_timestamp("b").alias("finished_at"))
+    none, some = spark.range(0), spark.range(3)
+    a = reports.graph_status(some, none, runs).first()
+    assert (a.has_coverage, a.version, a.run_status) == (False, "osm:empty:2", "running") and "after the latest OSM import" in a.warning
+    b = reports.graph_status(none, none, runs.where("false")).first()
+    assert (b.version, b.run_id) == ("osm:empty:0", None) and "no completed OSM import" in b.warning
+    c = reports.graph_status(some, some, runs.where("id = 1")).first()
+    assert (c.version, c.warning) == ("osm:1:n3:e3", None)
+
+
+def test_class_weights_with_weak_negatives(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 0.0), ("b", 1.0), ("c", 0.2)], "task string, target double")
+    out = {r.task: (r.total, r.positives, r.pos_weight, round(r.loss_weight, 6)) for r in evaluation.class_weights(df).collect()}
+    assert out == {"a": (4, 2, 1.0, round(11 / 12, 6)), "b": (3, 1, 2.0, round(11 / 9, 6)), "c": (4, 0, 4.0, round(11 / 12, 6))}
