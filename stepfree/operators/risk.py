@@ -201,16 +201,11 @@ def agg_blend_risk(spark, sf_dir):
     return spark.table("request").select("id", F.round(risk.clamp01(0.6 * F.col("safety_weight") + 0.2 * risk.coarse_time_of_day(hour) + 0.2 * 0.1), 6).alias("risk"))
 
 
-@query("agg_risk_grid", with_views(f"""with act as (select *, floor(lat / 0.0009e0)::bigint as gy, floor(lon / 0.0009e0)::bigint as gx from hazard where status in ('reported', 'under_review')),
-cand as (select a.id, gy + dy as cy, gx + dx as cx, {sql.haversine('((gy + dy) + 0.5e0) * 0.0009e0', '((gx + dx) + 0.5e0) * 0.0009e0', 'a.lat', 'a.lon')} as d, {sql.severity('hazard_type')} as sev
- from act a, (select unnest(range(-4, 5)) as dy), (select unnest(range(-7, 8)) as dx))
-select cy, cx, count(*)::bigint as hazards, round({sql.normalised('sum(sev * exp(-d / 150e0))', 'count(*)')}, 6) as risk from cand where d <= 300 group by cy, cx"""))
-def agg_risk_grid(spark, sf_dir):
-    """Hazards scatter to the grid cells whose centres they reach; cells sum up: one shuffle on the cell."""
+def risk_cells(active: DataFrame) -> DataFrame:
+    """cy, cx, hazards, risk: hazards scatter to the grid cells whose centres they reach; cells sum up: one shuffle on the cell."""
     size = 0.0009
-    act = hazards(spark, sf_dir).where(risk.is_active(F.col("status")))
     cells = (
-        act.withColumn("dy", F.explode(F.sequence(F.lit(-4), F.lit(4))))
+        active.withColumn("dy", F.explode(F.sequence(F.lit(-4), F.lit(4))))
         .withColumn("dx", F.explode(F.sequence(F.lit(-7), F.lit(7))))
         .withColumn("cy", geo.cell(F.col("lat"), size) + F.col("dy"))
         .withColumn("cx", geo.cell(F.col("lon"), size) + F.col("dx"))
@@ -221,6 +216,14 @@ def agg_risk_grid(spark, sf_dir):
     return near.groupBy("cy", "cx").agg(F.count("*").alias("hazards"), F.round(risk.normalised(total, F.count("*")), 6).alias("risk"))
 
 
+@query("agg_risk_grid", with_views(f"""with act as (select *, floor(lat / 0.0009e0)::bigint as gy, floor(lon / 0.0009e0)::bigint as gx from hazard where status in ('reported', 'under_review')),
+cand as (select a.id, gy + dy as cy, gx + dx as cx, {sql.haversine('((gy + dy) + 0.5e0) * 0.0009e0', '((gx + dx) + 0.5e0) * 0.0009e0', 'a.lat', 'a.lon')} as d, {sql.severity('hazard_type')} as sev
+ from act a, (select unnest(range(-4, 5)) as dy), (select unnest(range(-7, 8)) as dx))
+select cy, cx, count(*)::bigint as hazards, round({sql.normalised('sum(sev * exp(-d / 150e0))', 'count(*)')}, 6) as risk from cand where d <= 300 group by cy, cx"""))
+def agg_risk_grid(spark, sf_dir):
+    return risk_cells(hazards(spark, sf_dir).where(risk.is_active(F.col("status"))))
+
+
 @query("agg_risk_tile", with_views("""select floor(lat / 0.0045e0)::bigint as ty, floor(lon / 0.007e0)::bigint as tx, count(*)::bigint as points,
  round(0.35e0 * 0 + 0.12e0 * avg(case when id % 31 > 0 then 1 / (1 + exp(-2e0 * ((id % 31) / 12e0 - 1))) else 0 end) + 0.15e0 * 0.35e0 + 0.10e0 * 0.30e0 + 0.08e0 * 0.40e0 + 0.03e0, 6) as risk from node group by 1, 2"""))
 def agg_risk_tile(spark, sf_dir):

@@ -24,6 +24,7 @@ MODULES: tuple[str, ...] = (
     "stepfree.streaming.jobs",
     "stepfree.streaming.jobstate",
     "stepfree.streaming.ingest",
+    "stepfree.streaming.snapshot",
     "stepfree.sources.osm",
     "stepfree.sources.tables",
     "stepfree.sources.artifacts",
