@@ -15,19 +15,22 @@ def first_tag(tags: Column, *keys: str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.element_at(tags, F.lit(k))), F.lit("")) for k in keys])
 
 
-def normalized(tags: Column) -> Column:
-    """Keys and values without white space around them; blank ones go, and of keys that become equal the last stays."""
+def normalized(tags: Column, fold: bool = False) -> Column:
+    """Keys (in lower case with ``fold``) and values without white space around them; blank ones go, and of keys that become equal the last stays."""
+    name = (lambda k: F.lower(F.trim(k))) if fold else F.trim
     kept = F.filter(F.map_entries(tags), lambda e: (F.trim(e["key"]) != "") & (F.trim(e["value"]) != ""))
-    trimmed = F.transform(kept, lambda e: F.struct(F.trim(e["key"]).alias("key"), F.trim(e["value"]).alias("value")))
+    trimmed = F.transform(kept, lambda e: F.struct(name(e["key"]).alias("key"), F.trim(e["value"]).alias("value")))
     last = F.filter(trimmed, lambda e, i: ~F.exists(F.slice(trimmed, i + 2, F.greatest(F.size(trimmed) - i - 1, F.lit(0))), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
+    keys = F.transform(trimmed, lambda e: e["key"])
+    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), trimmed).otherwise(last))
 
 
 def parse_metres(text: Column) -> Column:
     """First of a ;-list, decimal comma allowed, in mm, cm or m; null if it is no number."""
-    first = F.trim(F.split(F.lower(text), ";")[0])
-    number = F.regexp_replace(F.regexp_extract(first, r"^([0-9]+(?:[.,][0-9]+)?)\s*(mm|cm|m)?$", 1), ",", ".").try_cast("double")
-    unit = F.regexp_extract(first, r"^([0-9]+(?:[.,][0-9]+)?)\s*(mm|cm|m)?$", 2)
+    first = F.trim(F.split(F.regexp_replace(F.lower(text), r"^[;\s]+", ""), ";")[0])
+    form = r"^([0-9]+(?:[.,][0-9]+)?)\s*(mm|cm|m|met(?:re|er)s?)?$"
+    number = F.regexp_replace(F.regexp_extract(first, form, 1), ",", ".").try_cast("double")
+    unit = F.regexp_extract(first, form, 2)
     return number * F.when(unit == "mm", 0.001).when(unit == "cm", 0.01).otherwise(1.0)
 
 

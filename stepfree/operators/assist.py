@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from stepfree.functions import geo, risk
 from stepfree.functions import sqltext as sql
+from stepfree.functions.profile import half_even_3
 from stepfree.operators.filters import edges, hazards
 from stepfree.operators.graph import graph
 from stepfree.operators.reports import REPORTS, has_any, reports, suggested_type
 from stepfree.operators.reports import _TYPE as TYPE_SQL
-from stepfree.operators.scalars import half_even_3
 from stepfree.registry import query
 from stepfree.spatial import within_distance
 from stepfree.views import register, with_views

@@ -263,19 +263,6 @@ def agg_route_summary(spark, sf_dir):
     )
 
 
-@query("join_corridor", """with c as (select cy, cx, cy * 0.01e0 as s, cx * 0.01e0 as w from (select unnest(range(5244, 5250)) as cy) a, (select unnest(range(-194, -188)) as cx) b),
-p as (select *, (cy * 0.01e0 + 0.005e0) as my, (cx * 0.01e0 + 0.005e0) as mx from c),
-t as (select *, least(1e0, greatest(0e0, ((mx + 1.93e0) * 0.04e0 + (my - 52.45e0) * 0.035e0) / (0.04e0 * 0.04e0 + 0.035e0 * 0.035e0))) as t from p)
-select cy, cx from t where sqrt(power(mx + 1.93e0 - t * 0.04e0, 2) + power(my - 52.45e0 - t * 0.035e0, 2)) <= 0.0110e0""")
-def join_corridor(spark, sf_dir):
-    """Cells whose centre lies within a corridor around a start-end line."""
-    cells = spark.range(5244, 5250).select(F.col("id").alias("cy")).crossJoin(spark.range(-194, -188).select(F.col("id").alias("cx")))
-    my, mx = F.col("cy") * 0.01 + 0.005, F.col("cx") * 0.01 + 0.005
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((mx + 1.93) * 0.04 + (my - 52.45) * 0.035) / (0.04**2 + 0.035**2)))
-    gap = F.sqrt(F.pow(mx + 1.93 - t * 0.04, 2) + F.pow(my - 52.45 - t * 0.035, 2))
-    return cells.where(gap <= 0.0110)
-
-
 @query("join_overlap", with_views("""with r as (select id % 12 as region, min(lat) as s, max(lat) as n, min(lon) as w, max(lon) as e from node where id is not null group by id % 12)
 select a.region as a, b.region as b, round((least(a.n, b.n) - greatest(a.s, b.s)) * (least(a.e, b.e) - greatest(a.w, b.w)) * 1000000, 4) as area from r a join r b on a.region < b.region and a.s < b.n and b.s < a.n and a.w < b.e and b.w < a.e"""))
 def join_overlap(spark, sf_dir):
@@ -304,17 +291,6 @@ def win_turns(spark, sf_dir):
     return d.select("route", "id", F.when(turn >= 22, "right").when(turn <= -22, "left").otherwise("straight").alias("turn"))
 
 
-@query("graph_mesh")
-def graph_mesh(spark, sf_dir):
-    """A 40 x 40 grid joined to its eight neighbours, with attributes from a hash (drawn, not stored: the same at every run)."""
-    grid = spark.range(40).select(F.col("id").alias("y")).crossJoin(spark.range(40).select(F.col("id").alias("x")))
-    step = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
-    arcs = grid.withColumn("d", F.explode(step)).withColumn("y2", F.col("y") + F.col("d.dy")).withColumn("x2", F.col("x") + F.col("d.dx"))
-    arcs = arcs.where(F.col("y2").between(0, 39) & F.col("x2").between(0, 39))
-    surface = F.element_at(F.array(*[F.lit(s) for s in ("asphalt", "paved", "gravel")]), (F.pmod(F.xxhash64("y", "x", "y2", "x2"), F.lit(3)) + 1).cast("int"))
-    return arcs.select((F.col("y") * 40 + F.col("x")).alias("src"), (F.col("y2") * 40 + F.col("x2")).alias("dst"), surface.alias("surface"))
-
-
 @query("warmup_points", with_views("""with base as (select lat, lon, 0 as ord from node), steps as (select lat + k * 0.001e0 as lat, lon + k * 0.001e0 as lon, k as ord, lat as l0 from base, (select unnest(range(0, 3)) as k))
 select cast(round(lat * 10000) as bigint) as ky, cast(round(lon * 10000) as bigint) as kx, min(ord) as ord from steps group by 1, 2"""))
 def warmup_points(spark, sf_dir):

@@ -80,12 +80,6 @@ agg_data_quality = shared(
     "select count(*) as edges, count(*) filter (where surface = 'unknown') as no_surface, count(*) filter (where width_m is null) as no_width, count(*) filter (where smoothness is null) as no_smoothness from edge",
     "edge",
 )
-agg_shard_stats = shared(
-    "agg_shard_stats",
-    """with s as (select floor(a.lat / 0.01e0) as sy, floor(a.lon / 0.01e0) as sx, e.id, e.src from edge e join node a on a.id = e.src)
-select cast(sy as bigint) as sy, cast(sx as bigint) as sx, count(*) as edges, count(distinct src) as nodes from s group by 1, 2""",
-    "edge", "node",
-)
 
 
 @query("agg_percentile_nearest", with_views("""select task, round(max(score_a) filter (where rn = greatest(1, cast(ceil(0.95e0 * n) as bigint))), 6) as p95 from
@@ -105,12 +99,6 @@ def agg_percentile_linear(spark, sf_dir):
     return spark.table("prediction").groupBy("task").agg(F.round(F.expr("percentile(score_a, 0.5)"), 6).alias("p50"), F.round(F.expr("percentile(score_a, 0.95)"), 6).alias("p95"))
 
 
-agg_quality_gates = shared(
-    "agg_quality_gates",
-    """with s as (select source, count(*) as n, count(*) filter (where status = 'rejected') as bad, max(amount) as top from hazard group by source)
-select source, case when bad > n / 10 then 'rejected;' else '' end || case when top > 1000 then 'amount;' else '' end as warnings, not (bad > n / 10 or top > 1000) as passed from s""",
-    "hazard",
-)
 agg_split_summary = shared(
     "agg_split_summary",
     "select city, task, count(*) as n, sum(target) as positive from prediction group by grouping sets ((), (city), (task), (city, task))",
@@ -410,29 +398,6 @@ def sink_geojson(spark, sf_dir):
     return hazards(spark, sf_dir).select("id", feature.alias("feature"))
 
 
-@query("growth_padding", "select unnest([300, 600, 1200, 2000]) as padding_m")
-def growth_padding(spark, sf_dir):
-    """Widening steps: doubled from 300 m, capped at 2000 m, steps of under a metre left out."""
-    steps = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.least(F.lit(2000.0), F.lit(300.0) * F.pow(F.lit(2.0), k)))
-    return spark.range(1).select(F.explode(F.array_distinct(steps)).alias("m")).select(F.col("m").cast("int").alias("padding_m"))
-
-
-@query(
-    "agg_usl_fit",
-    """with pts as (select * from (values (1, 100e0), (2, 190e0), (4, 340e0), (8, 560e0)) t(n, x)),
-g as (select s * 0.01e0 as sigma, k * 0.001e0 as kappa from (select unnest(range(0, 21)) as s) a, (select unnest(range(0, 21)) as k) b),
-e as (select sigma, kappa, sum(power(x - 100e0 * n / (1 + sigma * (n - 1) + kappa * n * (n - 1)), 2)) as err from g, pts group by 1, 2)
-select round(sigma, 4) as sigma, round(kappa, 4) as kappa from e order by err, sigma, kappa limit 1""",
-)
-def agg_usl_fit(spark, sf_dir):
-    """Scalability law fitted by least squares over a grid of sigma and kappa (441 cells, four points)."""
-    pts = spark.createDataFrame([(1, 100.0), (2, 190.0), (4, 340.0), (8, 560.0)], "n int, x double")
-    grid = spark.range(21).select((F.col("id") * 0.01).alias("sigma")).crossJoin(spark.range(21).select((F.col("id") * 0.001).alias("kappa")))
-    model = 100.0 * F.col("n") / (1 + F.col("sigma") * (F.col("n") - 1) + F.col("kappa") * F.col("n") * (F.col("n") - 1))
-    err = grid.crossJoin(F.broadcast(pts)).groupBy("sigma", "kappa").agg(F.sum(F.pow(F.col("x") - model, 2)).alias("err"))
-    return err.orderBy("err", "sigma", "kappa").limit(1).select(F.round("sigma", 4).alias("sigma"), F.round("kappa", 4).alias("kappa"))
-
-
 @query("overpass_count", with_views("select count(*) filter (where lighting > 0.5e0) as lamps, count(*) filter (where has_crossing) as crossings from edge"))
 def overpass_count(spark, sf_dir):
     return edges(spark, sf_dir).agg(F.count_if(F.col("lighting") > 0.5).alias("lamps"), F.count_if("has_crossing").alias("crossings"))

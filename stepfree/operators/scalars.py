@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from stepfree.functions import geo, risk
 from stepfree.functions import sqltext as sql
 from stepfree.functions import tags as tag
+from stepfree.functions.profile import tag_confidence, tag_status
 from stepfree.functions.tags import first_tag
 from stepfree.registry import query
+from stepfree.spatial import within_distance
 from stepfree.views import register, with_views
 
 
@@ -52,12 +54,17 @@ def geo_bearing(spark, sf_dir):
     return nodes(spark, sf_dir).select("id", F.round(geo.bearing(F.col("lat"), F.col("lon"), F.lit(52.5), F.lit(-1.9)), 5).alias("bearing"))
 
 
-@query(
-    "geo_cardinal",
-    "with d as (select unnest(range(0, 360, 5)) as degrees) select degrees, ['north', 'northeast', 'east', 'southeast', 'south', 'southwest', 'west', 'northwest'][(floor((degrees + 22.5e0) / 45) % 8)::int + 1] as name from d",
-)
+_ALONG = "degrees(atan2(sin(radians(b.lon - a.lon)) * cos(radians(b.lat)), cos(radians(a.lat)) * sin(radians(b.lat)) - sin(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lon - a.lon))))"
+
+
+@query("geo_cardinal", with_views(f"""with d as (select e.id, {_ALONG} + 22.5e0 as d from edge e join node a on a.id = e.src join node b on b.id = e.dst)
+select id, ['north', 'northeast', 'east', 'southeast', 'south', 'southwest', 'west', 'northwest'][floor((d - 360 * floor(d / 360)) / 45)::int + 1] as name from d"""))
 def geo_cardinal(spark, sf_dir):
-    return spark.range(0, 360, 5).select(F.col("id").alias("degrees"), geo.cardinal(F.col("id")).alias("name"))
+    """The direction of every edge, by eighths of the circle around its bearing."""
+    register(spark, sf_dir, "node", "edge")
+    end = lambda name, c: spark.table("node").select(F.col("id").alias(c), F.col("lat").alias(f"{name}_lat"), F.col("lon").alias(f"{name}_lon"))
+    ways = spark.table("edge").join(end("a", "src"), "src").join(end("b", "dst"), "dst")
+    return ways.select("id", geo.cardinal(geo.bearing(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))).alias("name"))
 
 
 @query(
@@ -131,9 +138,12 @@ def math_round(spark, sf_dir):
     return nodes(spark, sf_dir).select("id", F.bround(F.col("id") / 2.0, 0).cast("long").alias("half_even"))
 
 
-@query("risk_time_of_day", f"select h as hour, {sql.day_curve('h')} as fine, case when h >= 22 or h < 5 then 0.8e0 when h >= 6 and h < 9 then 0.4e0 else 0.2e0 end as coarse from (select unnest(range(0, 24)) as h)")
+@query("risk_time_of_day", with_views(f"select id, h as hour, {sql.day_curve('h')} as fine, case when h >= 22 or h < 5 then 0.8e0 when h >= 6 and h < 9 then 0.4e0 else 0.2e0 end as coarse from (select id, hour(reported_at) as h from hazard)"))
 def risk_time_of_day(spark, sf_dir):
-    return spark.range(24).select(F.col("id").alias("hour"), risk.time_of_day(F.col("id")).alias("fine"), risk.coarse_time_of_day(F.col("id")).alias("coarse"))
+    """Both curves at the hour of every report."""
+    register(spark, sf_dir, "hazard")
+    hour = F.hour("reported_at")
+    return spark.table("hazard").select("id", hour.alias("hour"), risk.time_of_day(hour).alias("fine"), risk.coarse_time_of_day(hour).alias("coarse"))
 
 
 @query(
@@ -259,9 +269,15 @@ def is_steep(spark, sf_dir):
     return nodes(spark, sf_dir).select("id", tag.steep(text).alias("steep"))
 
 
-@query("risk_cctv", "select n::bigint as cameras, round(greatest(0e0, 1 - n / 3e0), 6) as risk from (select unnest(range(0, 8)) as n)")
+@query("risk_cctv", with_views(f"""with c as (select n.id, count(*) as cameras from node n join fixture f on f.kind = 'camera' and abs(f.lat - n.lat) < 0.004e0 and abs(f.lon - n.lon) < 0.008e0 where {sql.haversine('n.lat', 'n.lon', 'f.lat', 'f.lon')} <= 300 group by n.id)
+select n.id, coalesce(c.cameras, 0) as cameras, round(greatest(0e0, 1 - coalesce(c.cameras, 0) / 3e0), 6) as risk from node n left join c on c.id = n.id"""))
 def risk_cctv(spark, sf_dir):
-    return spark.range(8).select(F.col("id").alias("cameras"), F.round(F.greatest(F.lit(0.0), 1 - F.col("id") / 3.0), 6).alias("risk"))
+    """How little every node is watched: by the cameras within 300 m, three of which are enough."""
+    register(spark, sf_dir, "node", "fixture")
+    cameras = spark.table("fixture").where("kind = 'camera'").select(F.col("id").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    counts = within_distance(nodes(spark, sf_dir).select("id", "lat", "lon"), cameras, 300.0).groupBy("id").agg(F.count("*").alias("cameras"))
+    n = F.coalesce("cameras", F.lit(0))
+    return nodes(spark, sf_dir).select("id").join(counts, "id", "left").select("id", n.alias("cameras"), F.round(F.greatest(F.lit(0.0), 1 - n / 3.0), 6).alias("risk"))
 
 
 @query("date_parse_osm", with_views("select id, case id % 3 when 0 then date '2026-01-15' when 1 then date '2025-07-01' end as day from node"))
@@ -276,7 +292,7 @@ def date_parse_osm(spark, sf_dir):
 def conf_status(spark, sf_dir):
     """Stale beyond 1095 days; verified needs a date and 0.75; partial from 0.40 on."""
     age, conf = F.when(F.col("id") % 4 > 0, F.col("id") % 1500), (F.col("id") % 100) / 100.0
-    return nodes(spark, sf_dir).select("id", F.when(age > 1095, "stale").when(age.isNotNull() & (conf >= 0.75), "verified").when(conf >= 0.40, "partial").otherwise("unverified").alias("status"))
+    return nodes(spark, sf_dir).select("id", tag_status(conf, age).alias("status"))
 
 
 @query("conf_duplicate", with_views("select id, round(least(0.95e0, greatest(0.35e0, case when id % 2 = 0 then 0.9e0 else 0.65e0 end * (1 - (id % 60) / (1.5e0 * 50)))), 6) as confidence from node"))
@@ -285,20 +301,6 @@ def conf_duplicate(spark, sf_dir):
     return nodes(spark, sf_dir).select("id", F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.35), base * (1 - (F.col("id") % 60) / (1.5 * 50)))), 6).alias("confidence"))
 
 
-def profile_confidence(known: Column, age_days: Column, photos: Column, n_tags: Column) -> Column:
-    """0.10 + 0.65 * known share + freshness + photos + tags, between 0.05 and 0.99."""
-    fresh = F.when(age_days <= 365, 0.20).when(age_days <= 1095, 0.10).when(age_days.isNotNull(), 0.04).otherwise(0.0)
-    total = 0.10 + 0.65 * known + fresh + F.when(photos > 0, 0.10).otherwise(0.0) + F.least(F.lit(0.10), n_tags / 100.0)
-    return half_even_3(F.greatest(F.lit(0.05), F.least(F.lit(0.99), total)))
-
-
-def half_even_3(x: Column) -> Column:
-    """To three places, halves to even. Counted in whole millionths, where a half is exact whatever the sum's last bits are."""
-    millionths = F.round(x * 1e6).cast("long")
-    down, rest = F.floor(millionths / 1000), F.pmod(millionths, F.lit(1000))
-    return (down + F.when((rest > 500) | ((rest == 500) & (down % 2 == 1)), 1).otherwise(0)) / 1000.0
-
-
 @query("conf_profile_osm", with_views("""with p as (select id, case when known + gaps = 0 then 0e0 else known::double / (known + gaps) end as share, case when id % 5 > 0 then id % 1499 end as age, id % 7 = 0 as photo, tags
  from (select id, id % 6 as known, id % 4 as gaps, id % 17 as tags from node))
 select id, (u // 1000 + if(u % 1000 > 500 or (u % 1000 = 500 and (u // 1000) % 2 = 1), 1, 0)) / 1000e0 as confidence from (
@@ -307,7 +309,7 @@ def conf_profile_osm(spark, sf_dir):
     i = F.col("id")
     known, gaps = i % 6, i % 4
     share = F.when(known + gaps > 0, known / (known + gaps)).otherwise(0.0)
-    return nodes(spark, sf_dir).select("id", profile_confidence(share, F.when(i % 5 > 0, i % 1499), (i % 7 == 0).cast("int"), i % 17).alias("confidence"))
+    return nodes(spark, sf_dir).select("id", tag_confidence(share, F.when(i % 5 > 0, i % 1499), (i % 7 == 0).cast("int"), i % 17).alias("confidence"))
 
 
 @query("date_max_null", with_views("select id, greatest(case when id % 2 = 0 then date '2024-01-01' end, case when id % 3 = 0 then date '2025-01-01' end) as latest from node"))
@@ -316,19 +318,6 @@ def date_max_null(spark, sf_dir):
     return nodes(spark, sf_dir).select("id", F.greatest(a, b).alias("latest"))
 
 
-@query("arr_missing_fields", with_views("select id, (case when id % 3 = 0 then 'kerb;' else '' end) || (case when id % 2 = 0 then 'surface;' else '' end) || (case when id % 5 = 0 then 'width;' else '' end) as missing from node"))
-def arr_missing_fields(spark, sf_dir):
-    gaps = F.array_sort(F.array_compact(F.array(F.when(F.col("id") % 5 == 0, "width;"), F.when(F.col("id") % 2 == 0, "surface;"), F.when(F.col("id") % 3 == 0, "kerb;"))))
-    return nodes(spark, sf_dir).select("id", F.array_join(gaps, "").alias("missing"))
-
-
-@query("map_evidence")
-def map_evidence(spark, sf_dir):
-    """Only the keys that matter, without blank values."""
-    keep = F.map_filter("tags", lambda k, v: k.isin("kerb", "incline", "wheelchair", "lit") & (F.trim(v) != ""))
-    return tags_of(spark, sf_dir).select("id", F.to_json(keep).alias("evidence"))
-
-
 @query("json_tags", with_views("select event_id as id, json_extract_string(props, '$.k') as k from events"))
 def json_tags(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/events.parquet")

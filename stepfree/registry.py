@@ -19,8 +19,11 @@ MODULES: tuple[str, ...] = (
     "stepfree.operators.hierarchy",
     "stepfree.operators.profiles",
     "stepfree.operators.intake",
+    "stepfree.operators.places",
+    "stepfree.operators.shardstats",
     "stepfree.operators.tiers",
     "stepfree.operators.assist",
+    "stepfree.operators.mesh",
     "stepfree.streaming.jobs",
     "stepfree.streaming.jobstate",
     "stepfree.streaming.ingest",
