@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,15 +133,18 @@ FNV_START, FNV_PRIME = 1469598103934665603, 1099511628211
 
 @F.pandas_udf(StringType())
 def fnv1a(values: pd.Series) -> pd.Series:
-    """FNV-1a of whole numbers, eight bytes each from the lowest on, as sixteen hexadecimal digits."""
-
-    def one(numbers) -> str:
-        h = FNV_START
-        for byte in b"".join(int(v).to_bytes(8, "little", signed=True) for v in numbers):
-            h = (h ^ byte) * FNV_PRIME % 2**64
-        return f"{h:016x}"
-
-    return values.map(one)
+    """FNV-1a of whole numbers, eight bytes each from the lowest on, as sixteen hexadecimal digits. A batch's rows take each byte together, the longest first."""
+    size = np.fromiter(map(len, values), np.int64, len(values))
+    order = np.argsort(-size, kind="stable")
+    flat = np.concatenate([np.zeros(0, "<i8"), *[np.asarray(v, "<i8") for v in values]]).view(np.uint8)
+    start, longest = (8 * (np.cumsum(size) - size))[order], 8 * size[order]
+    h = np.full(len(values), FNV_START, np.uint64)
+    for k in range(int(longest.max(initial=0))):
+        n = int(np.searchsorted(-longest, -k))  # rows that have a byte k
+        h[:n] = (h[:n] ^ flat[start[:n] + k].astype(np.uint64)) * np.uint64(FNV_PRIME)
+    out = np.empty(len(values), np.uint64)
+    out[order] = h
+    return pd.Series([f"{x:016x}" for x in out.tolist()], dtype=object)
 
 
 _WHOLE = ", ".join(f"round_even({c} * 1000000, 0)::bigint" for c in BOUNDS)

@@ -204,11 +204,30 @@ def sample_shuffle(spark, sf_dir):
 
 
 # sets
-set_union_all = shared(
-    "set_union_all",
-    "select id, status, 0 as ord from hazard where source = 'osm' and status = 'reported' union all select id, status, 1 as ord from hazard where source <> 'osm'",
-    "hazard",
-)
+#: Reports from the map and from people that one answer holds at most.
+MAX_OSM, MAX_DB = 2500, 5000
+
+
+def feed(osm: DataFrame, db: DataFrame, status: str | None = None) -> DataFrame:
+    """One answer of both sources: ord 0 from the map (only where no status or "reported" is asked for), then ord 1 from people, newest first; both capped."""
+    own = db if status is None else db.where(F.col("status") == status)
+    second = own.orderBy(F.desc("reported_at"), "id").limit(MAX_DB).withColumn("ord", F.lit(1))
+    if status not in (None, "reported"):
+        return second
+    return osm.orderBy("id").limit(MAX_OSM).withColumn("ord", F.lit(0)).unionByName(second)
+
+
+_BOX = "lat between 52.455e0 and 52.515e0 and lon between -1.945e0 and -1.885e0"
+
+
+@query("set_union_all", with_views(f"""select * from (select id, status, 0 as ord from hazard where source = 'osm' and {_BOX} order by id limit {MAX_OSM})
+union all select * from (select id, status, 1 as ord from hazard where source <> 'osm' and {_BOX} order by reported_at desc, id limit {MAX_DB})"""))
+def set_union_all(spark, sf_dir):
+    """The reports in a box from both sources, as one answer."""
+    inside = hazards(spark, sf_dir).where(_BOX)
+    return feed(inside.where("source = 'osm'"), inside.where("source <> 'osm'")).select("id", "status", "ord")
+
+
 set_distinct = shared(
     "set_distinct",
     "select lower(hazard_type) as name, min(id) as first_id from (select id, case when id % 2 = 0 then upper(hazard_type) else hazard_type end as hazard_type from hazard) t group by lower(hazard_type)",

@@ -374,12 +374,22 @@ def cost_route_score(spark, sf_dir):
     return spark.table("route_alternative").select("request_id", "alt", F.round(score, 6).alias("score"))
 
 
-@query("route_detour", with_views("select request_id, bool_and(distance_m > 3 * greatest(50e0, 200e0)) as detour from route_alternative group by request_id"))
+def excessive(straight_m: Column, distance_m: Column) -> Column:
+    """Whether all of a group's alternatives are longer than three straight lines; a line under 50 m is too short to tell."""
+    return F.bool_and((straight_m >= 50) & (distance_m / straight_m > 3))
+
+
+_STRAIGHT = f"select r.id, {sql.haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} as m from request r join node a on a.id = r.start_node join node b on b.id = r.end_node"
+
+
+@query("route_detour", with_views(f"with s as ({_STRAIGHT}) select id as request_id, bool_and(m >= 50 and distance_m > 3 * m) as detour from s join route_alternative on request_id = id group by id"))
 def route_detour(spark, sf_dir):
-    """All alternatives are longer than three straight lines (of at least 50 m)."""
-    register(spark, sf_dir, "route_alternative")
-    straight = F.greatest(F.lit(50.0), F.lit(200.0))
-    return spark.table("route_alternative").groupBy("request_id").agg(F.bool_and(F.col("distance_m") > 3 * straight).alias("detour"))
+    """Requests of which all alternatives are detours against the line between their ends."""
+    register(spark, sf_dir, "request", "node", "route_alternative")
+    end = lambda c, name: spark.table("node").select(F.col("id").alias(c), F.col("lat").alias(f"{name}_lat"), F.col("lon").alias(f"{name}_lon"))
+    lines = spark.table("request").join(end("start_node", "a"), "start_node").join(end("end_node", "b"), "end_node")
+    lines = lines.select(F.col("id").alias("request_id"), geo.haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")).alias("m"))
+    return lines.join(spark.table("route_alternative"), "request_id").groupBy("request_id").agg(excessive(F.col("m"), F.col("distance_m")).alias("detour"))
 
 
 @query("route_eta", with_views("select request_id, alt, round(case when duration_s > 0.3e0 * distance_m / 1.3e0 then duration_s else distance_m / 1.3e0 end / 60, 6) as minutes from route_alternative"))
@@ -389,9 +399,29 @@ def route_eta(spark, sf_dir):
     return spark.table("route_alternative").select("request_id", "alt", F.round(F.when(F.col("duration_s") > 0.3 * walk, F.col("duration_s")).otherwise(walk) / 60, 6).alias("minutes"))
 
 
-@query("graph_variants", with_views("""select request_id, arg_min(alt, distance_m * 10 + alt) as shortest, arg_min(alt, risk * 100 + alt) as safest, arg_min(alt, duration_s * 10 + alt) as fastest from route_alternative group by request_id"""))
+#: Alternatives nearer to each other than these metres and this safety are one.
+SAME_M, SAME_SAFETY = 10.0, 0.03
+
+
+def variants(alternatives: DataFrame) -> DataFrame:
+    """request_id, variant, alt: the shortest, safest and fastest of a request's alternatives (ties: the first), in this order, less those near one kept before.
+
+    ``alternatives``: request_id, alt, distance_m, duration_s, risk (0 to 100). Three aggregates a request with a map-side part, whatever the number of alternatives.
+    """
+    row = F.struct("alt", "distance_m", (1 - F.col("risk") / 100).alias("safety"))
+    best = lambda c, name: F.struct(F.lit(name).alias("variant"), F.min_by(row, F.struct(c, "alt")).alias("r"))
+    chosen = alternatives.groupBy("request_id").agg(F.array(best("distance_m", "shortest"), best("risk", "safest"), best("duration_s", "fastest")).alias("v"))
+    near = lambda a, b: (F.abs(a["r"]["distance_m"] - b["r"]["distance_m"]) < SAME_M) & (F.abs(a["r"]["safety"] - b["r"]["safety"]) < SAME_SAFETY)
+    kept = F.aggregate("v", F.filter("v", lambda _: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda k: near(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
+    return chosen.select("request_id", F.explode(kept).alias("k")).select("request_id", "k.variant", F.col("k.r.alt").alias("alt"))
+
+
+@query("graph_variants", with_views("""with b as (select request_id, arg_min(alt, (distance_m, alt)) as a0, arg_min(alt, (risk, alt)) as a1, arg_min(alt, (duration_s, alt)) as a2 from route_alternative group by request_id),
+v as (select b.request_id, a0, a1, a2, x.distance_m as d0, y.distance_m as d1, z.distance_m as d2, 1 - x.risk / 100 as s0, 1 - y.risk / 100 as s1, 1 - z.risk / 100 as s2 from b
+ join route_alternative x on x.request_id = b.request_id and x.alt = a0 join route_alternative y on y.request_id = b.request_id and y.alt = a1 join route_alternative z on z.request_id = b.request_id and z.alt = a2),
+n as (select *, abs(d0 - d1) < 10 and abs(s0 - s1) < 0.03e0 as n01, abs(d0 - d2) < 10 and abs(s0 - s2) < 0.03e0 as n02, abs(d1 - d2) < 10 and abs(s1 - s2) < 0.03e0 as n12 from v)
+select request_id, 'shortest' as variant, a0 as alt from n union all select request_id, 'safest', a1 from n where not n01 union all select request_id, 'fastest', a2 from n where not n02 and (n01 or not n12)"""))
 def graph_variants(spark, sf_dir):
-    """Shortest, safest and fastest alternative of each request."""
+    """The distinct variants of every request's alternatives."""
     register(spark, sf_dir, "route_alternative")
-    best = lambda c: F.min_by("alt", F.struct(c, "alt"))
-    return spark.table("route_alternative").groupBy("request_id").agg(best("distance_m").alias("shortest"), best("risk").alias("safest"), best("duration_s").alias("fastest"))
+    return variants(spark.table("route_alternative"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepfree.registry import query
@@ -48,6 +48,24 @@ def read_jsonl(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", folder).json(folder).withColumn("source_file", F.col("_metadata.file_name"))
 
 
+def read_jsonl_placed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """As ``read_jsonl``, with ``source_split`` (the file's folder below ``folder``, or its name without ending) and ``source_index``, the row's place in its file from 0.
+
+    A file may be read in several blocks: rows are numbered where they are read, and of a block only its first number and its rows (one row a block)
+    are shuffled. Blank lines are no rows. Row numbers hold as long as the files stay as they are.
+    """
+    place = {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start")}
+    rows = spark.read.schema(schema).option("basePath", folder).json(folder).withColumns(place).withColumn("__row", F.monotonically_increasing_id())
+    blocks = rows.groupBy("__file", "__block").agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("__offset", F.coalesce(before, F.lit(0)) - F.col("__first")).drop("__n", "__first")
+    parts = F.split("__file", "/")
+    last, above = F.regexp_replace(F.element_at(parts, -1), r"\.jsonl?$", ""), F.element_at(parts, -2)
+    split = F.when(F.element_at(parts, -1).startswith("part-"), F.regexp_replace(above, "^[^=]*=", "")).otherwise(last)
+    placed = rows.join(blocks, ["__file", "__block"]).withColumn("source_index", F.col("__row") + F.col("__offset")).withColumn("source_split", split)
+    return placed.drop("__file", "__block", "__row", "__offset")
+
+
 def write_csv(df: DataFrame, folder: str) -> None:
     """CSV with a header; quotes inside values are doubled, nulls are written as NULL; values hold no line breaks."""
     df.write.mode("errorifexists").option("header", True).option("escape", '"').option("nullValue", NULL).csv(folder)
@@ -88,10 +106,13 @@ def sink_jsonl(spark, sf_dir):
     return _json(spark, sf_dir).drop("source_file")
 
 
-@query("scan_jsonl", "select s_suppkey::bigint as id, s_nationkey::bigint as place, true as from_json from supplier")
+@query("scan_jsonl", "select s_suppkey::bigint as id, s_nationkey::bigint as place, s_nationkey::varchar as source_split, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as source_index from supplier")
 def scan_jsonl(spark, sf_dir):
-    """Rows with the kind of the file they came from."""
-    return _json(spark, sf_dir).select("id", "place", F.col("source_file").endswith(".json").alias("from_json"))
+    """Rows of JSON lines, a file a place, with the split and the line that they came from."""
+    folder = work_folder(spark)
+    rows = suppliers(spark, sf_dir)
+    write_jsonl(rows.repartition("place").sortWithinPartitions("place", "id"), folder, "place")
+    return read_jsonl_placed(spark, folder, _SCHEMA).select("id", "place", "source_split", "source_index")
 
 
 @query("sink_csv", _SUPPLIERS)
