@@ -401,27 +401,39 @@ def route_eta(spark, sf_dir):
 
 #: Alternatives nearer to each other than these metres and this safety are one.
 SAME_M, SAME_SAFETY = 10.0, 0.03
+#: Metres, safety and minutes within which a variant is the recommended route.
+NEAR_M, NEAR_SAFETY, NEAR_MINUTES = 12.0, 0.04, 8.0
 
 
 def variants(alternatives: DataFrame) -> DataFrame:
-    """request_id, variant, alt: the shortest, safest and fastest of a request's alternatives (ties: the first), in this order, less those near one kept before.
+    """request_id, variant, alt: the shortest, safest and fastest of a request's alternatives (ties: the first), in this order, less those near the recommended one and those near one kept before.
 
-    ``alternatives``: request_id, alt, distance_m, duration_s, risk (0 to 100). Three aggregates a request with a map-side part, whatever the number of alternatives.
+    ``alternatives``: request_id, alt, distance_m, duration_s, risk (0 to 100), score (the least is recommended; nulls: none is). A request may be left without a row. Four aggregates a request with a map-side part, whatever the number of alternatives.
     """
-    row = F.struct("alt", "distance_m", (1 - F.col("risk") / 100).alias("safety"))
+    row = F.struct("alt", "distance_m", (1 - F.col("risk") / 100).alias("safety"), (F.col("duration_s") / 60).alias("minutes"))
     best = lambda c, name: F.struct(F.lit(name).alias("variant"), F.min_by(row, F.struct(c, "alt")).alias("r"))
-    chosen = alternatives.groupBy("request_id").agg(F.array(best("distance_m", "shortest"), best("risk", "safest"), best("duration_s", "fastest")).alias("v"))
+    recommended = F.min_by(row, F.when(F.col("score").isNotNull(), F.struct("score", "alt"))).alias("best")
+    chosen = alternatives.groupBy("request_id").agg(F.array(best("distance_m", "shortest"), best("risk", "safest"), best("duration_s", "fastest")).alias("v"), recommended)
+    apart = lambda c, x: F.abs(F.col("best")[c] - x["r"][c])
+    as_best = lambda x: F.coalesce((apart("distance_m", x) < NEAR_M) & (apart("safety", x) < NEAR_SAFETY) & (apart("minutes", x) < NEAR_MINUTES), F.lit(False))
+    chosen = chosen.withColumn("v", F.filter("v", lambda x: (x["r"]["distance_m"] > 0) & ~as_best(x)))
     near = lambda a, b: (F.abs(a["r"]["distance_m"] - b["r"]["distance_m"]) < SAME_M) & (F.abs(a["r"]["safety"] - b["r"]["safety"]) < SAME_SAFETY)
     kept = F.aggregate("v", F.filter("v", lambda _: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda k: near(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
     return chosen.select("request_id", F.explode(kept).alias("k")).select("request_id", "k.variant", F.col("k.r.alt").alias("alt"))
 
 
-@query("graph_variants", with_views("""with b as (select request_id, arg_min(alt, (distance_m, alt)) as a0, arg_min(alt, (risk, alt)) as a1, arg_min(alt, (duration_s, alt)) as a2 from route_alternative group by request_id),
-v as (select b.request_id, a0, a1, a2, x.distance_m as d0, y.distance_m as d1, z.distance_m as d2, 1 - x.risk / 100 as s0, 1 - y.risk / 100 as s1, 1 - z.risk / 100 as s2 from b
- join route_alternative x on x.request_id = b.request_id and x.alt = a0 join route_alternative y on y.request_id = b.request_id and y.alt = a1 join route_alternative z on z.request_id = b.request_id and z.alt = a2),
-n as (select *, abs(d0 - d1) < 10 and abs(s0 - s1) < 0.03e0 as n01, abs(d0 - d2) < 10 and abs(s0 - s2) < 0.03e0 as n02, abs(d1 - d2) < 10 and abs(s1 - s2) < 0.03e0 as n12 from v)
-select request_id, 'shortest' as variant, a0 as alt from n union all select request_id, 'safest', a1 from n where not n01 union all select request_id, 'fastest', a2 from n where not n02 and (n01 or not n12)"""))
+_SCORE = "distance_m / 1000 * 0.6e0 + risk / 30 * 2 + obstacle * 1.2e0"
+
+
+@query("graph_variants", with_views(f"""with a as (select *, 1 - risk / 100 as safety, duration_s / 60 as minutes, round({_SCORE}, 9) as score from route_alternative),
+b as (select request_id, arg_min(alt, (distance_m, alt)) as a0, arg_min(alt, (risk, alt)) as a1, arg_min(alt, (duration_s, alt)) as a2, arg_min(alt, (score, alt)) as best from a group by request_id),
+c as (select request_id, best, unnest([0, 1, 2]) as k, unnest([a0, a1, a2]) as alt from b),
+d as (select c.request_id, k, c.alt, x.distance_m, x.safety from c join a x on x.request_id = c.request_id and x.alt = c.alt join a r on r.request_id = c.request_id and r.alt = c.best
+ where not (abs(x.distance_m - r.distance_m) < 12 and abs(x.safety - r.safety) < 0.04e0 and abs(x.minutes - r.minutes) < 8)),
+n as (select p.request_id, p.k, p.alt, max(q.k = 0) as n0, max(q.k = 1) as n1 from d p left join d q on q.request_id = p.request_id and q.k < p.k and abs(p.distance_m - q.distance_m) < 10 and abs(p.safety - q.safety) < 0.03e0 group by 1, 2, 3),
+o as (select n.*, coalesce(m.n0, false) as second_gone from n left join n m on m.request_id = n.request_id and m.k = 1)
+select request_id, ['shortest', 'safest', 'fastest'][k + 1] as variant, alt from o where not coalesce(n0, false) and not (coalesce(n1, false) and not second_gone)"""))
 def graph_variants(spark, sf_dir):
     """The distinct variants of every request's alternatives."""
     register(spark, sf_dir, "route_alternative")
-    return variants(spark.table("route_alternative"))
+    return variants(spark.table("route_alternative").withColumn("score", F.round(F.expr(_SCORE), 9)))

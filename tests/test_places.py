@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from stepfree.functions.profile import ENTRANCE, PATH, PHOTO, RESTROOM, UPDATE_PHOTO, combined, merged, type_of, with_profile
 from stepfree.operators.mesh import END, MOST, START, grids, meshes
+from stepfree.operators.reports import feed
+from stepfree.operators.risk import excessive, variants
 from stepfree.operators.shardstats import LIMITS, percentile_nearest, quality_gates, usl_fit
 from stepfree.operators.tiers import widened
+from stepfree.sources.tables import read_jsonl_placed
 
 def now():
     return F.lit("2026-05-01 00:00:00").cast("timestamp")
@@ -159,3 +162,38 @@ def test_mesh(spark):
     risky = meshes(trips.where("id = 1"), spot)
     assert 0 < risky.where("base_safety > 0.5 and src > 0 and dst > 0").count() < risky.count()
     arcs.unpersist()
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Rows keep their line number however the file is cut into blocks; splits are files or folders."""
+    import json
+
+    for split, n in (("train", 500), ("test", 3), ("validation", 0)):
+        (tmp_path / f"{split}.jsonl").write_text("".join(json.dumps({"v": i, "s": split, "pad": "x" * (i % 50)}) + "\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for cut in ("4096", "134217728"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+            rows = read_jsonl_placed(spark, str(tmp_path), "v long, s string").collect()
+            assert len(rows) == 503 and all(r["v"] == r["source_index"] and r["s"] == r["source_split"] for r in rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_variants_and_feed(spark):
+    rows = [(1, 0, 500.0, 400.0, 10.0), (1, 1, 505.0, 390.0, 9.0), (1, 2, 900.0, 300.0, 50.0), (2, 0, 500.0, 400.0, 10.0)]
+    df = spark.createDataFrame(rows, "request_id int, alt int, distance_m double, duration_s double, risk double")
+    out = variants(df.withColumn("score", F.lit(None).cast("double")))
+    without = variants(df.withColumn("score", F.col("distance_m")))
+    assert sorted(map(tuple, without.collect())) == [(1, "fastest", 2)]
+    assert sorted(map(tuple, out.collect())) == [(1, "fastest", 2), (1, "shortest", 0), (2, "shortest", 0)]
+    osm = spark.range(3000).select("id", F.lit("reported").alias("status"), F.lit("2026-01-01").cast("timestamp").alias("reported_at"))
+    db = spark.range(6000).select("id", F.when(F.col("id") % 2 == 0, "verified").otherwise("reported").alias("status"), F.timestamp_seconds("id").alias("reported_at"))
+    by = lambda status: {r["ord"]: (r["n"], r["low"]) for r in feed(osm, db, status).groupBy("ord").agg(F.count("*").alias("n"), F.min("id").alias("low")).collect()}
+    assert by(None) == {0: (2500, 0), 1: (5000, 1000)} and by("reported") == {0: (2500, 0), 1: (3000, 1)} and by("verified") == {1: (3000, 0)}
+
+
+def test_detours(spark):
+    df = spark.createDataFrame([(1, 100.0, 301.0), (1, 100.0, 400.0), (2, 100.0, 300.0), (2, 100.0, 900.0), (3, 49.0, 900.0), (4, 0.0, 10.0)], "id int, m double, d double")
+    out = {r["id"]: r["x"] for r in df.groupBy("id").agg(excessive(F.col("m"), F.col("d")).alias("x")).collect()}
+    assert out == {1: True, 2: False, 3: False, 4: False}
