@@ -29,3 +29,9 @@ def test_nodes_on_the_line(both):
     """Nodes 2885 and 5770 are off the line by what doubles round."""
     ours, theirs = both("geo_seg_intersect", part="select range as p_partkey from range(6000)")
     assert ours == theirs and len(ours) == 5999
+
+
+def test_duration_of_just_the_share(both):
+    """Order 138729 has an alternative of which the duration is 0.3 of the walk."""
+    ours, theirs = both("route_eta", orders="select range as o_orderkey from range(138000, 139000)")
+    assert ours == theirs and (138729, 2, 5.2) in ours and len(ours) == 3000
