@@ -373,7 +373,7 @@ def nav_prompts(positions: DataFrame, steps: DataFrame, metres: float = 48.0) ->
     said = steps.where("trim(instruction) <> ''").select(F.col("trip").alias("r_trip"), F.col("step"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
     near = within_distance(positions, said, metres).where("trip = r_trip").groupBy("trip", "seq").agg(F.array_sort(F.collect_set("step")).alias("near"))
     begun = steps.where("step = 0").select("trip").distinct()
-    rows = positions.join(begun, "trip", "left_semi").select("trip", "seq").join(near, ["trip", "seq"], "left")
+    rows = positions.join(begun.hint("merge"), "trip", "left_semi").select("trip", "seq").join(near, ["trip", "seq"], "left")
     kinds = ", ".join(f"{c} {positions.schema[c].dataType.simpleString()}" for c in ("trip", "seq"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -392,7 +392,9 @@ def nav_prompts(positions: DataFrame, steps: DataFrame, metres: float = 48.0) ->
             yield pd.DataFrame(out, columns=["trip", "seq", "step"])
 
     spoken = rows.repartition("trip").sortWithinPartitions("trip", "seq").mapInPandas(walk, f"{kinds}, step long")
-    return spoken.join(steps.select("trip", "step", F.trim("instruction").alias("instruction")), ["trip", "step"]).select("trip", "seq", "step", "instruction")
+    # as large as the map: planned by the size of its compressed file it would be broadcast
+    texts = steps.select("trip", "step", F.trim("instruction").alias("instruction")).hint("merge")
+    return spoken.join(texts, ["trip", "step"]).select("trip", "seq", "step", "instruction")
 
 
 #: A walk along every street: its positions lie beside the nodes, its steps end at every third of them.
