@@ -217,15 +217,12 @@ def feed(osm: DataFrame, db: DataFrame, status: str | None = None) -> DataFrame:
     return osm.orderBy("id").limit(MAX_OSM).withColumn("ord", F.lit(0)).unionByName(second)
 
 
-_BOX = "lat between 52.455e0 and 52.515e0 and lon between -1.945e0 and -1.885e0"
-
-
-@query("set_union_all", with_views(f"""select * from (select id, status, 0 as ord from hazard where source = 'osm' and {_BOX} order by id limit {MAX_OSM})
-union all select * from (select id, status, 1 as ord from hazard where source <> 'osm' and {_BOX} order by reported_at desc, id limit {MAX_DB})"""))
+@query("set_union_all", with_views("select id, status, 0 as ord from hazard where source = 'osm' union all select id, status, 1 as ord from hazard where source <> 'osm'"))
 def set_union_all(spark, sf_dir):
-    """The reports in a box from both sources, as one answer."""
-    inside = hazards(spark, sf_dir).where(_BOX)
-    return feed(inside.where("source = 'osm'"), inside.where("source <> 'osm'")).select("id", "status", "ord")
+    """All reports of both sources, those from the map first; ``feed`` is the capped answer to one request."""
+    rows = hazards(spark, sf_dir)
+    part = lambda where, ord_: rows.where(where).select("id", "status", F.lit(ord_).alias("ord"))
+    return part("source = 'osm'", 0).unionByName(part("source <> 'osm'", 1))
 
 
 set_distinct = shared(
