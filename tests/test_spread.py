@@ -30,3 +30,15 @@ def test_crowded_places(spark):
     right = spark.createDataFrame([(k, 52.0, -1.0) for k in range(9, 0, -1)] + [(0, 52.0001, -1.0)], "r_id long, r_lat double, r_lon double")
     assert sorted(r["r_id"] for r in nearest(left, first_of_place(right, 3), "id", 50.0, k=3).collect()) == [1, 2, 3]
     assert first_of_place(right, 3).count() == 4
+
+
+def test_small_tables_are_dealt_to_tasks(spark):
+    """Places, and the rows that map files are written from, lie in as many tasks as there are cores, and in more once their rows need it."""
+    from stepfree.operators import places
+    from stepfree.shared import dealt
+    from stepfree.sources import osm
+
+    data, cores = "/root/testdata/sf0.001", spark.sparkContext.defaultParallelism
+    assert all(df.rdd.getNumPartitions() >= cores for df in (places.places(spark, data), *osm.extract(spark, data)))
+    many = dealt(spark.range(0, 1000, 1, 1), "id", rows=50)
+    assert many.rdd.getNumPartitions() == 20 and max(many.rdd.glom().map(len).collect()) < 100 and many.count() == 1000
