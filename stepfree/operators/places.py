@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stepfree.functions.profile import ENTRANCE, EVIDENCE, PATH, RESTROOM, UPDATE_PHOTO, made, merged, type_of, with_profile
 from stepfree.registry import query
+from stepfree.shared import dealt
 from stepfree.views import register, with_views
 
 NOW = "2026-01-20 12:00:00"
@@ -30,7 +31,7 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """asset_id, asset_type, tags, observed_at (none) of all places and ways."""
     register(spark, sf_dir, "asset", "edge")
     tags = F.create_map(*[x for c in TAGS for x in (F.lit(c.replace("__", ":")), F.col(c))])
-    return spark.sql(_PLACE).select(F.col("place_id").alias("asset_id"), "asset_type", F.map_filter(tags, lambda k, v: v.isNotNull()).alias("tags"), F.lit(None).cast("timestamp").alias("observed_at"))
+    return dealt(spark.sql(_PLACE), "place_id").select(F.col("place_id").alias("asset_id"), "asset_type", F.map_filter(tags, lambda k, v: v.isNotNull()).alias("tags"), F.lit(None).cast("timestamp").alias("observed_at"))
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
