@@ -1,18 +1,20 @@
 """Vector tiles: features by tile, clipped, in the tile's own steps, as protocol-buffer bytes.
 
-Spark places features: a point in its tile, a line in every tile that its box touches, and one
-group is one tile, as its bytes are one value (zoom levels bound what a tile holds). In a group,
-lines are clipped to the tile and its margin, coordinates become whole steps of the tile, and
-geometry is written as move and line commands with zigzag differences.
+Spark places features: a point in its tile, a line in every tile that its box touches. Lines are
+clipped to the tile and its margin, coordinates become whole steps of the tile, and geometry is
+written as move and line commands with zigzag differences. The features of a tile are written in
+parts, by many tasks that know the tile's values; as its bytes are one value, one group puts them together.
 """
 
 from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,46 +70,64 @@ def _value(v: object) -> bytes:
     return _field(1, str(v).encode())
 
 
+def feature(number: int, points: list[tuple[int, int]], tags: list[int]) -> bytes:
+    """A feature as a field of its layer; ``tags``: places of keys and values by turns."""
+    return _field(2, _field(1, number) + _field(2, b"".join(map(_number, tags))) + _field(3, 1 if len(points) == 1 else 2) + _field(4, commands(points)))
+
+
+def enclosed(name: str, body: bytes, keys: list[str], values: list[bytes]) -> bytes:
+    """The layer of features that are written already."""
+    table = b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, v) for v in values)
+    return _field(3, b"".join((_field(15, 2), _field(1, name.encode()), body, table, _field(5, EXTENT))))
+
+
 def layer(name: str, features: list[tuple[int, list[tuple[int, int]], dict]]) -> bytes:
     """A layer of features (id, points, attributes); null attributes are left out."""
     keys: dict[str, int] = {}
     values: dict[bytes, int] = {}
-    body = b""
+    body = []
     for number, points, attributes in features:
         tags = [t for k, v in attributes.items() if v is not None for t in (keys.setdefault(k, len(keys)), values.setdefault(_value(v), len(values)))]
-        kind = 1 if len(points) == 1 else 2
-        body += _field(2, _field(1, number) + _field(2, b"".join(map(_number, tags))) + _field(3, kind) + _field(4, commands(points)))
-    table = b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, v) for v in values)
-    return _field(3, _field(15, 2) + _field(1, name.encode()) + body + table + _field(5, EXTENT))
+        body.append(feature(number, points, tags))
+    return enclosed(name, b"".join(body), list(keys), list(values))
+
+
+def features_of(content: bytes) -> Iterator[tuple[int, list[tuple[int, int]], dict]]:
+    """The features (id, points, attributes) of a layer, one after the other: a tile may hold very many."""
+    keys, values = [], []
+    for number, value in fields(content):
+        if number == 3:
+            keys.append(bytes(value).decode())
+        elif number == 4:
+            ((kind, v),) = fields(value)
+            values.append({1: lambda v: bytes(v).decode(), 3: lambda v: struct.unpack("<d", v)[0], 6: lambda v: (v >> 1) ^ -(v & 1), 7: bool}[kind](v))
+    for number, value in fields(content):
+        if number != 2:
+            continue
+        f = dict(fields(value))
+        tags, flat = varints(f.get(2, b"")).tolist(), varints(f[4])
+        runs, at = [], 0
+        while at < len(flat):
+            n = int(flat[at]) >> 3
+            runs.append(zigzag(flat[at + 1 : at + 1 + 2 * n]).reshape(-1, 2))
+            at += 1 + 2 * n
+        points = np.cumsum(np.concatenate(runs), 0).tolist()
+        yield f.get(1, 0), [tuple(p) for p in points], {keys[k]: values[v] for k, v in zip(tags[::2], tags[1::2], strict=True)}
+
+
+def layers(tile: bytes) -> Iterator[tuple[str, bytes]]:
+    """Name and content of each layer of a tile."""
+    for _, content in fields(tile):
+        yield next((bytes(v).decode() for n, v in fields(content) if n == 1), ""), content
 
 
 def decoded(tile: bytes) -> dict[str, list[tuple[int, list[tuple[int, int]], dict]]]:
     """The layers of a tile, each with its features (id, points, attributes)."""
-    out = {}
-    for _, content in fields(tile):
-        name, raw, keys, values = "", [], [], []
-        for number, value in fields(content):
-            if number == 1:
-                name = bytes(value).decode()
-            elif number == 2:
-                raw.append(dict(fields(value)))
-            elif number == 3:
-                keys.append(bytes(value).decode())
-            elif number == 4:
-                ((kind, v),) = fields(value)
-                values.append({1: lambda v: bytes(v).decode(), 3: lambda v: struct.unpack("<d", v)[0], 6: lambda v: (v >> 1) ^ -(v & 1), 7: bool}[kind](v))
-        features = []
-        for f in raw:
-            tags, flat = varints(f.get(2, b"")).tolist(), varints(f[4])
-            runs, at = [], 0
-            while at < len(flat):
-                n = int(flat[at]) >> 3
-                runs.append(zigzag(flat[at + 1 : at + 1 + 2 * n]).reshape(-1, 2))
-                at += 1 + 2 * n
-            points = np.cumsum(np.concatenate(runs), 0).tolist()
-            features.append((f.get(1, 0), [tuple(p) for p in points], {keys[k]: values[v] for k, v in zip(tags[::2], tags[1::2], strict=True)}))
-        out[name] = features
-    return out
+    return {name: list(features_of(content)) for name, content in layers(tile)}
+
+
+#: Features of a tile (about) that a task writes.
+PART = 50_000
 
 
 def tiles(rows: DataFrame, zoom: int, name: str, attributes: list[str]) -> DataFrame:
@@ -123,27 +143,59 @@ def tiles(rows: DataFrame, zoom: int, name: str, attributes: list[str]) -> DataF
     else:
         placed = placed.withColumn("x", geo.tile_x(F.col("lon"), zoom)).withColumn("y", geo.tile_y(F.col("lat"), zoom))
 
-    def one(group: pa.Table) -> pa.Table:
-        group = group.sort_by("id")
-        x, y = group["x"][0].as_py(), group["y"][0].as_py()
-        number = lambda c: group[c].to_numpy().astype(float)
-        a = tile_place(number("lon"), number("lat"), zoom, x, y)
-        b = tile_place(number("lon2"), number("lat2"), zoom, x, y) if line else None
-        features = []
-        for k, (i, *own) in enumerate(zip(*(group[c].to_pylist() for c in ("id", *attributes)), strict=True)):
+    keyed = placed.withColumn("x", F.col("x").cast("long")).withColumn("y", F.col("y").cast("long"))
+    codes = [f"value_{k}" for k in range(len(attributes))]
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = []
+            for c in attributes:
+                found = batch.column(c).dictionary_encode()
+                coded.append(pa.array([_value(v) for v in found.dictionary.to_pylist()], pa.binary()).take(found.indices))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("x", "y", "id", *ends)), *coded], ["x", "y", "id", *ends, *codes])
+
+    schema = ", ".join(["x long", "y long", "id long", *(f"{c} double" for c in ends), *(f"{c} binary" for c in codes)])
+    known = keyed.select("x", "y", F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in ends], *attributes).mapInArrow(valued, schema)
+    most = keyed.groupBy("x", "y").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    known = known.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(-(-most // PART) or 1)))
+    values = known.select("x", "y", F.explode(F.array_compact(F.array(*codes) if codes else F.array().cast("array<binary>"))).alias("value")).distinct()
+    place = ["x", "y", "part"]
+    given = known.select(*place).distinct().join(values, ["x", "y"]).toDF("of_x", "of_y", "of_part", "value")
+
+    def written(part: pa.Table, own: pa.Table) -> pa.Table:
+        """The features of a part of a tile; places of values are those in the whole tile's order."""
+        x, y = part["x"][0].as_py(), part["y"][0].as_py()
+        at = {v: k for k, v in enumerate(sorted(own["value"].to_pylist()))}
+        a = tile_place(part["lon"].to_numpy(), part["lat"].to_numpy(), zoom, x, y)
+        b = tile_place(part["lon2"].to_numpy(), part["lat2"].to_numpy(), zoom, x, y) if line else None
+        dots = None if line else np.minimum(np.floor(a), EXTENT - 1).astype(int).tolist()
+        ids, out = [], []
+        for k, (i, *found) in enumerate(zip(*(part[c].to_pylist() for c in ("id", *codes)), strict=True)):
             if line:
-                part = clipped(a[k], b[k], -MARGIN, EXTENT + MARGIN)
-                points = [tuple(np.floor(p + 0.5).astype(int).tolist()) for p in part] if part else []
+                cut = clipped(a[k], b[k], -MARGIN, EXTENT + MARGIN)
+                points = [tuple(np.floor(p + 0.5).astype(int).tolist()) for p in cut] if cut else []
                 if len(set(points)) < 2:
                     continue  # outside, or shorter than a step
             else:
-                points = [tuple(np.minimum(np.floor(a[k]), EXTENT - 1).astype(int).tolist())]
-            features.append((i, points, dict(zip(attributes, own, strict=True))))
-        empty = not features
-        return pa.table({"x": pa.array([] if empty else [x], pa.int64()), "y": pa.array([] if empty else [y], pa.int64()), "tile": pa.array([] if empty else [layer(name, features)], pa.binary()), "features": pa.array([] if empty else [len(features)], pa.int64())})
-
-    keyed = placed.withColumn("x", F.col("x").cast("long")).withColumn("y", F.col("y").cast("long"))
-    return keyed.groupBy("x", "y").applyInArrow(one, "x long, y long, tile binary, features long")
+                points = [tuple(dots[k])]
+            ids.append(i)
+            out.append(feature(i, points, [t for n, v in enumerate(found) if v is not None for t in (n, at[v])]))
+        n = len(ids)
+        return pa.table({"x": pa.array([x] * n, pa.int64()), "y": pa.array([y] * n, pa.int64()), "id": pa.array(ids, pa.int64()), "body": pa.array(out, pa.binary()), "value": pa.nulls(n, pa.binary())})
+
+    def joined(group: pa.Table) -> pa.Table:
+        own = sorted(group["value"].drop_null().to_pylist())
+        body = group.filter(pc.is_valid(group["body"])).sort_by([("id", "ascending"), ("body", "ascending")])
+        if not len(body):
+            return group.select(["x", "y"]).slice(0, 0).append_column("tile", pa.array([], pa.binary())).append_column("features", pa.array([], pa.int64()))
+        tile = enclosed(name, b"".join(v for chunk in body["body"].chunks for v in chunk.to_pylist()), attributes, own)
+        one = lambda v, kind: pa.array([v], kind)
+        return pa.table({"x": one(group["x"][0].as_py(), pa.int64()), "y": one(group["y"][0].as_py(), pa.int64()), "tile": one(tile, pa.binary()), "features": one(len(body), pa.int64())})
+
+    # the group of a tile only puts together what many tasks have written
+    parts = known.groupBy(*place).cogroup(given.groupBy("of_x", "of_y", "of_part")).applyInArrow(written, "x long, y long, id long, body binary, value binary")
+    whole = parts.unionByName(values.select("x", "y", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("body"), "value"))
+    return whole.groupBy("x", "y").applyInArrow(joined, "x long, y long, tile binary, features long")
 
 
 @query("sink_mvt", with_views("""with t as (select id, hazard_type, floor((lon + 180) / 360 * 16384)::bigint as x, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384)::bigint as y from hazard)
@@ -153,10 +205,17 @@ def sink_mvt(spark, sf_dir):
     register(spark, sf_dir, "hazard")
     made = tiles(spark.table("hazard"), 14, "hazards", ["hazard_type", "status"])
 
+    def summed(tile):
+        n, kinds, ids = 0, set(), 0
+        for _, content in layers(memoryview(tile.as_buffer()).cast("B")):
+            for i, _, a in features_of(content):
+                n, ids = n + 1, ids + i
+                kinds.add(a["hazard_type"])
+        return n, len(kinds), ids
+
     def read(batches):
         for batch in batches:
-            found = [decoded(t)["hazards"] for t in batch.column("tile").to_pylist()]
-            sums = [(len(f), len({a["hazard_type"] for *_, a in f}), sum(i for i, *_ in f)) for f in found]
+            sums = [summed(t) for t in batch.column("tile")]
             n, kinds, ids = (pa.array([s[k] for s in sums], pa.int64()) for k in range(3))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), n, kinds, ids], ["x", "y", "features", "kinds", "ids"])
 

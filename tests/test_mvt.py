@@ -66,3 +66,22 @@ def test_points_and_lines(spark):
             away = np.array(p) - true[0]
             assert -64 <= p[0] <= 4160 and -64 <= p[1] <= 4160 and abs(away[0] * d[1] - away[1] * d[0]) < 1
     assert mvt.tiles(points.where("false"), 14, "p", ["kind"]).count() == 0
+
+
+def test_a_full_tile_is_written_in_parts(spark, monkeypatch):
+    """A tile of several parts holds all its features in order of id, with the tile's values."""
+    monkeypatch.setattr(mvt, "PART", 100)
+    rows = [(k, 52.46, -1.9, f"v{k % 7}" if k % 5 else None, k / 4) for k in range(1, 1001)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, kind string, share double").repartition(4)
+    made = mvt.tiles(df, 14, "p", ["kind", "share"])
+    assert "cogroup" in made._jdf.queryExecution().toString().lower()
+    (tile,) = made.collect()
+    got = mvt.decoded(bytes(tile["tile"]))["p"]
+    assert tile["features"] == 1000 and [i for i, *_ in got] == list(range(1, 1001))
+    assert all(a.get("kind") == r[3] and a["share"] == r[4] for (_, _, a), r in zip(got, rows, strict=True))
+
+
+def test_query_at_sf0_001(spark, same):
+    from stepfree import registry
+
+    assert same(registry.all_queries()["sink_mvt"](spark, "/root/testdata/sf0.001"), registry.all_oracles()["sink_mvt"]) > 10
