@@ -225,15 +225,25 @@ def least_paths(nodes: DataFrame, arcs: DataFrame, pairs: DataFrame) -> DataFram
     return with_all(pairs.distinct(), out)
 
 
-def searched(spark: SparkSession, sf_dir: str, profile: str) -> DataFrame:
-    """Least-cost paths of all requests between their nodes: weights by Catalyst, requests for the same nodes searched once."""
+def pairs_searched(spark: SparkSession, sf_dir: str, profile: str) -> tuple[DataFrame, DataFrame]:
+    """The requests (id, start_node, end_node) and the least-cost path of each distinct pair of nodes that they ask for."""
     nodes, edges = graph(spark, sf_dir)
     register(spark, sf_dir, "request")
     seconds = cost.traversal(profile, F.col("dist"), edge_penalty(profile))
     arcs = with_midpoints(nodes, edges.withColumn("seconds", seconds)).select("src", "dst", "seconds", F.col("alat").alias("lat"), F.col("alon").alias("lon"), "blat", "blon")
     asked = spark.table("request").select("id", "start_node", "end_node")
-    paths = least_paths(nodes, arcs, asked.select("start_node", "end_node"))
-    return with_all(asked, paths).select("id", "cost", "hops", "path")
+    return asked, least_paths(nodes, arcs, asked.select("start_node", "end_node"))
+
+
+def searched(spark: SparkSession, sf_dir: str, profile: str) -> DataFrame:
+    """Least-cost paths of all requests between their nodes: weights by Catalyst, requests for the same nodes searched once."""
+    return with_all(*pairs_searched(spark, sf_dir, profile)).select("id", "cost", "hops", "path")
+
+
+def path_hops(paths: DataFrame) -> DataFrame:
+    """start_node, end_node, src, dst: the hops of the path of each pair, made within its row."""
+    hop = lambda i: F.struct(F.get("path", i).alias("src"), F.get("path", i + 1).alias("dst"))
+    return paths.where("hops > 0").select("start_node", "end_node", F.inline(F.transform(F.sequence(F.lit(0), F.col("hops") - 1), hop)))
 
 
 @query("graph_astar")
@@ -245,22 +255,25 @@ def graph_astar(spark, sf_dir):
 def graph_path_check(spark, sf_dir):
     """Hops of found paths that no edge carries: none may be left."""
     _, edges = graph(spark, sf_dir)
-    paths = searched(spark, sf_dir, "standard").where("hops > 0").select("id", F.posexplode("path").alias("pos", "src"))
-    hops = paths.withColumn("dst", F.lead("src").over(W.partitionBy("id").orderBy("pos"))).where("dst is not null")
-    broken = hops.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
-    return broken.groupBy().agg(F.count("*").alias("broken_hops"))
+    asked, paths = pairs_searched(spark, sf_dir, "standard")
+    broken = path_hops(paths).join(edges.select("src", "dst"), ["src", "dst"], "left_anti").groupBy("start_node", "end_node").agg(F.count("*").alias("n"))
+    return asked.join(broken, ["start_node", "end_node"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("broken_hops"))
+
+
+def route_summaries(asked: DataFrame, paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, metres, lighting, steps: hops are summed once for each pair of nodes, whatever number of requests asks for it."""
+    least = edges.groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.max("lighting").alias("lighting"))
+    sums = path_hops(paths).join(least, ["src", "dst"]).groupBy("start_node", "end_node").agg(
+        F.round(F.sum("dist"), 3).alias("metres"), F.round(F.sum(F.col("dist") * F.col("lighting")) / F.sum("dist"), 6).alias("lighting"), F.count("*").alias("steps")
+    )
+    return asked.join(sums, ["start_node", "end_node"]).select("id", "metres", "lighting", "steps")
 
 
 @query("agg_route_summary")
 def agg_route_summary(spark, sf_dir):
     """Length, distance-weighted safety and steps of the paths found."""
-    _, edges = graph(spark, sf_dir)
-    paths = searched(spark, sf_dir, "standard").where("hops > 0").select("id", F.posexplode("path").alias("pos", "src"))
-    hops = paths.withColumn("dst", F.lead("src").over(W.partitionBy("id").orderBy("pos"))).where("dst is not null")
-    steps = hops.join(edges.groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.max("lighting").alias("lighting")), ["src", "dst"])
-    return steps.groupBy("id").agg(
-        F.round(F.sum("dist"), 3).alias("metres"), F.round(F.sum(F.col("dist") * F.col("lighting")) / F.sum("dist"), 6).alias("lighting"), F.count("*").alias("steps")
-    )
+    asked, paths = pairs_searched(spark, sf_dir, "standard")
+    return route_summaries(asked, paths, graph(spark, sf_dir)[1])
 
 
 @query("join_overlap", with_views("""with r as (select id % 12 as region, min(lat) as s, max(lat) as n, min(lon) as w, max(lon) as e from node where id is not null group by id % 12)
