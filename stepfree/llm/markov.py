@@ -44,6 +44,8 @@ SYMBOLS = END + 1
 SEGMENT = 2048
 #: Symbols of one forward-backward batch, about.
 BATCH_SYMBOLS = 400_000
+#: Symbols that a task gathers, about, before it sorts texts by length: the more, the more texts go on side by side.
+GATHERED = 4_000_000
 #: The smoothing of the base score, kept for shares within an ending.
 ADD = 0.1
 
@@ -214,22 +216,23 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
     s = len(model.start)
     start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros((SYMBOLS, s))
     m32, e32 = model.move.astype(np.float32), model.emit.astype(np.float32)
+    back, ones = np.ascontiguousarray(m32.T), np.ones(s, np.float32)
     for _, grid, live in batches_of(sequences):
         times, texts = grid.shape
         live = [*live.tolist(), 0]
 
         def forward(at: int, prior: np.ndarray, grid=grid, live=live, times=times) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """alpha and scale of the block at ``at``, and the states predicted for the block after it."""
+            """alpha, emissions over scale of the block at ``at``, and the states predicted for the block after it."""
             end, wide = min(at + SEGMENT, times), live[at]
-            alpha, scale = np.zeros((end - at, wide, s), np.float32), np.ones((end - at, wide), np.float32)
-            for t in range(at, end):
-                n = live[t]
-                a = prior[:n] * e32[grid[t, :n]]
-                c = a.sum(1)
-                alpha[t - at, :n] = a / c[:, None]
-                scale[t - at, :n] = c
-                prior = alpha[t - at, :n] @ m32
-            return alpha, scale, prior
+            alpha, scale, shown = np.zeros((end - at, wide, s), np.float32), np.ones((end - at, wide), np.float32), e32[grid[at:end, :wide]]
+            for t in range(end - at):
+                n = live[at + t]
+                a = np.multiply(prior[:n], shown[t, :n], out=alpha[t, :n])
+                c = np.matmul(a, ones, out=scale[t, :n])
+                a /= c[:, None]
+                prior = a @ m32
+            shown /= scale[:, :, None]
+            return alpha, shown, prior
 
         blocks = range(0, times, SEGMENT)
         priors, made = [np.tile(model.start.astype(np.float32), (texts, 1))], None
@@ -237,23 +240,26 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
             made = forward(at, priors[-1])
             priors.append(made[2])
         priors.pop()
-        ahead = None
+        ahead = np.zeros((0, s), np.float32)
         for at in reversed(blocks):
-            alpha, scale, _ = made or forward(at, priors[-1])
+            alpha, shown, _ = made or forward(at, priors[-1])
             made = None
             priors.pop()
-            for t in range(at + len(alpha) - 1, at - 1, -1):
-                n, m = live[t], live[t + 1]  # m go on, the others end here
-                beta = np.ones((n, s), np.float32)
+            size, wide = len(alpha), alpha.shape[1]
+            # of a text that has ended alpha is 0, and so is all that it would add below
+            beta, later = np.ones((size, wide, s), np.float32), np.zeros((size, wide, s), np.float32)
+            for t in range(size - 1, -1, -1):
+                n, m = live[at + t], live[at + t + 1]  # m go on, the others end here
+                later[t, :m] = ahead
                 if m:
-                    move += (alpha[t - at, :m].T @ ahead) * m32
-                    beta[:m] = ahead @ m32.T
-                ahead = e32[grid[t, :n]] * beta / scale[t - at, :n, None]
-                alpha[t - at, :n] *= beta
+                    np.matmul(ahead, back, out=beta[t, :m])
+                ahead = shown[t, :n] * beta[t, :n]
+            move += np.matmul(alpha.transpose(0, 2, 1), later).sum(0, dtype=np.float64) * m32
+            alpha *= beta
             if not at:
                 start += alpha[0].sum(0)
-            valid = np.arange(alpha.shape[1])[None, :] < np.array(live[at : at + len(alpha)])[:, None]
-            symbols, weight = grid[at : at + len(alpha), : alpha.shape[1]][valid], alpha[valid]
+            symbols = grid[at : at + size, :wide].ravel()
+            weight = alpha.reshape(-1, s)
             for k in range(s):
                 emit[:, k] += np.bincount(symbols, weights=weight[:, k], minlength=SYMBOLS)
     return np.concatenate([start, move.ravel(), emit.ravel()])
@@ -271,6 +277,19 @@ def sequences_of(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x, "<i2") for x in batch.column("symbols").to_pylist()]
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of GATHERED symbols, about."""
+    part, size = [], 0
+    for batch in batches:
+        part.append(batch)
+        size += batch.column("symbols").nbytes // 2
+        if size >= GATHERED:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def train(rows: DataFrame, states: int, rounds: int, sample: int, sample_rounds: int, seed: int) -> Hmm:
     """Baum-Welch: ``sample_rounds`` on a segment of about ``sample`` texts picked by hash to part the states, then ``rounds`` over all."""
     rng = np.random.default_rng(seed)
@@ -292,8 +311,8 @@ def train(rows: DataFrame, states: int, rounds: int, sample: int, sample_rounds:
 
         def expected(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             total = np.zeros(size)
-            for batch in batches:
-                total += expected_counts(held.value, sequences_of(batch))
+            for part in gathered(batches):
+                total += expected_counts(held.value, [x for batch in part for x in sequences_of(batch)])
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["place", "value"])
 
@@ -322,10 +341,13 @@ def score_language(docs: DataFrame, states: int = 8, rounds: int = 3, sample: in
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, share = held.value
         denominator = np.r_[np.zeros(TOP), share, 0.0]
-        for batch in batches:
-            sequences = sequences_of(batch)
+        for part in gathered(batches):
+            sequences = [x for batch in part for x in sequences_of(batch)]
             hmm = log_likelihoods(model, sequences) / np.log(10) - np.array([denominator[x].sum() for x in sequences])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in slim], pa.array(hmm)], [*slim, "hmm"])
+            at = 0
+            for batch in part:
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in slim], pa.array(hmm[at : at + batch.num_rows])], [*slim, "hmm"])
+                at += batch.num_rows
 
     slim = ["row", "doc_id", "held_out", "n_tokens", "known", "log_head", "log_rest"]
     kind = docs.schema["doc_id"].dataType.simpleString()
