@@ -6,13 +6,13 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stepfree.functions import cost, geo
 from stepfree.functions import sqltext as sql
-from stepfree.operators.risk import edge_penalty
+from stepfree.operators.risk import active_hazards, edge_penalty, quick_risk
 from stepfree.registry import query
 from stepfree.shared import discard, stored
 from stepfree.spatial import nearest
@@ -226,12 +226,12 @@ def least_paths(nodes: DataFrame, arcs: DataFrame, pairs: DataFrame) -> DataFram
 
 
 def pairs_searched(spark: SparkSession, sf_dir: str, profile: str) -> tuple[DataFrame, DataFrame]:
-    """The requests (id, start_node, end_node) and the least-cost path of each distinct pair of nodes that they ask for."""
+    """The requests (id, start_node, end_node, profile) and the least-cost path of each distinct pair of nodes that they ask for."""
     nodes, edges = graph(spark, sf_dir)
     register(spark, sf_dir, "request")
     seconds = cost.traversal(profile, F.col("dist"), edge_penalty(profile))
     arcs = with_midpoints(nodes, edges.withColumn("seconds", seconds)).select("src", "dst", "seconds", F.col("alat").alias("lat"), F.col("alon").alias("lon"), "blat", "blon")
-    asked = spark.table("request").select("id", "start_node", "end_node")
+    asked = spark.table("request").select("id", "start_node", "end_node", "profile")
     return asked, least_paths(nodes, arcs, asked.select("start_node", "end_node"))
 
 
@@ -240,12 +240,17 @@ def searched(spark: SparkSession, sf_dir: str, profile: str) -> DataFrame:
     return with_all(*pairs_searched(spark, sf_dir, profile)).select("id", "cost", "hops", "path")
 
 
-def path_hops(paths: DataFrame) -> DataFrame:
-    """start_node, end_node, src, dst: the hops of the path of each pair, made within its row."""
-    hop = lambda i: F.struct(F.get("path", i).alias("src"), F.get("path", i + 1).alias("dst"))
+def numbered_hops(paths: DataFrame) -> DataFrame:
+    """start_node, end_node, i (from 0), src, dst: the hops of the path of each pair, made within its row."""
+    hop = lambda i: F.struct(i.alias("i"), F.get("path", i).alias("src"), F.get("path", i + 1).alias("dst"))
     return paths.where("hops > 0").select("start_node", "end_node", F.inline(F.transform(F.sequence(F.lit(0), F.col("hops") - 1), hop)))
 
 
+def path_hops(paths: DataFrame) -> DataFrame:
+    """start_node, end_node, src, dst of the hops of each pair."""
+    return numbered_hops(paths).drop("i")
+
+
 @query("graph_astar")
 def graph_astar(spark, sf_dir):
     return searched(spark, sf_dir, "standard").select("id", F.round("cost", 3).alias("cost"), "hops", "path")
@@ -260,20 +265,107 @@ def graph_path_check(spark, sf_dir):
     return asked.join(broken, ["start_node", "end_node"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("broken_hops"))
 
 
+def route_sums(paths: DataFrame, edges: DataFrame, *more: Column) -> DataFrame:
+    """start_node, end_node, metres, lighting, steps of each pair with hops, and further aggregates of its hops (i, and ``way`` if ``edges`` have it, that of the shortest of parallel edges)."""
+    ways = [F.min_by("way", F.struct("dist", "id")).alias("way")] if "way" in edges.columns else []
+    least = edges.groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.max("lighting").alias("lighting"), *ways)
+    return numbered_hops(paths).join(least.hint("merge") if ways else least, ["src", "dst"]).groupBy("start_node", "end_node").agg(
+        F.round(F.sum("dist"), 3).alias("metres"), F.round(F.sum(F.col("dist") * F.col("lighting")) / F.sum("dist"), 6).alias("lighting"), F.count("*").alias("steps"), *more
+    )
+
+
 def route_summaries(asked: DataFrame, paths: DataFrame, edges: DataFrame) -> DataFrame:
     """id, metres, lighting, steps: hops are summed once for each pair of nodes, whatever number of requests asks for it."""
-    least = edges.groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.max("lighting").alias("lighting"))
-    sums = path_hops(paths).join(least, ["src", "dst"]).groupBy("start_node", "end_node").agg(
-        F.round(F.sum("dist"), 3).alias("metres"), F.round(F.sum(F.col("dist") * F.col("lighting")) / F.sum("dist"), 6).alias("lighting"), F.count("*").alias("steps")
-    )
-    return asked.join(sums, ["start_node", "end_node"]).select("id", "metres", "lighting", "steps")
+    return asked.join(route_sums(paths, edges), ["start_node", "end_node"]).select("id", "metres", "lighting", "steps")
+
+
+def told_edges(nodes: DataFrame, edges: DataFrame, active: DataFrame) -> DataFrame:
+    """id, src, dst, dist, lighting and ``way``: what a step over the edge is told and warned by, the risk of hazards around its middle included."""
+    mid = with_midpoints(nodes, edges)
+    risks = quick_risk(mid.select("id", F.col("mid_lat").alias("lat"), F.col("mid_lon").alias("lon")), active)
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    way = F.struct(
+        "dist", "lighting", F.coalesce("risk", F.lit(0.0)).alias("risk"), geo.cardinal(geo.bearing(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))).alias("heading"), "surface", "width_m", "kerb_height",
+        "has_stairs", "has_barrier", "is_steep", F.col("is_under_construction").alias("built"), F.lower(F.coalesce("access", F.lit(""))).contains("wheelchair=no").alias("no_wheels"),
+        (blank(F.col("surface")) | (F.lower("surface") == "unknown")).alias("no_surface"), blank(F.col("smoothness")).alias("no_smoothness"),
+    )
+    return mid.join(risks.hint("merge"), "id", "left").select("id", "src", "dst", "dist", "lighting", way.alias("way"))
+
+
+#: Whom a warning is for.
+CHAIR, STROLLER, OTHERS = 1, 2, 4
+ALL = CHAIR | STROLLER | OTHERS
+
+
+def step_warnings(step: Column) -> Column:
+    """The reference's warnings of a step (i, way) of a route: whom, text."""
+    way = step["way"]
+    stairs = lambda whom, note: (whom, way["has_stairs"], F.lit(f"This segment contains stairs — {note}."))
+    texts = (
+        stairs(CHAIR, "stairs are not wheelchair accessible"),
+        stairs(STROLLER, "stairs are difficult with a stroller"),
+        stairs(OTHERS, "stairs present"),
+        (ALL, way["has_barrier"], F.lit("Physical barrier detected on this path.")),
+        (CHAIR | STROLLER, way["no_wheels"], F.lit("OSM marks this segment as not wheelchair accessible.")),
+        (ALL, way["kerb_height"] > 0.03, F.format_string("Raised kerb (%.0fcm) — may affect wheelchair access.", way["kerb_height"] * 100)),
+        (ALL, way["surface"].isin("cobblestone", "gravel", "unpaved"), F.concat(F.lit("Surface is "), way["surface"], F.lit(" — may be difficult for wheeled mobility."))),
+        (ALL, way["lighting"] < 0.3, F.lit("Poor street lighting detected.")),
+        (ALL, way["built"], F.lit("Active construction zone — proceed with caution.")),
+        (ALL, way["is_steep"], F.lit("Steep gradient ahead.")),
+        (ALL, way["width_m"] < 0.9, F.format_string("Narrow path (%.1fm) — limited wheelchair access.", way["width_m"])),
+        (ALL, way["risk"] > 0.7, F.format_string("Elevated risk area (score %.2f).", way["risk"])),
+    )
+    number = F.concat(F.lit("Step "), (step["i"] + 1).cast("string"), F.lit(": "))
+    return F.array_compact(F.array(*[F.when(holds, F.struct(F.lit(whom).alias("whom"), F.concat(number, text).alias("text"))) for whom, holds, text in texts]))
+
+
+def data_gaps(steps: Column) -> Column:
+    """The warnings (whom, text) about tags that a route's edges lack; widths and smoothness count for wheels."""
+    count = lambda lacks: F.size(F.filter(steps, lambda s: lacks(s["way"])))
+    surface, width, smoothness = count(lambda w: w["no_surface"]), count(lambda w: w["width_m"].isNull()), count(lambda w: w["no_smoothness"])
+    found = []
+    for whom, counts in ((OTHERS, ((surface, "surface"),)), (CHAIR | STROLLER, ((surface, "surface"), (width, "width"), (smoothness, "smoothness")))):
+        issues = F.array_compact(F.array(*[F.when(n > 0, F.concat(n.cast("string"), F.lit(f" missing {name}"))) for n, name in counts]))
+        text = F.concat(F.lit("Accessibility data confidence is lower: "), F.array_join(issues, ", "), F.lit(" tag(s) on the selected route rely on inferred defaults."))
+        found.append(F.when(F.size(issues) > 0, F.struct(F.lit(whom).alias("whom"), text.alias("text"))))
+    return F.array_compact(F.array(*found))
+
+
+def told_routes(asked: DataFrame, paths: DataFrame, nodes: DataFrame, edges: DataFrame, active: DataFrame) -> DataFrame:
+    """id, metres, lighting, steps, minutes, safety, warnings and told (from, to, metres, safety, instruction of every step) of all requests (id, start_node, end_node, profile).
+
+    Hops are gathered and texts made once for each pair of nodes; a request takes the warnings that are for its profile. A request
+    from a node to itself has no step; one without a path has -1 steps and no figures.
+    """
+    from stepfree.operators.assist import instruction
+
+    used = stored(path_hops(paths).select("src", "dst").distinct(), "used")
+    known = stored(told_edges(nodes, edges.join(used.hint("merge"), ["src", "dst"], "left_semi"), active), "told")
+    safety = F.when(F.sum("way.dist") > 0, F.sum((1 - F.col("way.risk")) * F.col("way.dist")) / F.sum("way.dist")).otherwise(1.0)
+    found = route_sums(paths, known, safety.alias("safe"), F.sort_array(F.collect_list(F.struct("i", "src", "dst", "way"))).alias("all"))
+    said = lambda s: F.struct(
+        s["src"].alias("from"), s["dst"].alias("to"), F.round(s["way"]["dist"], 1).alias("metres"), F.round(1 - s["way"]["risk"], 3).alias("safety"),
+        instruction(s["way"]["heading"], s["way"]["dist"], s["way"]["surface"], s["way"]["has_stairs"], s["way"]["is_steep"], s["i"], F.col("steps")).alias("instruction"),
+    )
+    warned = F.concat(F.flatten(F.transform("all", step_warnings)), data_gaps(F.col("all")))
+    texts = found.select("start_node", "end_node", "metres", "lighting", "steps", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "safe")), 3).alias("safety"), warned.alias("warned"), F.transform("all", said).alias("told"))
+    stays = paths.where("hops = 0").select("start_node", "end_node", F.lit(True).alias("stays"))
+    both = asked.join(stays, ["start_node", "end_node"], "left").join(texts.hint("merge"), ["start_node", "end_node"], "left")
+    whom = F.when(F.col("profile").isin("manual-wheelchair", "power-wheelchair"), CHAIR).when(F.col("profile") == "stroller", STROLLER).otherwise(OTHERS)
+    own = F.transform(F.filter("warned", lambda w: w["whom"].bitwiseAND(whom) != 0), lambda w: w["text"])
+    or_none = lambda c, value: F.coalesce(c, F.when(F.col("stays"), F.lit(value)))
+    metres = or_none("metres", 0.0)
+    return both.select(
+        "id", metres.alias("metres"), "lighting", F.coalesce(or_none("steps", 0), F.lit(-1)).alias("steps"), F.round(metres / cost.WALKING / 60, 1).alias("minutes"), or_none("safety", 1.0).alias("safety"),
+        F.coalesce(own, F.array().cast("array<string>")).alias("warnings"), F.coalesce("told", F.array().cast(texts.schema["told"].dataType)).alias("told"),
+    )
 
 
 @query("agg_route_summary")
 def agg_route_summary(spark, sf_dir):
-    """Length, distance-weighted safety and steps of the paths found."""
+    """Length, minutes, distance-weighted lighting and safety, warnings and the steps of the paths found, for all requests."""
     asked, paths = pairs_searched(spark, sf_dir, "standard")
-    return route_summaries(asked, paths, graph(spark, sf_dir)[1])
+    return told_routes(asked, paths, *graph(spark, sf_dir), active_hazards(spark, sf_dir))
 
 
 @query("join_overlap", with_views("""with r as (select id % 12 as region, min(lat) as s, max(lat) as n, min(lon) as w, max(lon) as e from node where id is not null group by id % 12)
