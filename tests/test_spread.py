@@ -42,3 +42,12 @@ def test_small_tables_are_dealt_to_tasks(spark):
     assert all(df.rdd.getNumPartitions() >= cores for df in (places.places(spark, data), *osm.extract(spark, data)))
     many = dealt(spark.range(0, 1000, 1, 1), "id", rows=50)
     assert many.rdd.getNumPartitions() == 20 and max(many.rdd.glom().map(len).collect()) < 100 and many.count() == 1000
+
+
+def test_alerts_are_made_by_many_tasks(spark):
+    """Few rows meet in the last join and very many come out: its tasks are not put together for the few."""
+    from stepfree.operators import profiles
+
+    alerts = profiles.stream_alerts(spark, "/root/testdata/sf0.001")
+    assert alerts.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert alerts.groupBy("route_id", "hazard_id").count().where("count > 1").isEmpty()
